@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from epistola.llm import components
+from epistola.llm import components, neardup
 from epistola.session import table
 
 
@@ -12,7 +12,15 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return components.consolidate_matches(table(spark, d, "matches"), table(spark, d, "nodes"))
 
 
-QUERIES = {"p3_found": p3_found}
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.similar_pairs(table(spark, d, "documents"))
+
+
+def p6_groups(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.similar_groups(table(spark, d, "documents"))
+
+
+QUERIES = {"p3_found": p3_found, "p6_found": p6_found, "p6_groups": p6_groups}
 
 SQL = {
     "p3_found": """
