@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from epistola.llm import components, neardup
+from epistola.llm import components, leak, neardup
 from epistola.session import table
 
 
@@ -20,7 +20,11 @@ def p6_groups(spark: SparkSession, d: str) -> DataFrame:
     return neardup.similar_groups(table(spark, d, "documents"))
 
 
-QUERIES = {"p3_found": p3_found, "p6_found": p6_found, "p6_groups": p6_groups}
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return leak.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+QUERIES = {"p3_found": p3_found, "p6_found": p6_found, "p6_groups": p6_groups, "p7_found": p7_found}
 
 SQL = {
     "p3_found": """
