@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from epistola.llm import components, leak, neardup
+from epistola.llm import components, leak, mixing, neardup
 from epistola.session import table
 
 
@@ -24,7 +24,15 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leak.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
-QUERIES = {"p3_found": p3_found, "p6_found": p6_found, "p6_groups": p6_groups, "p7_found": p7_found}
+def p8_plan(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.Mix(table(spark, d, "documents"), table(spark, d, "mix_targets")).copies()
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.Mix(table(spark, d, "documents"), table(spark, d, "mix_targets")).shares()
+
+
+QUERIES = {"p3_found": p3_found, "p6_found": p6_found, "p6_groups": p6_groups, "p7_found": p7_found, "p8_plan": p8_plan, "p8_shares": p8_shares}
 
 SQL = {
     "p3_found": """
