@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from epistola.llm import components, leak, mixing, neardup
+from epistola.llm import components, langid, leak, mixing, neardup
 from epistola.session import table
 
 
@@ -32,7 +32,15 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.Mix(table(spark, d, "documents"), table(spark, d, "mix_targets")).shares()
 
 
-QUERIES = {"p3_found": p3_found, "p6_found": p6_found, "p6_groups": p6_groups, "p7_found": p7_found, "p8_plan": p8_plan, "p8_shares": p8_shares}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return langid.wrong_labels(table(spark, d, "documents"))
+
+
+def p9_documents(spark: SparkSession, d: str) -> DataFrame:
+    return langid.label_documents(table(spark, d, "documents"))
+
+
+QUERIES = {"p3_found": p3_found, "p6_found": p6_found, "p6_groups": p6_groups, "p7_found": p7_found, "p8_plan": p8_plan, "p8_shares": p8_shares, "p9_found": p9_found, "p9_documents": p9_documents}
 
 SQL = {
     "p3_found": """
