@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from epistola.llm import components, langid, leak, mixing, neardup
+from epistola.llm import components, langid, leak, mailtext, mixing, neardup
 from epistola.session import table
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return mailtext.new_lines(table(spark, d, "documents"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return components.consolidate_matches(table(spark, d, "matches"), table(spark, d, "nodes"))
 
@@ -40,7 +44,7 @@ def p9_documents(spark: SparkSession, d: str) -> DataFrame:
     return langid.label_documents(table(spark, d, "documents"))
 
 
-QUERIES = {"p3_found": p3_found, "p6_found": p6_found, "p6_groups": p6_groups, "p7_found": p7_found, "p8_plan": p8_plan, "p8_shares": p8_shares, "p9_found": p9_found, "p9_documents": p9_documents}
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p6_found": p6_found, "p6_groups": p6_groups, "p7_found": p7_found, "p8_plan": p8_plan, "p8_shares": p8_shares, "p9_found": p9_found, "p9_documents": p9_documents}
 
 SQL = {
     "p3_found": """
