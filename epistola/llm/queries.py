@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from epistola.llm import components, langid, leak, mailtext, mixing, neardup
+from epistola.llm import components, langid, leak, mailtext, mixing, neardup, ocr
 from epistola.session import table
 
 
@@ -16,6 +16,10 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return components.consolidate_matches(table(spark, d, "matches"), table(spark, d, "nodes"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return ocr.repair_places(table(spark, d, "documents"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return neardup.similar_pairs(table(spark, d, "documents"))
 
@@ -44,7 +48,7 @@ def p9_documents(spark: SparkSession, d: str) -> DataFrame:
     return langid.label_documents(table(spark, d, "documents"))
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p6_found": p6_found, "p6_groups": p6_groups, "p7_found": p7_found, "p8_plan": p8_plan, "p8_shares": p8_shares, "p9_found": p9_found, "p9_documents": p9_documents}
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p6_found": p6_found, "p6_groups": p6_groups, "p7_found": p7_found, "p8_plan": p8_plan, "p8_shares": p8_shares, "p9_found": p9_found, "p9_documents": p9_documents}
 
 SQL = {
     "p3_found": """
