@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from epistola.llm import components, langid, leak, mailtext, mixing, neardup, ocr
+from epistola.llm import components, langid, leak, mailtext, mixing, names, neardup, ocr
 from epistola.session import table
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return names.variant_pairs(table(spark, d, "nodes"), table(spark, d, "domains"), table(spark, d, "alias_map"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return mailtext.new_lines(table(spark, d, "documents"))
 
@@ -48,7 +52,7 @@ def p9_documents(spark: SparkSession, d: str) -> DataFrame:
     return langid.label_documents(table(spark, d, "documents"))
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p6_found": p6_found, "p6_groups": p6_groups, "p7_found": p7_found, "p8_plan": p8_plan, "p8_shares": p8_shares, "p9_found": p9_found, "p9_documents": p9_documents}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p6_found": p6_found, "p6_groups": p6_groups, "p7_found": p7_found, "p8_plan": p8_plan, "p8_shares": p8_shares, "p9_found": p9_found, "p9_documents": p9_documents}
 
 SQL = {
     "p3_found": """
