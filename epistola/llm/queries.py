@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from epistola.llm import components, langid, leak, mailtext, mixing, names, neardup, ocr
+from epistola.llm import components, langid, leak, mailtext, mixing, names, neardup, ocr, survivor
 from epistola.session import table
 
 
@@ -24,6 +24,10 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return ocr.repair_places(table(spark, d, "documents"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return survivor.survivors(table(spark, d, "alias_map"), table(spark, d, "nodes"), table(spark, d, "domains"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return neardup.similar_pairs(table(spark, d, "documents"))
 
@@ -52,7 +56,7 @@ def p9_documents(spark: SparkSession, d: str) -> DataFrame:
     return langid.label_documents(table(spark, d, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p6_found": p6_found, "p6_groups": p6_groups, "p7_found": p7_found, "p8_plan": p8_plan, "p8_shares": p8_shares, "p9_found": p9_found, "p9_documents": p9_documents}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p6_groups": p6_groups, "p7_found": p7_found, "p8_plan": p8_plan, "p8_shares": p8_shares, "p9_found": p9_found, "p9_documents": p9_documents}
 
 SQL = {
     "p3_found": """
