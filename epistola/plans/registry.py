@@ -1,7 +1,481 @@
-"""Registry of the engine's own queries."""
+"""Registry of the engine's own queries and their SQL twins. Each query runs over its whole tables."""
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from epistola.functions import address as A
+from epistola.functions import rules
+from epistola.functions.similarity import jaro_winkler_udf
+from epistola.operators import browse, cleaning, components, headers, merge, network, resolve, search
+from epistola.plans import oracle as O
+from epistola.session import checkpoint_dir, table
+from epistola.streaming import network as stream
+
 FLAGSHIP = "agg2_edge_stats"
-QUERIES: dict = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def joined(*cols: str) -> list[Column]:
+    return [F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in cols]
+
+
+def s_joined(*cols: str) -> str:
+    return ", ".join(f"array_to_string({c}::VARCHAR[], ',') AS {c}" for c in cols)
+
+
+def docs(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents")
+
+
+def mails(spark: SparkSession, d: str) -> DataFrame:
+    return headers.parse_messages(docs(spark, d).where(headers.header_filter()))
+
+
+def nodes(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "nodes")
+
+
+# --- headers and network -----------------------------------------------------------------------------------------------
+
+
+@query("SELECT hash_id FROM documents WHERE regexp_matches(text, '(?i)From:.*@') AND regexp_matches(text, '(?i)To:.*@')")
+def flt1_header_filter(spark, d):
+    return docs(spark, d).where(headers.header_filter()).select("hash_id")
+
+
+@query(f"""WITH {O.messages()} SELECT hash_id, any_value(year) AS year, array_to_string(list_sort(coalesce(list(a) FILTER (kind = 'f'), [])), ',') AS from_list,
+array_to_string(list_sort(coalesce(list(a) FILTER (kind = 't'), [])), ',') AS to_list, array_to_string(list_sort(coalesce(list(a) FILTER (kind = 'c'), [])), ',') AS cc_list FROM addr GROUP BY hash_id""")
+def f6_parse_messages(spark, d):
+    return mails(spark, d).select("hash_id", "year", *joined("from_list", "to_list", "cc_list"))
+
+
+@query(f"WITH {O.messages()}, {O.stats()} SELECT email, sent, received, {s_joined('years', 'domains')} FROM nodes0")
+def agg1_node_stats(spark, d):
+    return network.node_stats(mails(spark, d)).select("email", "sent", "received", *joined("years", "domains"))
+
+
+@query(f"WITH {O.messages()}, {O.stats()} SELECT source, target, weight, {s_joined('years', 'doc_ids')} FROM edges0")
+def agg2_edge_stats(spark, d):
+    return network.edge_stats(mails(spark, d)).select("source", "target", "weight", *joined("years", "doc_ids"))
+
+
+@query(f"WITH {O.messages()}, {O.stats()} SELECT source, target, hash_id FROM pair0")
+def j3_sender_recipient_pairs(spark, d):
+    return network.pairs(mails(spark, d)).select("source", "target", "hash_id")
+
+
+@query()
+def agg3_display_names(spark, d):
+    return network.display_names(mails(spark, d))
+
+
+@query(f"WITH {O.messages()}, {O.stats()}, {O.mapping()} SELECT email, canon FROM vmap")
+def agg4_variant_map(spark, d):
+    return network.variant_map(network.node_stats(mails(spark, d)))
+
+
+_CONS_NODES = """cn AS (SELECT canon AS id, sum(sent)::BIGINT AS sent, sum(received)::BIGINT AS received, list_sort(list_distinct(flatten(list(years)))) AS years, list_sort(list_distinct(flatten(list(domains)))) AS domains, list_sort(list(DISTINCT email)) AS aliases FROM nodes0 JOIN vmap USING (email) GROUP BY canon)"""
+_CONS_EDGES = """ce AS (SELECT s.canon AS source, t.canon AS target, sum(weight)::BIGINT AS weight, list_sort(list_distinct(flatten(list(years)))) AS years, list_sort(list_distinct(flatten(list(doc_ids)))) AS doc_ids FROM edges0 e JOIN vmap s ON s.email = e.source JOIN vmap t ON t.email = e.target WHERE s.canon <> t.canon GROUP BY 1, 2)"""
+
+
+@query(f"WITH {O.messages()}, {O.stats()}, {O.mapping()}, {_CONS_NODES} SELECT id AS email, sent, received, {s_joined('years', 'domains', 'aliases')} FROM cn")
+def agg5_consolidated_nodes(spark, d):
+    n = network.node_stats(mails(spark, d))
+    return network.consolidate_nodes(n, network.variant_map(n)).select("email", "sent", "received", *joined("years", "domains", "aliases"))
+
+
+@query(f"WITH {O.messages()}, {O.stats()}, {O.mapping()}, {_CONS_EDGES} SELECT source, target, weight, {s_joined('years', 'doc_ids')} FROM ce")
+def agg6_consolidated_edges(spark, d):
+    m = mails(spark, d)
+    return network.remap_edges(network.edge_stats(m), network.variant_map(network.node_stats(m))).select("source", "target", "weight", *joined("years", "doc_ids"))
+
+
+@query()
+def flt6_export_nodes(spark, d):
+    return network.build_network(docs(spark, d), min_count=2)[0].select("id", "name", "domain", "sent", "received", "count", "domain_count", *joined("years", "aliases"))
+
+
+@query(f"""WITH {O.messages()}, {O.stats()}, {O.mapping()}, {_CONS_NODES}, {_CONS_EDGES}, ok AS (SELECT id FROM cn WHERE sent + received >= 2)
+SELECT source, target, weight, {s_joined('years', 'doc_ids')} FROM ce WHERE weight >= 2 AND source IN (SELECT id FROM ok) AND target IN (SELECT id FROM ok)""")
+def flt7_export_edges(spark, d):
+    return network.build_network(docs(spark, d), min_count=2, min_weight=2)[1].select("source", "target", "weight", *joined("years", "doc_ids"))
+
+
+@query("SELECT domain, count(*) AS count FROM nodes WHERE domain <> '' GROUP BY domain ORDER BY count DESC, domain LIMIT 50")
+def srt2_top_domains(spark, d):
+    return network.top_domains(nodes(spark, d))
+
+
+@query("SELECT id, count FROM nodes ORDER BY count DESC NULLS LAST, id LIMIT 100")
+def srt1_top_nodes(spark, d):
+    return nodes(spark, d).select("id", "count").orderBy(F.desc_nulls_last("count"), "id").limit(100)
+
+
+@query("SELECT hash_id, array_to_string(list_sort(list_distinct(list_concat(coalesce(to_list, []), coalesce(cc_list, [])))), ',') AS recipients FROM messages")
+def set1_recipients(spark, d):
+    e = F.expr("cast(array() as array<string>)")
+    return table(spark, d, "messages").select("hash_id", F.array_join(F.array_sort(F.array_union(F.coalesce("to_list", e), F.coalesce("cc_list", e))), ",").alias("recipients"))
+
+
+@query("""WITH m AS (SELECT DISTINCT ON (hash_id) hash_id, year, from_list, to_list, cc_list FROM messages ORDER BY hash_id, loaded_at DESC, sent_at DESC NULLS LAST, year DESC NULLS LAST),
+s AS (SELECT DISTINCT hash_id, year, unnest(from_list) AS a FROM m), r AS (SELECT DISTINCT hash_id, unnest(list_concat(to_list, cc_list)) AS a FROM m)
+SELECT s.a AS source, r.a AS target, count(*) AS weight FROM s JOIN r USING (hash_id) WHERE s.a <> r.a GROUP BY 1, 2""")
+def agg2_message_edges(spark, d):
+    m = table(spark, d, "messages").groupBy("hash_id").agg(F.max(F.struct("loaded_at", "sent_at", "year", "from_list", "to_list", "cc_list")).alias("m")).select("hash_id", "m.*")
+    return network.edge_stats(m).select("source", "target", "weight")
+
+
+# --- functions over every node ---------------------------------------------------------------------------------------------
+
+
+def over_nodes(name: str, spark_expr: Callable[[], Column], sql_expr: str | None, column: str = "value") -> None:
+    def f(spark, d):
+        return nodes(spark, d).select("id", spark_expr().alias(column))
+
+    f.__name__ = name
+    QUERIES[name] = f
+    if sql_expr:
+        SQL[name] = f"SELECT id, {sql_expr} AS {column} FROM nodes"
+
+
+over_nodes("flt5_valid_address", lambda: A.is_valid("id"), O.valid("id"))
+over_nodes("f9_domain", lambda: A.domain_of("id"), O.domain("id"))
+over_nodes("f10_build_domain", lambda: A.build_domain(A.rest_of("id")), O.build_domain(O.rest("id")))
+over_nodes("f12_build_address", lambda: A.build_address("id"), O.build_address("id"))
+over_nodes("f13_canonical_address", lambda: A.canonical_address("id"), O.canonical("id"))
+over_nodes("f13_sorted_local", lambda: A.sorted_local(A.local_of("id")), O.sorted_local(O.local("id")))
+over_nodes("f15_structural", lambda: A.structural("id"), O.cleaned("id"))
+over_nodes("f18_match_local", lambda: A.match_local(A.local_of("id")), O.replaced(O.local("id"), rules.LOCAL_CHARACTERS))
+over_nodes("f19_display_local", lambda: A.display_local(A.local_of("id")), None)
+over_nodes("f21_title", lambda: A.title("name"), O.title("name"))
+over_nodes("f22_name_distance", lambda: F.levenshtein(F.lower(A.local_of("id")), F.lower(A.sorted_local(A.local_of("id")))).cast("long"), f"levenshtein(lower({O.local('id')}), lower({O.sorted_local(O.local('id'))}))::BIGINT")
+over_nodes("f23_jaro_winkler", lambda: F.round(jaro_winkler_udf(F.lower("name"), F.replace(A.local_of("id"), F.lit("."), F.lit(" "))), 9), None)
+over_nodes("f24_split_initial", lambda: merge.split_initial(A.title(A.local_of("id"))), None)
+over_nodes("f25_name_from_id", lambda: merge.name_from_id(F.col("id")), None)
+over_nodes("f26_name_order", lambda: merge.fixed_order(F.col("name"), F.col("id"), F.lit("epa.gov")), None)
+over_nodes("agg9_name_key", lambda: resolve.name_key("name"), "CASE WHEN len(list_filter(string_split_regex(lower(name), '\\s+'), lambda x: length(x) > 0)) >= 2 THEN array_to_string(list_sort(list_filter(string_split_regex(lower(name), '\\s+'), lambda x: length(x) > 0)), ' ') END")
+
+_NAME = "regexp_replace(regexp_replace(name, '^\\s+|\\s+$', '', 'g'), '^[\"'']+|[\"'']+$', '', 'g')"
+_BAD = " OR ".join(f"contains(lower(x), {O.q(g)})" for g in rules.NAME_GARBAGE)
+_WORD = lambda w: f"regexp_matches(regexp_replace({w}, '[.''\\-]', '', 'g'), '^\\p{{L}}+$')"
+_WORDS = "list_filter(string_split_regex(x, '\\s+'), lambda w: length(w) > 0)"
+_F8 = f"""SELECT id, CASE WHEN name IS NULL OR name = '' THEN NULL WHEN length(x) > 40 OR regexp_matches(x, '[0-9]') OR {_BAD} THEN NULL
+WHEN contains(x, ',') AND length(l) > 0 AND length(f) > 0 AND {_WORD('f')} AND {_WORD('t')} AND length(f) BETWEEN 2 AND 20 AND length(t) BETWEEN 2 AND 20 THEN {O.title("f || ' ' || l")}
+WHEN len({_WORDS}) BETWEEN 1 AND 4 AND len(list_filter({_WORDS}, lambda w: NOT ({_WORD('w')} AND length(w) >= 2))) = 0 THEN {O.title('x')} END AS value
+FROM (SELECT *, regexp_extract(l, '\\S+$') AS t FROM (SELECT id, name, x, trim(split_part(x, ',', 1)) AS l, regexp_extract(trim(substr(x, strpos(x, ',') + 1)), '^\\S+') AS f FROM (SELECT id, name, {_NAME} AS x FROM nodes)))"""
+
+
+@query(_F8)
+def f8_repaired_name(spark, d):
+    return nodes(spark, d).select("id", A.repaired_name("name").alias("value"))
+
+
+@query(f"WITH src AS (SELECT DISTINCT domain FROM nodes WHERE domain IS NOT NULL), {O.match_domain('src', 'domain', 'domain')} SELECT domain, d AS value FROM matched")
+def f16_match_domain(spark, d):
+    return nodes(spark, d).where("domain IS NOT NULL").select("domain").distinct().select("domain", A.match_domain("domain").alias("value"))
+
+
+@query(f"WITH src AS (SELECT DISTINCT domain FROM nodes WHERE domain IS NOT NULL), {O.match_domain('src', 'domain', 'domain', False)} SELECT domain, d AS value FROM matched")
+def f16_display_domain(spark, d):
+    return nodes(spark, d).where("domain IS NOT NULL").select("domain").distinct().select("domain", A.match_domain("domain", characters=False).alias("value"))
+
+
+# --- entity resolution -----------------------------------------------------------------------------------------------------
+
+_STATE = f"""s0 AS (SELECT id, {O.cleaned('id')} AS c FROM nodes), {O.match_domain('s0', 'id', O.rest('c'))},
+state AS (SELECT s0.id AS orig_id, CASE WHEN contains(c, '@') THEN {O.sorted_local(O.replaced(O.local('c'), rules.LOCAL_CHARACTERS))} || '@' || d ELSE c END AS canon FROM s0 JOIN matched USING (id)),
+canons AS (SELECT canon, {O.local('canon')} AS local, {O.rest('canon')} AS domain, sum(coalesce(count, 0))::BIGINT AS total FROM state JOIN nodes ON id = orig_id WHERE contains(canon, '@') GROUP BY 1, 2, 3)"""
+_KEY = lambda a, b: f"least({a}, {b}) || '|' || greatest({a}, {b})"
+_TWO = f"two AS (SELECT domain, {_KEY('p[1]', 'p[2]')} AS key, min(canon) AS target FROM (SELECT *, {O.parts('local')} AS p FROM canons) WHERE len(p) = 2 GROUP BY 1, 2)"
+
+
+def projected(spark: SparkSession, d: str) -> resolve.Resolution:
+    """The state after the three layers that are projections: what the SQL twins of single layers begin with."""
+    r = resolve.Resolution(nodes(spark, d))
+    c = A.structural("orig_id")
+    c = A.with_domain(c, A.match_domain)
+    c = A.with_local(c, lambda l: A.sorted_local(A.match_local(l)))
+    r.state = r.scratch.save(r.state.select("orig_id", c.alias("canon")))
+    return r
+
+
+@query(f"WITH {_STATE} SELECT orig_id, canon FROM state")
+def er3_projected_map(spark, d):
+    return projected(spark, d).state
+
+
+@query(f"WITH {_STATE} SELECT canon, total FROM canons")
+def agg8_total_counts(spark, d):
+    return projected(spark, d).canons().select("canon", "total")
+
+
+@query(f"""WITH {_STATE}, {_TWO}, o AS (SELECT canon, {O.rest('canon')} AS domain, min(orig_id) AS orig FROM state WHERE contains(canon, '@') GROUP BY 1, 2),
+w AS (SELECT canon, domain, {O.parts(O.local('c'))} AS p FROM o JOIN s0 ON s0.id = o.orig), v AS (SELECT * FROM w WHERE len(p) >= 3),
+t AS (SELECT canon, domain, i AS ord, CASE WHEN len(p) = 3 THEN [p[1]||p[2], p[2]||p[1], p[1]||p[3], p[3]||p[1], p[2]||p[3], p[3]||p[2]][i + 1] ELSE array_to_string(p[1:i+1], '') END AS l,
+ CASE WHEN len(p) = 3 THEN [p[3], p[3], p[2], p[2], p[1], p[1]][i + 1] ELSE array_to_string(p[i+2:], '') END AS r FROM v, unnest(range(CASE WHEN len(p) = 3 THEN 6 ELSE len(p) - 1 END)) AS u(i)),
+k AS (SELECT canon, domain, ord, 0 AS o, {_KEY(O.replaced('l', rules.LOCAL_CHARACTERS), O.replaced('r', rules.LOCAL_CHARACTERS))} AS key FROM t WHERE length(l) >= 2 AND length(r) >= 2 UNION ALL SELECT canon, domain, ord, 1, {_KEY('l', 'r')} FROM t WHERE length(l) >= 2 AND length(r) >= 2)
+SELECT canon AS src, min_by(target, (ord, o)) AS dst FROM k JOIN two USING (domain, key) WHERE target <> canon GROUP BY canon""")
+def er3b_split_locals(spark, d):
+    return projected(spark, d).split_locals()
+
+
+@query(f"""WITH {_STATE}, {_TWO}, kn AS (SELECT DISTINCT domain, known FROM (SELECT domain, unnest(p) AS known FROM (SELECT domain, {O.parts('local')} AS p FROM canons) WHERE len(p) = 2) WHERE length(known) >= 3),
+pp AS (SELECT canon, domain, list_filter(string_split_regex(local, '[._\\-]'), lambda x: length(x) > 0) AS p FROM canons), one AS (SELECT canon, domain, p, i, p[i] AS part FROM pp, unnest(range(1, len(p) + 1)) AS u(i) WHERE len(p) >= 2),
+c AS (SELECT canon, domain, p, i, 0 AS side, right(part, n) AS known FROM one, unnest(range(3, length(part))) AS v(n) UNION ALL SELECT canon, domain, p, i, 1, left(part, n) FROM one, unnest(range(3, length(part))) AS v(n)),
+h AS (SELECT canon, domain, i, side, known, list_filter(list_concat(list_concat(p[1:i-1], [known]), p[i+1:]), lambda x: length(x) > 1) AS z FROM c JOIN kn USING (domain, known))
+SELECT canon AS src, min_by(target, (i, side, -length(known), known)) AS dst FROM (SELECT *, {_KEY('z[1]', 'z[2]')} AS key FROM h WHERE len(z) = 2) JOIN two USING (domain, key) WHERE target <> canon GROUP BY canon""")
+def er3c_stripped_prefixes(spark, d):
+    return projected(spark, d).stripped_prefixes()
+
+
+@query(f"""WITH {_STATE}, x AS (SELECT canon, local, domain, length(local) AS n FROM canons WHERE length(local) >= 2 AND domain <> '')
+SELECT a.canon AS canon_a, b.canon AS canon_b, levenshtein(a.local, b.local)::BIGINT AS dist FROM x a JOIN x b USING (domain)
+WHERE (a.n, a.local, a.canon) < (b.n, b.local, b.canon) AND b.n - a.n <= greatest(2, a.n // 5) AND levenshtein(a.local, b.local) <= greatest(2, a.n // 5)""")
+def j7_fuzzy_pairs(spark, d):
+    return projected(spark, d).fuzzy_candidates().select("canon_a", "canon_b", F.col("dist").cast("long").alias("dist"))
+
+
+@query()
+def er4_fuzzy_merges(spark, d):
+    return projected(spark, d).fuzzy()
+
+
+@query(f"""WITH {_STATE}, p AS (SELECT canon, local, domain, total, {O.parts('local')} AS p FROM canons), f AS (SELECT DISTINCT domain, canon, total, unnest(p) AS part FROM p WHERE len(p) > 1),
+g AS (SELECT domain, part, count(*) AS n, max((total, canon)) AS t, max(total) AS top, list_sort(list(total), 'DESC')[2] AS second FROM f GROUP BY 1, 2)
+SELECT o.canon AS src, struct_extract_at(t, 2) AS dst FROM p o JOIN g ON g.domain = o.domain AND g.part = o.local WHERE len(o.p) <= 1 AND (n = 1 OR (top > 0 AND (second = 0 OR top / greatest(1, second) >= 5)))""")
+def er5_single_to_full(spark, d):
+    return projected(spark, d).single_to_full()
+
+
+@query(f"""WITH {_STATE}, {_TWO}, c AS (SELECT canon, domain, left(local, i) AS l, substr(local, i + 1) AS r FROM canons, unnest(range(2, length(local) - 1)) AS u(i) WHERE len({O.parts('local')}) <= 1 AND length(local) >= 6)
+SELECT canon AS src, min(target) AS dst FROM (SELECT *, {_KEY('l', 'r')} AS key FROM c) JOIN two USING (domain, key) WHERE target <> canon GROUP BY canon HAVING count(DISTINCT target) = 1""")
+def er6_concatenated(spark, d):
+    return projected(spark, d).concatenated()
+
+
+@query()
+def er7_same_name(spark, d):
+    return projected(spark, d).same_name()
+
+
+@query("""WITH RECURSIVE e AS (SELECT src AS a, dst AS b FROM matches WHERE src IS NOT NULL AND dst IS NOT NULL UNION SELECT dst, src FROM matches WHERE src IS NOT NULL AND dst IS NOT NULL),
+r AS (SELECT a AS node, a AS seen FROM e UNION SELECT r.node, e.b FROM r JOIN e ON r.seen = e.a) SELECT node, min(seen) AS component FROM r GROUP BY node""")
+def gr1_components(spark, d):
+    return components.components(table(spark, d, "matches"), "src", "dst")
+
+
+@query("""WITH RECURSIVE m AS (SELECT src, min(dst) AS dst FROM matches WHERE src IS NOT NULL AND dst IS NOT NULL AND src <> dst GROUP BY src),
+w AS (SELECT src, dst AS cur, [src] AS path FROM m UNION ALL SELECT w.src, m.dst, list_append(w.path, w.cur) FROM w JOIN m ON m.src = w.cur WHERE NOT list_contains(w.path, w.cur))
+SELECT src, arg_max(cur, len(path)) AS dst FROM w GROUP BY src""")
+def er0_follow_chains(spark, d):
+    return components.follow_chains(table(spark, d, "matches").select("src", "dst"))
+
+
+def resolved(spark: SparkSession, d: str) -> resolve.Resolution:
+    return resolve.Resolution(nodes(spark, d)).run()
+
+
+@query()
+def er_alias_map(spark, d):
+    r = resolved(spark, d)
+    return merge.best_ids(r.state, nodes(spark, d))
+
+
+@query()
+def obs1_layer_stats(spark, d):
+    return resolved(spark, d).layer_stats()
+
+
+@query()
+def er10_invariants(spark, d):
+    n = nodes(spark, d)
+    best = merge.best_ids(resolved(spark, d).state, n)
+    merged = merge.merge_nodes(n, best)
+    known = table(spark, d, "edges").join(n.select(F.col("id").alias("target")), "target", "left_semi")
+    return merge.invariants(n, merged, merge.merge_edges(known, best))
+
+
+def reviewed(spark: SparkSession, d: str) -> DataFrame:
+    """The reviewed alias map as a resolved one, ids it lacks standing for themselves."""
+    a = table(spark, d, "alias_map").groupBy(F.col("orig_id").alias("id")).agg(F.min("canon").alias("canon"))
+    return nodes(spark, d).select("id").join(a, "id", "left").select(F.col("id").alias("orig_id"), F.coalesce("canon", "id").alias("canon"))
+
+
+_REVIEWED = "rv AS (SELECT id AS orig_id, coalesce(a.canon, id) AS canon FROM nodes LEFT JOIN (SELECT orig_id, min(canon) AS canon FROM alias_map GROUP BY 1) a ON a.orig_id = id)"
+
+
+@query(f"""WITH {_REVIEWED} SELECT canon AS best_id, sum(coalesce(sent, 0))::BIGINT AS sent, sum(coalesce(received, 0))::BIGINT AS received, sum(coalesce(count, 0))::BIGINT AS count,
+array_to_string(list_sort(list_distinct(flatten(list(coalesce(years, []))))), ',') AS years, max(coalesce(domain_count, 0)) AS domain_count, array_to_string(list_sort(list(DISTINCT orig_id)), ',') AS aliases FROM rv JOIN nodes ON id = orig_id GROUP BY canon""")
+def agg12_merged_nodes(spark, d):
+    best = reviewed(spark, d).withColumnRenamed("canon", "best_id")
+    return merge.merge_nodes(nodes(spark, d), best).select(F.col("id").alias("best_id"), "sent", "received", "count", *joined("years"), "domain_count", *joined("aliases"))
+
+
+@query(f"""WITH {_REVIEWED} SELECT coalesce(s.canon, source) AS source, coalesce(t.canon, target) AS target, sum(coalesce(weight, 1))::BIGINT AS weight, array_to_string(list_sort(list_distinct(flatten(list(coalesce(years, []))))), ',') AS years,
+array_to_string(list_sort(list_distinct(flatten(list(coalesce(doc_ids, []))))), ',') AS doc_ids FROM edges LEFT JOIN rv s ON s.orig_id = source LEFT JOIN rv t ON t.orig_id = target WHERE coalesce(s.canon, source) <> coalesce(t.canon, target) GROUP BY 1, 2""")
+def agg13_merged_edges(spark, d):
+    return merge.merge_edges(table(spark, d, "edges"), reviewed(spark, d).withColumnRenamed("canon", "best_id")).select("source", "target", "weight", *joined("years", "doc_ids"))
+
+
+_MARKS = lambda ps: " + ".join(f"contains(lower(name), {O.q(p)})::INT" for p in ps)
+
+
+@query(f"""WITH {_REVIEWED}, f AS (SELECT canon, name, sum(coalesce(count, 1))::BIGINT AS freq FROM rv JOIN nodes ON id = orig_id WHERE name <> '' GROUP BY 1, 2)
+SELECT canon, arg_max(name, (len(list_filter(string_split_regex(name, '\\s+'), lambda x: length(x) > 0)) >= 2, name = {O.title('name')}, -({_MARKS(('rn', 'ii', 'ffl', 'ffi', '0', '1', '3'))}), freq, name)) AS name FROM f GROUP BY canon""")
+def agg9_best_names(spark, d):
+    return resolve.best_names(reviewed(spark, d).join(nodes(spark, d).withColumnRenamed("id", "orig_id"), "orig_id").select("canon", "name", "count"))
+
+
+@query(f"""WITH {_REVIEWED}, f AS (SELECT canon, name, sum(coalesce(count, 1))::BIGINT AS freq FROM rv JOIN nodes ON id = orig_id WHERE name <> '' GROUP BY 1, 2),
+k AS (SELECT *, (len(list_filter(string_split_regex(name, '\\s+'), lambda x: length(x) > 0)) >= 2)::INT AS w, (name = {O.title('name')})::INT AS t, -({_MARKS(('rn', 'ii', 'vv', 'ffl', 'svd', 'liav'))}) AS m FROM f)
+SELECT canon, name FROM (SELECT *, row_number() OVER (PARTITION BY canon ORDER BY w DESC, t DESC, freq DESC, m DESC, name) AS r FROM k) WHERE r = 1""")
+def agg10_display_names(spark, d):
+    return merge.display_name(reviewed(spark, d).join(nodes(spark, d).withColumnRenamed("id", "orig_id"), "orig_id"), "canon")
+
+
+@query(f"""WITH {_REVIEWED}, k AS (SELECT rv.canon, id, coalesce(count, 0) AS c, (coalesce(domain, '') IN ('epa.gov', 'gmail.com', 'yahoo.com') OR (ends_with(coalesce(domain, ''), '.gov') AND NOT regexp_matches(domain, '[q30]')))::INT AS cl, contains({O.local('id')}, '.')::INT AS dot,
+CASE WHEN coalesce(name, '') = '' THEN 0 ELSE (CASE WHEN len(list_filter(string_split_regex(name, '\\s+'), lambda x: length(x) > 0)) >= 2 THEN 2 ELSE 0 END) + (name = {O.title('name')} OR name = upper(name))::INT - regexp_matches(lower(name), 'rn|ii|0|1|3')::INT END AS ql FROM rv JOIN nodes ON id = orig_id)
+SELECT canon, id FROM (SELECT *, row_number() OVER (PARTITION BY canon ORDER BY c DESC, cl DESC, dot DESC, ql DESC, length(id), id) AS r FROM k) WHERE r = 1""")
+def agg11_canonical_node(spark, d):
+    m = reviewed(spark, d).join(nodes(spark, d).withColumn("orig_id", F.col("id")), "orig_id").withColumn("score", merge.node_score())
+    return m.join(m.groupBy("canon").agg(F.max("score").alias("score")), ["canon", "score"]).groupBy("canon").agg(F.min("id").alias("id"))
+
+
+@query(f"""WITH {_REVIEWED} SELECT canon AS best_id, count(*) AS size, array_to_string(list_sort(list(orig_id)), ',') AS aliases FROM rv GROUP BY canon HAVING count(*) > 1 ORDER BY size DESC, best_id LIMIT 100""")
+def er9_merge_report(spark, d):
+    return merge.merge_report(reviewed(spark, d).withColumnRenamed("canon", "best_id")).select("best_id", "size", *joined("aliases"))
+
+
+@query("""SELECT 'edges' AS kind, count(*) AS n FROM edges WHERE target NOT IN (SELECT id FROM nodes)""")
+def j5_missing_ends(spark, d):
+    miss = table(spark, d, "edges").join(nodes(spark, d).select(F.col("id").alias("target")), "target", "left_anti")
+    return miss.agg(F.count(F.lit(1)).alias("n")).select(F.lit("edges").alias("kind"), "n")
+
+
+@query("SELECT (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM edges) AS edges")
+def agg17_graph_stats(spark, d):
+    from epistola.sources.graph import graph_stats
+
+    return graph_stats(nodes(spark, d), table(spark, d, "edges")).select("nodes", "edges")
+
+
+# --- cleaning -------------------------------------------------------------------------------------------------------------
+
+
+@query()
+def cl_clean_text(spark, d):
+    return cleaning.clean(docs(spark, d).select("hash_id", "text")).select("hash_id", F.md5("cleaned").alias("cleaned"), "total_changes", "text_changed")
+
+
+@query()
+def agg14_fix_totals(spark, d):
+    return cleaning.fix_totals(cleaning.clean(docs(spark, d).select("hash_id", "text")))
+
+
+@query()
+def agg15_document_counters(spark, d):
+    return cleaning.document_counters(cleaning.clean(docs(spark, d).select("hash_id", "text")))
+
+
+@query("""WITH t AS (SELECT hash_id, unnest(list_distinct(regexp_extract_all(lower(text), '\\b[a-z]{4,}\\b'))) AS word FROM documents WHERE lang = 'en' AND regexp_matches(text, '^[\\x00-\\x7f]*$')),
+v AS (SELECT word AS term, count(*) AS n FROM t GROUP BY word), x AS (SELECT DISTINCT word FROM t WHERE word NOT IN (SELECT term FROM v WHERE n > 20))
+SELECT count(*) AS n FROM x""")
+def j15_unknown_words(spark, d):
+    e = docs(spark, d).where((F.col("lang") == "en") & F.col("text").rlike(r"^[\x00-\x7f]*$"))
+    t = e.select("hash_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(\b[a-z]{4,}\b)"), F.lit(1)))).alias("word"))
+    v = t.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where("n > 20")
+    return t.select("word").distinct().join(v, "word", "left_anti").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def cl10_dictionary_fixes(spark, d):
+    t = docs(spark, d).select("hash_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)(\b[a-z]{4,}\b)"), F.lit(1)))).alias("term"))
+    dictionary = t.groupBy("term").agg(F.count(F.lit(1)).alias("count")).where("count > 20")
+    return cleaning.dictionary_fixes(docs(spark, d), dictionary, least_count=20)
+
+
+# --- search, validation, browsing ---------------------------------------------------------------------------------------------
+
+_ONE, _TWO_P = "docket.desk@ema.example.org", "northvale.example.com"
+
+
+@query(f"""SELECT hash_id, 'https://documents.example.org/' || left(hash_id, 2) || '/' || hash_id || '/' || hash_id || '.pdf' AS url FROM documents WHERE hash_id <> ''
+AND regexp_matches(text, '(?i)' || {O.q(search.address_pattern(_ONE))}) AND regexp_matches(text, '(?i)@northvale\\.example\\.com') ORDER BY hash_id LIMIT 500""")
+def flt3_pair_search(spark, d):
+    hit = docs(spark, d).where(F.col("hash_id").isNotNull() & (F.col("hash_id") != "") & search.both_mentioned(search.address_pattern(_ONE), r"@northvale\.example\.com"))
+    return hit.select("hash_id", search.document_url().alias("url")).orderBy("hash_id").limit(search.MAX_DOCS)
+
+
+@query("SELECT hash_id, 'https://documents.example.org/' || left(hash_id, 2) || '/' || hash_id || '/' || hash_id || '.pdf' AS url FROM documents")
+def prj1_document_urls(spark, d):
+    return docs(spark, d).select("hash_id", search.document_url().alias("url"))
+
+
+@query("SELECT source, target, 'bundles/' || least(source, target) || '___' || greatest(source, target) || '.zip' AS key FROM edges")
+def prj2_bundle_keys(spark, d):
+    return table(spark, d, "edges").select("source", "target", F.concat(F.lit("bundles/"), F.array_join(F.array_sort(F.array("source", "target")), "___"), F.lit(".zip")).alias("key"))
+
+
+@query("SELECT id AS email, name, count FROM nodes WHERE NOT EXISTS (SELECT 1 FROM documents WHERE contains(lower(text), lower(id)))")
+def j6_unmatched(spark, d):
+    return search.unmatched(nodes(spark, d), docs(spark, d))
+
+
+_TABLES = ("alias_map", "documents", "domains", "edges", "eval_items", "matches", "messages", "mix_targets", "nodes")
+
+
+@query(" UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS count FROM {t}" for t in _TABLES))
+def src7_collections(spark, d):
+    return browse.collections(spark, {t: table(spark, d, t) for t in _TABLES})
+
+
+@query("SELECT hash_id, original_filename, num_pages FROM documents ORDER BY hash_id LIMIT 20 OFFSET 40")
+def src12_page(spark, d):
+    return browse.page(docs(spark, d).select("hash_id", "original_filename", "num_pages"), "hash_id", 40, 20)
+
+
+@query()
+def src13_describe(spark, d):
+    return browse.describe(docs(spark, d), "hash_id")
+
+
+@query()
+def src4_sample(spark, d):
+    return browse.sample(docs(spark, d).select("hash_id", "year"), 100, key="hash_id")
+
+
+@query("SELECT count(*) AS n FROM documents WHERE text IS NOT NULL AND text <> ''")
+def src5_filtered_count(spark, d):
+    return docs(spark, d).where("text IS NOT NULL AND text <> ''").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT hash_id FROM documents WHERE hash_id <> '' ORDER BY hash_id LIMIT 500")
+def lim1_first_documents(spark, d):
+    return docs(spark, d).where("hash_id IS NOT NULL AND hash_id <> ''").select("hash_id").orderBy("hash_id").limit(500)
+
+
+# --- streaming ----------------------------------------------------------------------------------------------------------------
+
+
+@query(SQL["agg2_edge_stats"])
+def stream_edge_stats(spark, d):
+    name = "edges_" + uuid.uuid4().hex
+    q = stream.run_to_table(stream.edge_stream(spark, f"{d}/documents.parquet"), name, f"{checkpoint_dir(spark)}/{name}")
+    q.awaitTermination()
+    return spark.table(name).select("source", "target", "weight", *joined("years", "doc_ids"))
