@@ -83,17 +83,18 @@ atthe at_the
 LIGATURES = ((r"\bf i(\w+)\b", "fi$1"), (r"\bf l(\w+)\b", "fl$1"), (r"(\w)f f(\w)", "$1ff$2"))
 
 
-def cleaning_rules() -> list[tuple[str, str, str]]:
-    """(statistic, Java pattern, replacement) of every rule that works by replacement, in order."""
-    out = [("control_chars_removed", CONTROL, ""), ("hyphen_breaks_fixed", "(?U)" + HYPHEN_BREAK[0], HYPHEN_BREAK[1])]
+def cleaning_rules() -> list[tuple[str, str, str, str]]:
+    """(statistic, Java pattern, replacement, needle) of every rule that works by replacement, in order. The needle is a lower-case string without which
+    the pattern cannot match; it is empty where there is none."""
+    out = [("control_chars_removed", CONTROL, "", ""), ("hyphen_breaks_fixed", "(?U)" + HYPHEN_BREAK[0], HYPHEN_BREAK[1], "-")]
     for w in BROKEN_WORDS:
         whole = w.replace(" ", "")
-        out.append((f"broken_word_{whole}", rf"(?U{'' if w in CASED else 'i'})\b{w}\b", whole))
+        out.append((f"broken_word_{whole}", rf"(?U{'' if w in CASED else 'i'})\b{w}\b", whole, w))
     for e in BROKEN_ENDINGS:
-        out.append(("broken_suffixes_fixed", rf"(?U)\b(\w{{2,}}){e}\b", "$1" + e.replace(" ", "")))
+        out.append(("broken_suffixes_fixed", rf"(?U)\b(\w{{2,}}){e}\b", "$1" + e.replace(" ", ""), e))
     for line in CONFUSIONS:
         bad, good, *any_ = line.split()
         good = good.replace("_", " ")
-        out.append((f"char_fix_{good}", rf"(?U{'i' if any_ else ''})\b{bad}\b", good))
-    out += [("ligatures_fixed", "(?U)" + p, r) for p, r in LIGATURES]
-    return [*out, ("multi_spaces_fixed", *SPACES), ("missing_spaces_added", *MISSING_SPACE)]
+        out.append((f"char_fix_{good}", rf"(?U{'i' if any_ else ''})\b{bad}\b", good, bad.lower()))
+    out += [("ligatures_fixed", "(?U)" + p, r, n) for (p, r), n in zip(LIGATURES, ("f i", "f l", "f f"))]
+    return [*out, ("multi_spaces_fixed", *SPACES, "  "), ("missing_spaces_added", *MISSING_SPACE, "")]

@@ -136,12 +136,31 @@ class Resolution:
         return hit.groupBy("canon").agg(F.min_by("target", F.struct("i", "side", -F.length("known"), "known")).alias("dst")).select(F.col("canon").alias("src"), "dst")
 
     def fuzzy_candidates(self) -> DataFrame:
-        """Pairs of one domain within the edit bound: two, or a fifth of the shorter local part; the first is the shorter, then the lesser."""
-        c = self.named().withColumn("n", F.length("local")).where("n >= 2 AND domain <> ''")
-        a, b = (c.select("domain", *[F.col(x).alias(f"{x}_{s}") for x in ("canon", "local", "total", "name", "n")]) for s in "ab")
-        near = (F.struct("n_a", "local_a", "canon_a") < F.struct("n_b", "local_b", "canon_b")) & (F.col("n_b") - F.col("n_a") <= F.col("bound"))
-        a = a.withColumn("bound", F.greatest(F.lit(2), F.expr("n_a div 5")))
-        return a.join(b, "domain").where(near).withColumn("dist", F.levenshtein("local_a", "local_b")).where("dist <= bound")
+        """Pairs of one domain within the edit bound: two, or a fifth of the shorter local part; the first is the shorter, then the lesser.
+
+        By pigeonhole, without comparing a domain's addresses with each other: the shorter local part is cut evenly into one piece more than its bound, so one piece stands
+        whole in the longer one, shifted by no more than the edits before or behind it allow. Pieces and the substrings that may equal them meet in a
+        hash join; a domain of a tenth of all nodes costs no more than its share.
+        """
+        c = self.scratch.save(self.named().withColumn("n", F.length("local")).where("n >= 2 AND domain <> ''"))
+        bound = "greatest(2, n div 5)"
+        # Piece i of k = bound + 1 begins at i * (n div k) plus one for every longer piece before it; the longer pieces come last.
+        start = "i * (n div (t + 1)) + greatest(0, i - (t + 1 - n % (t + 1)))"
+        size = "(n div (t + 1)) + if(i >= t + 1 - n % (t + 1), 1, 0)"
+        key = F.xxhash64("domain", F.col("n").cast("int"), F.col("i").cast("int"), "piece").alias("key")
+        a = c.select("canon", "domain", "local", "n", F.expr(bound).alias("t")).select("*", F.explode(F.expr("sequence(0, t)")).alias("i"))
+        a = a.withColumn("piece", F.expr(f"substring(local, {start} + 1, {size})")).select(key, F.col("canon").alias("canon_a"))
+        b = c.select("canon", "domain", "local", F.col("n").alias("m")).select("*", F.explode(F.expr("sequence(greatest(2, m - greatest(2, m div 5)), m)")).alias("n"))
+        b = b.withColumn("t", F.expr(bound)).where("m - n <= t").select("*", F.explode(F.expr("sequence(0, t)")).alias("i"))
+        b = b.withColumn("s", F.expr(start)).withColumn("z", F.expr(size))
+        b = b.withColumn("lo", F.expr("greatest(0, s - i, s + (m - n) - (t - i))")).withColumn("hi", F.expr("least(m - z, s + i, s + (m - n) + (t - i))")).where("lo <= hi")
+        b = b.select("canon", "domain", "local", "n", "i", "z", F.explode(F.expr("sequence(lo, hi)")).alias("p")).withColumn("piece", F.expr("substring(local, p + 1, z)")).select(key, F.col("canon").alias("canon_b")).distinct()
+        pairs = a.join(b, "key").where("canon_a <> canon_b").select("canon_a", "canon_b").distinct()
+        for side in "ab":
+            pairs = pairs.join(c.select(*[F.col(x).alias(f"{x}_{side}") for x in ("canon", "domain", "local", "total", "name", "n")]), f"canon_{side}")
+        near = (F.col("domain_a") == F.col("domain_b")) & (F.struct("n_a", "local_a", "canon_a") < F.struct("n_b", "local_b", "canon_b"))
+        pairs = pairs.where(near).withColumn("bound", F.expr("greatest(2, n_a div 5)")).where("n_b - n_a <= bound")
+        return pairs.withColumn("dist", F.levenshtein("local_a", "local_b")).where("dist <= bound")
 
     def fuzzy(self) -> DataFrame:
         """Components of the fuzzy pairs, each led by its member of most traffic. Names speak at the bound, and against merging two busy addresses of like traffic."""
