@@ -66,7 +66,7 @@ def build_domain(d: C) -> Column:
         for k, v in (rules.STATE_AGENCIES_BUILD | rules.BUILD_REPAIRS).items():
             out = out.when(x == k, F.lit(v))
         out = out.when(x.endswith(".govl"), F.regexp_replace(x, "l$", ""))
-        return out.when(x.contains(".") & last.isin(*rules.BUILD_ENDINGS), F.regexp_replace(x, r"[^.]*$", "gov")).otherwise(x)
+        return out.when(x.contains(".") & last.isin(*rules.BUILD_ENDINGS), F.concat(F.regexp_extract(x, r"^(.*\.)[^.]*$", 1), F.lit("gov"))).otherwise(x)
 
     return let(F.regexp_replace(F.trim(F.lower(_col(d))), r"^\.+", ""), ruled)
 
