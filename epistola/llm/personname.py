@@ -89,7 +89,7 @@ def read_name(name: str | None) -> Parts | None:
     upper = [w.isupper() and len(w) == 2 for w in words]
     if all(w in ROLES for w in low if w):
         return Parts(last="".join(low), org="role") if any(low) else None
-    if any(w in ORG_WORDS for w in low) or (any(upper) and len(low) == 2):
+    if any(w in ORG_WORDS for w in low) or (any(upper) and sum(w not in ORG_ENDS for w in low) == 2):
         return _org([w for w in low if w], [w.lower() for w, u in zip(words, upper) if u])
     # A part in lower case after one with a capital was torn off it.
     joined: list[str] = []
