@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from functools import lru_cache
 from difflib import SequenceMatcher
 
 _PAGE = re.compile(r"^\W{0,3}(?:p(?:age|g|p)?[.,]?\s*\d{1,4}(?:\s*(?:of|/)\s*\d{1,4})?|\d{1,3}\s*(?:of|/)\s*\d{1,3})\W{0,3}$|^[\[(-]\s*\d{1,4}\s*[\])-]$", re.I)
@@ -13,18 +14,27 @@ _PART = re.compile(r"\s{2,}")
 _END = re.compile(r"[.!?:;,][\"'”’)\]]*$")
 
 
+def _NO_STAMP(s: str) -> bool:
+    return not any(c in "0123456789lIO" for c in s)
+
+
+_NOT_LETTERS = re.compile(r"[^a-z]")
+
+
+@lru_cache(8192)
 def shape(line: str) -> str:
     """A line reduced so that misread copies of one running header look alike: letters folded, figures and blanks dropped."""
     s = line.lower()
     for a, b in (("rn", "m"), ("cl", "d"), ("vv", "w"), ("ri", "n"), ("1", "l"), ("i", "l"), ("0", "o"), ("5", "s"), ("6", "b")):
         s = s.replace(a, b)
-    return re.sub(r"[^a-z]", "", s)
+    return _NOT_LETTERS.sub("", s)
 
 
+@lru_cache(8192)
 def is_stamp(line: str) -> bool:
     """Whether a line consists of page numbers and stamps only."""
     s = line.strip()
-    return bool(s) and bool(_PAGE.match(s) or _STAMP.match(s) or all(_PAGE.match(x) or _STAMP.match(x) for x in _PART.split(s)))
+    return bool(s) and len(s) < 60 and not _NO_STAMP(s) and bool(_PAGE.match(s) or _STAMP.match(s) or all(_PAGE.match(x) or _STAMP.match(x) for x in _PART.split(s)))
 
 
 def _alike(a: str, b: str) -> bool:
@@ -32,11 +42,14 @@ def _alike(a: str, b: str) -> bool:
     return SequenceMatcher(None, a, b, autojunk=False).ratio() >= 0.85
 
 
+@lru_cache(8192)
 def title_like(line: str) -> bool:
     """Whether a line could be a running header: a few words, all capitalised but for particles, and no punctuation at the end."""
     s = _bare(line.strip())
-    words = re.findall(r"[^\W\d_]+", s)
-    if not words or len(s) > 60 or len(words) > 9 or _END.search(s) or "@" in s or "|" in s:
+    if not s or len(s) > 60 or s[0].islower():
+        return False
+    words = _LETTERS.findall(s)
+    if not words or len(words) > 9 or _END.search(s) or "@" in s or "|" in s:
         return False
     return max(map(len, words)) >= 3 and all(w[0].isupper() or w in _PARTICLES for w in words)
 
@@ -44,16 +57,25 @@ def title_like(line: str) -> bool:
 _PARTICLES = frozenset("of for the and no in on to".split())
 
 
+_LOW = re.compile(r"(?<![^\W_])[a-zß-öø-ÿ]{2,}(?![\w@.])")
+_FULL = re.compile(r"[.!?][\"'”’]*\s*$")
+_LETTERS = re.compile(r"[^\W\d_]+")
+_FIGURES = re.compile(r"^\d{2,6}$")
+
+
+@lru_cache(8192)
 def running(line: str) -> bool:
     """Whether a line holds running text: several words in lower case, or a few and a sentence's end."""
-    n = len(re.findall(r"(?<![^\W_])[a-zß-öø-ÿ]{2,}(?![\w@.])", line))
-    return "@" not in line and (n >= 4 or n >= 2 and bool(re.search(r"[.!?][\"'”’]*\s*$", line)))
+    if "@" in line:
+        return False
+    n = len(_LOW.findall(line))
+    return n >= 4 or n >= 2 and _FULL.search(line) is not None
 
 
 def furniture_lines(lines: list[str]) -> set[int]:
     """Line indices that are page furniture by what they look like: stamps and page numbers, a bare number that interrupts running
     text or stands beside another piece of furniture, and a header: a line like a title that recurs in the text or touches one of those."""
-    short = {k: x.strip() for k, x in enumerate(lines) if 0 < len(x.strip()) < 60}
+    short = {k: s for k, x in enumerate(lines) if len(x) < 80 and 0 < len(s := x.strip()) < 60 and s[0] not in ">|"}
     out = {k for k, s in short.items() if is_stamp(s)}
     titles = {k for k, s in short.items() if k not in out and title_like(s)}
     shapes = Counter(shape(_bare(short[k])) for k in titles)
@@ -68,7 +90,7 @@ def furniture_lines(lines: list[str]) -> set[int]:
     for k, s in short.items():
         if k not in out and _NUMBER.match(s):
             before, after = k - 1, k + 1
-            if (text(before) and text(after)) or ({before, after} & out and not any(0 <= x < len(lines) and x not in out and re.match(r"^\d{2,6}$", lines[x].strip()) for x in (before, after))):
+            if (text(before) and text(after)) or ({before, after} & out and not any(0 <= x < len(lines) and x not in out and _FIGURES.match(lines[x].strip()) for x in (before, after))):
                 out.add(k)
     grown = True
     while grown:
