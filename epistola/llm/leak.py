@@ -133,7 +133,11 @@ class Pieces:
         most = held.max()
         if most < self.need[i]:
             return False
-        for s in starts[held == most]:
+        # A word of the stretch that its surroundings lack costs an edit: no more than k may be lacking.
+        near = doc[max(0, int((p - q).min()) - k) : len(w) + int((p - q).max()) + k]
+        there = np.concatenate(([0], np.cumsum(np.isin(w, near))))
+        starts = starts[(held == most) & (there[m:] - there[: len(w) - m + 1] >= m - k)]
+        for s in starts:
             own = (q >= s) & (q + PIECE <= s + m)
             d = p[own] - q[own]
             lo, hi = max(0, s + int(d.min()) - k), s + m + int(d.max()) + k
