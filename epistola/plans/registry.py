@@ -162,13 +162,32 @@ over_nodes("f13_canonical_address", lambda: A.canonical_address("id"), O.canonic
 over_nodes("f13_sorted_local", lambda: A.sorted_local(A.local_of("id")), O.sorted_local(O.local("id")))
 over_nodes("f15_structural", lambda: A.structural("id"), O.cleaned("id"))
 over_nodes("f18_match_local", lambda: A.match_local(A.local_of("id")), O.replaced(O.local("id"), rules.LOCAL_CHARACTERS))
-over_nodes("f19_display_local", lambda: A.display_local(A.local_of("id")), None)
+def _display_sql(x: str) -> str:
+    """Captured neighbours instead of lookaround, twice over, so that neighbours that share a letter are both seen."""
+    for a, b in rules.DISPLAY_INNER:
+        for _ in range(2):
+            x = f"regexp_replace({x}, '([a-z]){a}([a-z])', '\\1{b}\\2', 'g')"
+    for a, b in rules.DISPLAY_FIRST:
+        x = f"regexp_replace({x}, '^{a}([a-z]{{3,}})', '{b}\\1')"
+    return f"CASE WHEN regexp_matches(p, '^[0-9]+$') THEN p ELSE {x} END"
+
+
+over_nodes("f19_display_local", lambda: A.display_local(A.local_of("id")), f"array_to_string(list_transform(regexp_extract_all({O.local('id')}, '[._]|[^._]+'), lambda p: {_display_sql('p')}), '')")
 over_nodes("f21_title", lambda: A.title("name"), O.title("name"))
 over_nodes("f22_name_distance", lambda: F.levenshtein(F.lower(A.local_of("id")), F.lower(A.sorted_local(A.local_of("id")))).cast("long"), f"levenshtein(lower({O.local('id')}), lower({O.sorted_local(O.local('id'))}))::BIGINT")
 over_nodes("f23_jaro_winkler", lambda: F.round(jaro_winkler_udf(F.lower("name"), F.replace(A.local_of("id"), F.lit("."), F.lit(" "))), 9), None)
-over_nodes("f24_split_initial", lambda: merge.split_initial(A.title(A.local_of("id"))), None)
-over_nodes("f25_name_from_id", lambda: merge.name_from_id(F.col("id")), None)
-over_nodes("f26_name_order", lambda: merge.fixed_order(F.col("name"), F.col("id"), F.lit("epa.gov")), None)
+_ROLES = O.listed(sorted(rules.GENERIC_LOCALS))
+_SPLIT = lambda x: f"CASE WHEN length({x}) >= 5 AND regexp_matches({x}, '^\\p{{Lu}}\\S{{3,}}$') AND lower({x}) NOT IN ({O.listed(sorted(rules.FIRST_NAMES | rules.GENERIC_LOCALS))}) THEN left({x}, 1) || '. ' || {O.title(f'substr({x}, 2)')} END"
+_PARTS = O.parts(O.local("id"))
+_W = "list_filter(string_split_regex(name, '\\s+'), lambda w: length(w) > 0)"
+over_nodes("f24_split_initial", lambda: merge.split_initial(A.title(A.local_of("id"))), _SPLIT(f"({O.title(O.local('id'))})"))
+over_nodes(
+    "f25_name_from_id",
+    lambda: merge.name_from_id(F.col("id")),
+    f"""CASE WHEN NOT contains(id, '@') OR len({_PARTS}) = 0 THEN '' WHEN len({_PARTS}) = 1 THEN CASE WHEN lower({_PARTS}[1]) IN ({_ROLES}) THEN '' ELSE coalesce({_SPLIT(f"({O.title(f'{_PARTS}[1]')})")}, {O.title(f'{_PARTS}[1]')}) END
+    ELSE array_to_string(list_transform({_PARTS}, lambda p: {O.title('p').replace('lambda x', 'lambda y').replace('(x,', '(y,')}), ' ') END""",
+)
+over_nodes("f26_name_order", lambda: merge.fixed_order(F.col("name"), F.col("id"), F.lit("epa.gov")), f"CASE WHEN len({_W}) = 2 AND len({_PARTS}) = 2 AND lower({_W}[1]) = {_PARTS}[1] AND lower({_W}[2]) = {_PARTS}[2] THEN {_W}[2] || ' ' || {_W}[1] ELSE name END")
 over_nodes("agg9_name_key", lambda: resolve.name_key("name"), "CASE WHEN len(list_filter(string_split_regex(lower(name), '\\s+'), lambda x: length(x) > 0)) >= 2 THEN array_to_string(list_sort(list_filter(string_split_regex(lower(name), '\\s+'), lambda x: length(x) > 0)), ' ') END")
 
 _NAME = "regexp_replace(regexp_replace(name, '^\\s+|\\s+$', '', 'g'), '^[\"'']+|[\"'']+$', '', 'g')"
@@ -378,29 +397,38 @@ def agg17_graph_stats(spark, d):
 # --- cleaning -------------------------------------------------------------------------------------------------------------
 
 
-@query()
+def _clean_sql(select: str) -> str:
+    """The rules as a chain of CTEs, each with the count of its pattern before it applies, and ``select`` from the last."""
+    steps, last = ["c0 AS (SELECT hash_id, text AS was, text, []::BIGINT[] AS n FROM documents)"], "c0"
+    for i, (_, p, r, _n) in enumerate(cleaning.RULES, 1):
+        p = p.replace("(?Ui)", "(?i)").replace("(?U)", "").replace(r"\w", r"[\pL\pN_]")
+        r = r.replace("$1", "\\1").replace("$2", "\\2")
+        steps.append(f"c{i} AS MATERIALIZED (SELECT hash_id, was, regexp_replace(text, {O.q(p)}, {O.q(r)}, 'g') AS text, list_append(n, coalesce(len(regexp_extract_all(text, {O.q(p)})), 0)) AS n FROM {last})")
+        last = f"c{i}"
+    return f"WITH {', '.join(steps)} {select.format(last=last)}"
+
+
+@query(_clean_sql("SELECT hash_id, md5(text) AS cleaned, list_sum(n)::BIGINT AS total_changes, coalesce(text <> was, false) AS text_changed FROM {last}"))
 def cl_clean_text(spark, d):
     return cleaning.clean(docs(spark, d).select("hash_id", "text")).select("hash_id", F.md5("cleaned").alias("cleaned"), "total_changes", "text_changed")
 
 
-@query()
+@query(_clean_sql("SELECT fix, sum(k)::BIGINT AS n FROM (SELECT unnest([" + O.listed([r[0] for r in cleaning.RULES]) + "]) AS fix, unnest(n) AS k FROM {last} WHERE text <> was) WHERE k > 0 GROUP BY fix"))
 def agg14_fix_totals(spark, d):
     return cleaning.fix_totals(cleaning.clean(docs(spark, d).select("hash_id", "text")))
 
 
-@query()
+@query(_clean_sql("SELECT count(*) AS docs_processed, count(*) FILTER (text <> was) AS docs_changed, round(100.0 * count(*) FILTER (text <> was) / nullif(count(*), 0), 6) AS percent FROM {last}"))
 def agg15_document_counters(spark, d):
     return cleaning.document_counters(cleaning.clean(docs(spark, d).select("hash_id", "text")))
 
 
-@query("""WITH t AS (SELECT hash_id, unnest(list_distinct(regexp_extract_all(lower(text), '\\b[a-z]{4,}\\b'))) AS word FROM documents WHERE lang = 'en' AND regexp_matches(text, '^[\\x00-\\x7f]*$')),
-v AS (SELECT word AS term, count(*) AS n FROM t GROUP BY word), x AS (SELECT DISTINCT word FROM t WHERE word NOT IN (SELECT term FROM v WHERE n > 20))
-SELECT count(*) AS n FROM x""")
+@query("""WITH t AS (SELECT hash_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]{4,}'))) AS word FROM documents),
+v AS (SELECT word AS term FROM t GROUP BY word HAVING count(*) > 20) SELECT word, count(*) AS docs FROM t WHERE word NOT IN (SELECT term FROM v) GROUP BY word""")
 def j15_unknown_words(spark, d):
-    e = docs(spark, d).where((F.col("lang") == "en") & F.col("text").rlike(r"^[\x00-\x7f]*$"))
-    t = e.select("hash_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(\b[a-z]{4,}\b)"), F.lit(1)))).alias("word"))
-    v = t.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where("n > 20")
-    return t.select("word").distinct().join(v, "word", "left_anti").agg(F.count(F.lit(1)).alias("n"))
+    t = docs(spark, d).select("hash_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{4,})"), F.lit(1)))).alias("word"))
+    known = t.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where("n > 20").select("word")
+    return t.join(known, "word", "left_anti").groupBy("word").agg(F.count(F.lit(1)).alias("docs"))
 
 
 @query()
