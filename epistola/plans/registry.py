@@ -507,3 +507,114 @@ def stream_edge_stats(spark, d):
     q = stream.run_to_table(stream.edge_stream(spark, f"{d}/documents.parquet"), name, f"{checkpoint_dir(spark)}/{name}")
     q.awaitTermination()
     return spark.table(name).select("source", "target", "weight", *joined("years", "doc_ids"))
+
+
+# --- further operators, one by one ------------------------------------------------------------------------------------------------
+
+
+@query("SELECT domain, count(*) AS count FROM nodes WHERE domain <> '' GROUP BY domain")
+def agg7_domain_counts(spark, d):
+    return nodes(spark, d).where("domain <> ''").groupBy("domain").agg(F.count(F.lit(1)).alias("count"))
+
+
+@query(f"WITH {_REVIEWED} SELECT count(DISTINCT canon) AS groups, count(*) AS ids, (SELECT count(*) FROM (SELECT canon FROM rv GROUP BY canon HAVING count(*) > 1)) AS merged_groups FROM rv")
+def agg16_group_counts(spark, d):
+    sizes = reviewed(spark, d).groupBy("canon").agg(F.count(F.lit(1)).alias("n"))
+    return sizes.agg(F.count(F.lit(1)).alias("groups"), F.sum("n").alias("ids"), F.count_if(F.col("n") > 1).alias("merged_groups"))
+
+
+@query("SELECT source, target, weight FROM edges WHERE source <> target")
+def flt9_no_self_loops(spark, d):
+    return table(spark, d, "edges").where("source <> target").select("source", "target", "weight")
+
+
+@query("SELECT source, target, weight FROM edges WHERE source IN (SELECT id FROM nodes) AND target IN (SELECT id FROM nodes)")
+def j5_edges_with_both_ends(spark, d):
+    ids, e = nodes(spark, d).select("id"), table(spark, d, "edges")
+    for end in ("source", "target"):
+        e = e.join(ids.withColumnRenamed("id", end), end, "left_semi")
+    return e.select("source", "target", "weight")
+
+
+@query(f"WITH {_REVIEWED} SELECT orig_id, canon FROM rv")
+def j1_remapped_ids(spark, d):
+    return reviewed(spark, d)
+
+
+@query(f"""WITH {_REVIEWED} SELECT canon, array_to_string(list_sort(list(orig_id)), ',') AS originals, sum(coalesce(count, 0))::BIGINT AS total FROM rv JOIN nodes ON id = orig_id GROUP BY canon""")
+def j4_group_members(spark, d):
+    m = reviewed(spark, d).join(nodes(spark, d).select(F.col("id").alias("orig_id"), "count"), "orig_id")
+    return m.groupBy("canon").agg(F.array_join(F.array_sort(F.collect_list("orig_id")), ",").alias("originals"), F.sum(F.coalesce("count", F.lit(0))).alias("total"))
+
+
+@query("""WITH x AS (SELECT id, split_part(id, '@', 1) AS local, domain FROM nodes WHERE domain IS NOT NULL) SELECT a.id AS id_a, b.id AS id_b, levenshtein(a.domain, b.domain)::BIGINT AS dist FROM x a JOIN x b USING (local)
+WHERE a.id < b.id AND a.domain <> b.domain AND levenshtein(a.domain, b.domain) <= greatest(3, greatest(length(a.domain), length(b.domain)) // 3)""")
+def j12_same_local_like_domain(spark, d):
+    x = nodes(spark, d).where("domain IS NOT NULL").select("id", A.local_of("id").alias("local"), "domain")
+    a, b = (x.select("local", F.col("id").alias(f"id_{s}"), F.col("domain").alias(f"domain_{s}")) for s in "ab")
+    p = a.join(b, "local").where("id_a < id_b AND domain_a <> domain_b").withColumn("dist", F.levenshtein("domain_a", "domain_b").cast("long"))
+    return p.where(F.col("dist") <= F.greatest(F.lit(3), F.expr("greatest(length(domain_a), length(domain_b)) div 3"))).select("id_a", "id_b", "dist")
+
+
+_KEYED = "k AS (SELECT id, split_part(id, '@', 1) AS local, array_to_string(list_sort(list_filter(string_split_regex(lower(name), '\\s+'), lambda x: length(x) > 0)), ' ') AS key FROM nodes WHERE name <> '')"
+
+
+def _keyed(spark: SparkSession, d: str) -> DataFrame:
+    w = F.array_sort(F.filter(F.split(F.lower("name"), r"\s+"), lambda x: F.length(x) > 0))
+    return nodes(spark, d).where("name <> ''").select("id", A.local_of("id").alias("local"), F.array_join(w, " ").alias("key"))
+
+
+@query(f"WITH {_KEYED} SELECT a.id AS id_a, b.id AS id_b FROM k a JOIN k b USING (local, key) WHERE a.id < b.id")
+def j13_same_local_and_name(spark, d):
+    a, b = (_keyed(spark, d).select("local", "key", F.col("id").alias(f"id_{s}")) for s in "ab")
+    return a.join(b, ["local", "key"]).where("id_a < id_b").select("id_a", "id_b")
+
+
+@query(f"WITH {_KEYED} SELECT a.id AS id_a, b.id AS id_b, levenshtein(a.local, b.local)::BIGINT AS dist FROM k a JOIN k b USING (key) WHERE a.id < b.id AND contains(key, ' ') AND levenshtein(a.local, b.local) <= greatest(2, least(length(a.local), length(b.local)) // 4)")
+def j14_same_name_like_local(spark, d):
+    a, b = (_keyed(spark, d).where("contains(key, ' ')").select("key", F.col("local").alias(f"local_{s}"), F.col("id").alias(f"id_{s}")) for s in "ab")
+    p = a.join(b, "key").where("id_a < id_b").withColumn("dist", F.levenshtein("local_a", "local_b").cast("long"))
+    return p.where(F.col("dist") <= F.greatest(F.lit(2), F.expr("least(length(local_a), length(local_b)) div 4"))).select("id_a", "id_b", "dist")
+
+
+@query("""SELECT id, 'near' AS kind FROM nodes WHERE ends_with(domain, '.gov') AND (length(domain) = 7 AND levenshtein(left(domain, 3), 'epa') <= 1)
+UNION ALL SELECT id, 'near' FROM nodes WHERE ends_with(domain, '.gov') AND length(domain) = 8 AND least(levenshtein(substr(domain, 2, 3), 'epa'), levenshtein(left(domain, 1) || substr(domain, 3, 2), 'epa'), levenshtein(left(domain, 2) || substr(domain, 4, 1), 'epa'), levenshtein(left(domain, 3), 'epa')) <= 1""")
+def f17_near_agency(spark, d):
+    return nodes(spark, d).where("domain IS NOT NULL").where(A.near_agency(F.col("domain"))).select("id", F.lit("near").alias("kind"))
+
+
+@query("""WITH t AS (SELECT source, target, list_distinct(list_filter(string_split_regex(lower(a.name), '\\s+'), lambda x: length(x) > 0)) AS p, list_distinct(list_filter(string_split_regex(lower(b.name), '\\s+'), lambda x: length(x) > 0)) AS q
+FROM (SELECT DISTINCT source, target FROM edges) JOIN nodes a ON a.id = source JOIN nodes b ON b.id = target WHERE a.name <> '' AND b.name <> '')
+SELECT source, target, len(list_intersect(p, q))::BIGINT AS common, len(list_distinct(list_concat(p, q)))::BIGINT AS either FROM t""")
+def set3_name_tokens(spark, d):
+    w = nodes(spark, d).where("name <> ''").select("id", F.array_distinct(F.filter(F.split(F.lower("name"), r"\s+"), lambda x: F.length(x) > 0)).alias("w"))
+    e = table(spark, d, "edges").select("source", "target").distinct()
+    t = e.join(w.select(F.col("id").alias("source"), F.col("w").alias("p")), "source").join(w.select(F.col("id").alias("target"), F.col("w").alias("q")), "target")
+    return t.select("source", "target", F.size(F.array_intersect("p", "q")).cast("long").alias("common"), F.size(F.array_union("p", "q")).cast("long").alias("either"))
+
+
+@query("SELECT source, array_to_string(list_sort(list_distinct(flatten(list(coalesce(years, []))))), ',') AS years, sum(coalesce(weight, 1))::BIGINT AS weight FROM edges GROUP BY source")
+def set2_united_years(spark, d):
+    e = table(spark, d, "edges")
+    years = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce("years", F.expr("cast(array() as array<int>)"))))))
+    return e.groupBy("source").agg(F.array_join(years.cast("array<string>"), ",").alias("years"), F.sum(F.coalesce("weight", F.lit(1))).alias("weight"))
+
+
+@query("SELECT hash_id, coalesce(regexp_extract(lower(text), '[a-z0-9][a-z0-9._-]+@[a-z0-9.-]+\\.(com|net|org|edu|gov|mil|co|io|me|info|biz)'), '') AS first_address, len(regexp_extract_all(text, '[a-z0-9][a-z0-9._-]+@[a-z0-9.-]+\\.(com|net|org|edu|gov|mil|co|io|me|info|biz)', 0, 'i'))::BIGINT AS addresses FROM documents")
+def f1_address_scan(spark, d):
+    p = rules.ADDRESS
+    return docs(spark, d).select("hash_id", F.regexp_extract(F.lower("text"), p, 0).alias("first_address"), F.size(F.regexp_extract_all("text", F.lit("(?i)" + p), F.lit(0))).cast("long").alias("addresses"))
+
+
+_NAMED = f"""nm0 AS (SELECT hash_id, generate_subscripts(regexp_extract_all(text, {O.q(rules.FROM_NAMED)}, 2, 'i'), 1) AS i, lower(unnest(regexp_extract_all(text, {O.q(rules.FROM_NAMED)}, 2, 'i'))) AS a, unnest(regexp_extract_all(text, {O.q(rules.FROM_NAMED)}, 1, 'i')) AS name FROM docs),
+nm1 AS (SELECT hash_id, i, {O.build_address('a')} AS email, name, hash_id || '|' || i AS id FROM nm0 WHERE {O.valid('a')} AND length(regexp_replace(name, '^\\s+|\\s+$', '', 'g')) > 1),
+nm2 AS (SELECT id, value FROM ({_F8.replace('FROM nodes)', 'FROM nm1)')}) WHERE value IS NOT NULL),
+nm3 AS (SELECT hash_id, email, value AS name, row_number() OVER (PARTITION BY hash_id, email ORDER BY i DESC) AS r FROM nm1 JOIN nm2 USING (id)),
+shown AS (SELECT email, name FROM (SELECT email, name, row_number() OVER (PARTITION BY email ORDER BY hash_id, name) AS k FROM nm3 WHERE r = 1 AND hash_id IN (SELECT hash_id FROM addr)) WHERE k = 1)"""
+SQL["agg3_display_names"] = f"WITH {O.messages()}, {_NAMED} SELECT email, name FROM shown"
+_FROM_ADDRESS = f"regexp_replace(regexp_replace({O.local('id')}, '\\.+', '.', 'g'), '^\\.+|\\.+$', '', 'g')"
+_NAME_PARTS = f"list_filter(string_split_regex(regexp_replace({_FROM_ADDRESS}, '[._]', ' ', 'g'), '\\s+'), lambda p: length(p) > 0)"
+SQL["flt6_export_nodes"] = f"""WITH {O.messages()}, {O.stats()}, {O.mapping()}, {_CONS_NODES}, {_NAMED}, best AS (SELECT coalesce(canon, email) AS id, arg_min(name, email) AS name FROM shown LEFT JOIN vmap USING (email) GROUP BY 1),
+made AS (SELECT id, {_NAME_PARTS} AS p, {O.build_domain(O.domain('id'))} = 'epa.gov' AND len({_NAME_PARTS}) = 2 AND len(list_filter({_NAME_PARTS}, lambda p: length(p) > 1 AND regexp_matches(regexp_replace(p, '[-'']', '', 'g'), '^\\p{{L}}+$'))) = 2 AS turn FROM cn)
+SELECT cn.id, coalesce(best.name, {O.title("array_to_string(CASE WHEN turn THEN list_reverse(p) ELSE p END, ' ')")}) AS name, {O.domain('cn.id')} AS domain, sent, received, sent + received AS count, len(domains) AS domain_count, {s_joined('years', 'aliases')}
+FROM cn JOIN made ON made.id = cn.id LEFT JOIN best ON best.id = cn.id WHERE sent + received >= 2"""
