@@ -10,8 +10,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Largest plan-estimated size (bytes) of a side that an operator may broadcast by hint.
-BROADCAST_LIMIT = 32 << 20
+#: Largest plan-estimated size (bytes) of a side that an operator may broadcast by hint. Estimates of stored tables are of compressed files.
+BROADCAST_LIMIT = 4 << 20
 
 
 def build_session(app: str = "epistola", master: str | None = None, shuffle_partitions: int | None = None, **conf: str) -> SparkSession:
