@@ -6,6 +6,7 @@ The graph is reduced before it is solved. Each round *rakes* the vertices of deg
 minimum degree three. That core is solved by hooking every vertex to its neighbour of least random rank, pointer jumping
 and contraction. The removed vertices form a forest over the roots; its labels are restored by pointer jumping.
 
+All joins merge: sides shrink together from round to round, and a broadcast per join and round would fill the driver.
 Every round ends in a table in the shared checkpoint folder. Nothing but row counts reaches the driver.
 """
 
@@ -26,7 +27,7 @@ def _degrees(edges: DataFrame) -> DataFrame:
 
 def _with_degrees(edges: DataFrame) -> DataFrame:
     deg = _degrees(edges)
-    return edges.join(deg.select(F.col("v").alias("a"), F.col("deg").alias("da")), "a").join(deg.select(F.col("v").alias("b"), F.col("deg").alias("db")), "b")
+    return edges.join(deg.select(F.col("v").alias("a"), F.col("deg").alias("da")).hint("merge"), "a").join(deg.select(F.col("v").alias("b"), F.col("deg").alias("db")).hint("merge"), "b")
 
 
 def _rake(scratch: Scratch, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -43,7 +44,7 @@ def _rank_chains(scratch: Scratch, arcs: DataFrame) -> DataFrame:
     cur, active, cycles = scratch.save(arcs), None, False
     while True:
         nxt = cur.select(F.col("v").alias("t"), F.col("f").alias("tf"), F.col("t").alias("t2"), F.col("tf").alias("tf2"), F.col("hops").alias("h2"), F.col("m").alias("m2"))
-        step = cur.join(nxt, ["t", "tf"], "left").select(
+        step = cur.join(nxt.hint("merge"), ["t", "tf"], "left").select(
             "v",
             "f",
             F.coalesce("t2", "t").alias("t"),
@@ -92,7 +93,7 @@ def _contract(scratch: Scratch, edges: DataFrame, seed: int) -> tuple[DataFrame,
     hook = both.groupBy("v").agg(F.min(rank("w")).alias("n")).withColumn("own", rank("v"))
     forest = _jump(scratch, hook.select("v", F.when(F.col("n") < F.col("own"), F.col("n.id")).otherwise(F.col("v")).alias("p")))
     ra, rb = (forest.select(F.col("v").alias(x), F.col("p").alias(f"r{x}")) for x in "ab")
-    ends = edges.join(ra, "a").join(rb, "b").where("ra <> rb")
+    ends = edges.join(ra.hint("merge"), "a").join(rb.hint("merge"), "b").where("ra <> rb")
     return ends.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), forest.where("v <> p")
 
 
@@ -101,7 +102,7 @@ def _jump(scratch: Scratch, forest: DataFrame) -> DataFrame:
     cur = scratch.save(forest)
     while True:
         up = cur.select(F.col("v").alias("p"), F.col("p").alias("q"))
-        new = scratch.save(cur.join(up, "p", "left").select("v", F.coalesce("q", "p").alias("p"), (F.coalesce("q", "p") != F.col("p")).alias("moved")))
+        new = scratch.save(cur.join(up.hint("merge"), "p", "left").select("v", F.coalesce("q", "p").alias("p"), (F.coalesce("q", "p") != F.col("p")).alias("moved")))
         more = not new.where("moved").isEmpty()
         scratch.drop(cur)
         if not more:
@@ -123,7 +124,7 @@ def connected_groups(links: DataFrame, src: str = "src", dst: str = "dst", node:
     pairs = scratch.save(pairs.select(F.least("s", "d").alias("s"), F.greatest("s", "d").alias("d")).distinct())
     ids = scratch.save(pairs.select(F.explode(F.array("s", "d")).alias("id")).distinct().withColumn("v", F.monotonically_increasing_id()))
     a, b = (ids.select(F.col("id").alias(x), F.col("v").alias(y)) for x, y in (("s", "a"), ("d", "b")))
-    edges = scratch.save(pairs.join(a, "s").join(b, "d").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+    edges = scratch.save(pairs.join(a.hint("merge"), "s").join(b.hint("merge"), "d").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
     scratch.drop(pairs)
     forest: list[DataFrame] = []
     seed = 0
@@ -147,9 +148,9 @@ def connected_groups(links: DataFrame, src: str = "src", dst: str = "dst", node:
         for f in forest[1:]:
             up = up.unionByName(f)
         roots = _jump(scratch, up)
-        label = ids.join(roots, "v", "left").select("id", F.coalesce("p", "v").alias("root"))
+        label = ids.join(roots.hint("merge"), "v", "left").select("id", F.coalesce("p", "v").alias("root"))
         least = label.groupBy("root").agg(F.min("id").alias("least"))
-        return label.join(least, "root").select(F.col("id").alias(node), F.col("least").alias(group))
+        return label.join(least.hint("merge"), "root").select(F.col("id").alias(node), F.col("least").alias(group))
     return label.select(F.col("id").alias(node), F.col("id").alias(group))
 
 
