@@ -1,14 +1,14 @@
-"""Problem 6: near-duplicate documents by vertical partitioning.
+"""Problem 6: near-duplicate documents by bands of least hashes.
 
 Similarity is the Jaccard measure of the sets of ``GRAM`` consecutive words. Documents with the same set form a *class*; the
 join runs between classes, so copies cost nothing. It has three steps:
 
-1. Every class is cut into fingerprints (the least hashes of windows over longer runs of words, so two texts that share a run
-   of ``RUN + WINDOW - 1`` words share one; short texts give every gram instead). Fingerprints are put in one global order, by
-   the number of classes that hold them, and that order is cut into fragments: *unique* ones, which join nothing, *rare* ones
-   and *common* ones. A common fingerprint (a stock sentence, a disclaimer) joins only together with the fingerprints that
-   follow it, which makes its key rare again without dropping it.
-2. Each fragment counts the partial overlaps of its pairs, and the counts are summed per pair.
+1. Every class is hashed many times over; the least values of its grams under ``ROWS`` hashes make a band. Two classes agree in a
+   band with a chance of their similarity to the power of ``ROWS``, whatever else the corpus holds and wherever their texts differ. There are
+   so many bands that a pair at the threshold agrees in none with a chance of ``MISS`` at most. Classes that agree in one come up, however
+   many others do.
+2. What comes up is sifted by size, which is exact, and by one bit for each of ``BITS`` least values, which loses a pair at the threshold with
+   a chance of ``MISS`` at most (Hoeffding).
 3. The surviving pairs are verified exactly: the grams of both classes are compared over the whole texts.
 
 No step collects a group. The only quadratic part is the pairs within a class, and these are made only where a caller asks
@@ -18,6 +18,7 @@ for every pair of documents.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import ceil, log, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -27,14 +28,11 @@ from pyspark.sql import functions as F
 from epistola.functions.wordhash import grams, hash_words, mix
 from epistola.session import Scratch, maybe_broadcast
 
-GRAM, RUN, WINDOW, FOLLOW = 3, 6, 14, (2, 6)
-#: Classes with fewer grams give every gram as a fingerprint; those with fewer than twice as many give both kinds.
-SHORT = 40
-#: A fingerprint of more classes than this is common and joins only with its followers.
-COMMON = 12
-#: A pair needs a common fingerprint for every so many grams of its smaller class. A text has one for about seven grams and a pair
-#: of similarity 0.5 keeps a third of them, so this asks for about a third of what a poor pair has.
-GRAMS_PER_HIT = 70
+GRAM, ROWS = 3, 4
+#: Greatest chance that the bands, or the sift, lose a pair at the threshold.
+MISS = 1e-6
+#: Bits of a class for the sift.
+BITS = 512
 _BLOCK = 128
 
 
@@ -57,15 +55,51 @@ def _signature(g: np.ndarray) -> tuple[int, int]:
     return int(first.view(np.int64)), int(mix(g ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum().view(np.int64))
 
 
-_CLASS = pa.schema([("doc", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("n", pa.int32())])
+def bands(threshold: float) -> int:
+    """So many bands that a pair at the threshold agrees in none with a chance of ``MISS`` at most."""
+    return 1 if threshold >= 1 else ceil(log(MISS) / log(1 - threshold**ROWS))
+
+
+def agreeing(threshold: float) -> float:
+    """The bits in which a pair at the threshold agrees, but for a chance of ``MISS``."""
+    return BITS * ((1 + threshold) / 2 - sqrt(-log(MISS) / (2 * BITS)))
+
+
+def _hashes(many: int) -> np.ndarray:
+    return np.random.default_rng(20240501).integers(0, 2**31, many, dtype=np.int64).astype(np.uint32) * np.uint32(2) + np.uint32(1)
+
+
+def least(g: np.ndarray, by: np.ndarray) -> np.ndarray:
+    """The least value of a gram set under each hash."""
+    x, out = (g >> np.uint64(32)).astype(np.uint32), np.full(len(by), 2**32 - 1, np.uint32)
+    for k in range(0, len(x), 64):
+        np.minimum(out, (x[k : k + 64, None] * by).min(axis=0), out=out)
+    return out
+
+
+def keys(low: np.ndarray) -> np.ndarray:
+    """A key for each band, of 48 bits."""
+    rows = low.reshape(-1, ROWS).astype(np.uint64)
+    key = np.arange(len(rows), dtype=np.uint64)
+    for k in range(ROWS):
+        key = mix(mix(key) + rows[:, k])
+    return (key >> np.uint64(16)).view(np.int64)
+
+
+def bits(low: np.ndarray) -> bytes:
+    return np.packbits(low * np.uint32(0x9E3779B1) >> np.uint32(31)).tobytes()
+
+
+_CLASS = pa.schema([("doc", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("n", pa.int32()), ("bits", pa.binary())])
 
 
 def _classes(batches):
+    by = _hashes(BITS)
     rows: list[tuple] = []
     for doc, w in _blocks(batches):
         g = np.unique(grams(w, GRAM))
         if len(g):
-            rows.append((doc, *_signature(g), len(g)))
+            rows.append((doc, *_signature(g), len(g), bits(least(g, by))))
         if len(rows) >= 4096:
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), _CLASS.types)], schema=_CLASS)
             rows = []
@@ -73,116 +107,82 @@ def _classes(batches):
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), _CLASS.types)], schema=_CLASS)
 
 
-def fingerprints(words: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(fingerprints, hashes of each with its next two followers, and with its next six) of one text with n distinct grams; each fingerprint once."""
-    found: list[np.ndarray] = []
-    if n >= SHORT:
-        run = grams(words, RUN)
-        if len(run) > WINDOW:
-            low = np.lib.stride_tricks.sliding_window_view(run, WINDOW)
-            at = np.unique(np.arange(len(low)) + low.argmin(axis=1))
-            run = run[at]
-        found.append(run)
-    if n < 2 * SHORT:
-        found.append(grams(words, GRAM))
-    fps, near, far = [], [], []
-    for f in found:
-        if not len(f):
-            continue
-        ahead = np.concatenate((f, np.zeros(FOLLOW[1], np.uint64)))
-        both = f.copy()
-        for k in range(1, FOLLOW[1] + 1):
-            both = mix(both + ahead[k : k + len(f)] * np.uint64(2 * k + 1))
-            if k == FOLLOW[0]:
-                near.append(both)
-        fps.append(f)
-        far.append(both)
-    f, b, c = np.concatenate(fps), np.concatenate(near), np.concatenate(far)
-    _, first = np.unique(f, return_index=True)
-    return f[first], b[first], c[first]
-
-
-_PRINT = pa.schema([("fp", pa.int64()), ("ahead", pa.int64()), ("s1", pa.int64())])
-_HIGH = np.uint64(0xFFFFFFFF00000000)
-
-
-def _prints(batches):
-    seen: set[int] = set()  # classes this task has already written: copies are dropped before the shuffle
-    out: list[list[np.ndarray]] = [[], [], []]
-    for _, w in _blocks(batches):
-        g = np.unique(grams(w, GRAM))
-        if not len(g) or (s := _signature(g)[0]) in seen:
-            continue
-        seen.add(s)
-        f, b, c = fingerprints(w, len(g))
-        # Half a hash of each kind of followers will do: they are only told apart under one fingerprint.
-        for o, x in zip(out, (f.view(np.int64), ((b & _HIGH) | (c >> np.uint64(32))).view(np.int64), np.full(len(f), s))):
-            o.append(x)
-        if len(out[0]) >= 256:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o)) for o in out], schema=_PRINT)
-            out = [[], [], []]
-    if out[0]:
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o)) for o in out], schema=_PRINT)
-
-
-_FRAGMENT = pa.schema([("key", pa.int64()), ("far", pa.int64()), ("ahead", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("c", pa.int32())])
-
-
-def _fragments(batches):
-    """Rows sorted by fingerprint within a partition. Runs of one row are unique and end here. A run of 2 to ``COMMON`` classes is
-    rare: it gives its pairs, counted per batch (``key`` null). A longer run is common: its rows pass on
-    under the key of the fingerprint with its followers (``b`` null). No more of a run than a batch is held at a time: a run that
-    goes on over a batch's end is carried over while it is short, and known as common once it is not."""
-    none = np.zeros(0, np.int64)
-    held, common = (none, none, none), None
-    for b in batches:
-        out, held, common = _runs(*(np.concatenate((h, c.to_numpy())) for h, c in zip(held, b.columns)), common, last=False)
-        yield out
-    out, _, _ = _runs(*held, common, last=True)
-    yield out
-
-
-def _runs(f, x, s, common, last):
-    n = len(f)
-    start = np.flatnonzero(np.concatenate(([True], f[1:] != f[:-1]))) if n else np.zeros(0, np.int64)
-    size = np.diff(np.append(start, n))
-    hot = size > COMMON
-    if n and common is not None and f[0] == common:
-        hot[0] = True
-    held = (f[:0], x[:0], s[:0])
-    if n and not last:
-        common = f[-1] if hot[-1] else None
-        if not hot[-1]:
-            cut = start[-1]
-            held = (f[cut:], x[cut:], s[cut:])
-            start, size, hot = start[:-1], size[:-1], hot[:-1]
-    rows = np.repeat(hot, size)
-    ahead, one, own = x[: len(rows)][rows].view(np.uint64), s[: len(rows)][rows], f[: len(rows)][rows].view(np.uint64)
-    key = mix(own + (ahead & _HIGH) * np.uint64(3)).view(np.int64)
-    far = mix(own ^ ((ahead << np.uint64(32)) * np.uint64(5))).view(np.int64)
-    left, right = [], []
-    for m in range(2, COMMON + 1):
-        at = start[(size == m) & ~hot]
-        if len(at):
-            block = np.sort(s[at[:, None] + np.arange(m)], axis=1)
-            i, j = np.triu_indices(m, 1)
-            left.append(block[:, i].ravel())
-            right.append(block[:, j].ravel())
-    pa_, pb_, count = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
-    if left:
-        l, r = np.concatenate(left), np.concatenate(right)
-        keep = l != r
-        l, r = l[keep], r[keep]
-        o = np.lexsort((r, l))
-        l, r = l[o], r[o]
-        first = np.flatnonzero(np.concatenate(([True], (l[1:] != l[:-1]) | (r[1:] != r[:-1])))) if len(l) else np.zeros(0, np.int64)
-        pa_, pb_, count = l[first], r[first], np.diff(np.append(first, len(l))).astype(np.int32)
-    k = len(pa_)
-    key_col = pa.array(np.concatenate((np.zeros(k, np.int64), key)), mask=np.arange(k + len(key)) < k)
-    b_col = pa.array(np.concatenate((pb_, np.zeros(len(key), np.int64))), mask=np.arange(k + len(key)) >= k)
-    far_col, ahead_col = (pa.array(np.concatenate((np.zeros(k, np.int64), c.view(np.int64)))) for c in (far, ahead))
-    batch = pa.RecordBatch.from_arrays([key_col, far_col, ahead_col, pa.array(np.concatenate((pa_, one))), b_col, pa.array(np.concatenate((count, np.ones(len(key), np.int32))))], schema=_FRAGMENT)
-    return batch, held, common
+_BAND = pa.schema([("key", pa.int64()), ("s1", pa.int64())])
+
+
+def _bands(many: int):
+    def run(batches):
+        by = _hashes(many * ROWS)
+        seen: set[int] = set()  # classes this task has already written: copies are dropped before the shuffle
+        out: list[list[np.ndarray]] = [[], []]
+        for _, w in _blocks(batches):
+            g = np.unique(grams(w, GRAM))
+            if not len(g) or (s := _signature(g)[0]) in seen:
+                continue
+            seen.add(s)
+            out[0].append(keys(least(g, by)))
+            out[1].append(np.full(many, s))
+            if len(out[0]) >= 256:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o)) for o in out], schema=_BAND)
+                out = [[], []]
+        if out[0]:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o)) for o in out], schema=_BAND)
+
+    return run
+
+
+#: Most pairs in a batch of a long run.
+_PAIRS = 1 << 20
+
+
+def _meetings(threshold: float):
+    """Rows sorted by key and class within a partition. Every run of one key gives all its pairs of classes whose sizes allow the threshold. A run
+    that goes on over a batch's end is carried over; of its pairs no more than ``_PAIRS`` are held at a time."""
+
+    def sized(l: np.ndarray, r: np.ndarray) -> pa.RecordBatch:
+        nl, nr = l & SIZE, r & SIZE
+        ok = np.minimum(nl, nr) >= threshold * np.maximum(nl, nr)
+        return pa.RecordBatch.from_arrays([pa.array(l[ok]), pa.array(r[ok])], names=["a", "b"])
+
+    def pairs(k: np.ndarray, s: np.ndarray):
+        if not len(k):
+            return
+        start = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
+        size = np.diff(np.append(start, len(k)))
+        for m in np.unique(size[size > 1]):
+            at = start[size == m]
+            step = max(1, _PAIRS // (m * m))
+            for x in range(0, len(at), step):
+                block = s[at[x : x + step, None] + np.arange(m)]
+                if m * m <= _PAIRS:
+                    i, j = np.triu_indices(m, 1)
+                    yield sized(block[:, i].ravel(), block[:, j].ravel())
+                else:
+                    for i in range(m - 1):
+                        yield sized(np.full(m - i - 1, block[0, i]), block[0, i + 1 :])
+
+    def run(batches):
+        k = s = np.zeros(0, np.int64)
+        for b in batches:
+            k, s = (np.concatenate((h, c.to_numpy())) for h, c in zip((k, s), b.columns))
+            new = np.concatenate(([True], (k[1:] != k[:-1]) | (s[1:] != s[:-1])))[: len(k)]
+            k, s = k[new], s[new]
+            cut = np.searchsorted(k, k[-1]) if len(k) else 0
+            yield from pairs(k[:cut], s[:cut])
+            k, s = k[cut:], s[cut:]
+        yield from pairs(k, s)
+
+    return run
+
+
+def _sift(least_bits: float):
+    def run(batches):
+        for b in batches:
+            x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint64).reshape(-1, BITS // 64) for k in (2, 3))
+            ok = pa.array(BITS - np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) >= least_bits)
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok)], names=["da", "db"])
+
+    return run
 
 
 #: Bytes kept of a gram's hash where two sets are compared.
@@ -222,9 +222,9 @@ class NearDuplicates:
         spark = documents.sparkSession
         self.scratch = Scratch(spark, "neardup")
         docs = documents.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text")).where("text IS NOT NULL")
-        members = self.scratch.save(docs.mapInArrow(_classes, "doc long, s1 long, s2 long, n int"))
+        members = self.scratch.save(docs.mapInArrow(_classes, "doc long, s1 long, s2 long, n int, bits binary"))
         # The two sums of a set together identify it; a set whose first sum collides with another's keeps its own class.
-        rep = members.groupBy("s1", "s2").agg(F.min("doc").alias("class"), F.first("n").alias("n"))
+        rep = members.groupBy("s1", "s2").agg(F.min("doc").alias("class"), F.first("n").alias("n"), F.first("bits").alias("bits"))
         self.reps = self.scratch.save(rep)
         self.members = members
         links = self._links(docs, threshold)
@@ -235,33 +235,12 @@ class NearDuplicates:
         return self.members.join(self.reps.select("s1", "s2", "class"), ["s1", "s2"]).select("doc", "class", "n").distinct()
 
     def _links(self, docs: DataFrame, threshold: float) -> DataFrame:
-        fragment = "key long, far long, ahead long, a long, b long, c int"
-
-        def cut(rows: DataFrame) -> DataFrame:
-            return self.scratch.save(rows.repartition("fp").sortWithinPartitions("fp", "s1").mapInArrow(_fragments, fragment))
-
-        def again(rows: DataFrame, key: str) -> DataFrame:
-            return cut(rows.select(F.col(key).alias("fp"), F.col("far").alias("ahead"), F.col("a").alias("s1")).distinct())
-
-        first = cut(docs.mapInArrow(_prints, "fp long, ahead long, s1 long"))
-        second = again(first.where("key IS NOT NULL"), "key")
-        # What is common under the key of its next two followers waits for the key of all six.
-        waiting = second.where("key IS NOT NULL").select(F.col("ahead").alias("far"), "a")
-        third = again(waiting, "far")
-        # What is common even with all its followers joins as it is, without any cap.
-        hot = third.where("key IS NOT NULL").select(F.col("ahead").alias("key"), F.col("a").alias("s")).distinct()
-        rest = hot.select("key", F.col("s").alias("a")).join(hot.select("key", F.col("s").alias("b")), "key").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).cast("int").alias("c"))
-        counted = first.where("key IS NULL").unionByName(second.where("key IS NULL")).unionByName(third.where("key IS NULL")).select("a", "b", "c").unionByName(rest)
-        na, nb = F.col("a").bitwiseAND(F.lit(SIZE)), F.col("b").bitwiseAND(F.lit(SIZE))
-        small, large = F.least(na, nb), F.greatest(na, nb)
-        pairs = counted.where(small >= threshold * large).groupBy("a", "b").agg(F.sum("c").alias("c"))
-        pairs = pairs.where(F.col("c") * GRAMS_PER_HIT >= small).select("a", "b")
-        pairs = self.scratch.save(pairs)
+        rows = docs.mapInArrow(_bands(bands(threshold)), "key long, s1 long").repartition("key").sortWithinPartitions("key", "s1")
+        pairs = self.scratch.save(rows.mapInArrow(_meetings(threshold), "a long, b long").distinct())
         # Classes whose first sums collide are both looked at.
-        da, db = (self.reps.select(F.col("s1").alias(x), F.col("class").alias(f"d{x}")) for x in "ab")
-        pairs = pairs.join(da, "a").join(db, "b").where("da <> db")
-        pairs = self.scratch.save(pairs.select("da", "db"))
-        self.scratch.drop(first, second, third)
+        da, db = (self.reps.select(F.col("s1").alias(x), F.col("class").alias(f"d{x}"), F.col("bits").alias(f"bits{x}")) for x in "ab")
+        near = pairs.join(da, "a").join(db, "b").where("da <> db").select("da", "db", "bitsa", "bitsb")
+        pairs = self.scratch.save(near.mapInArrow(_sift(agreeing(threshold)), "da long, db long"))
         wanted = pairs.select(F.explode(F.array("da", "db")).alias("doc")).distinct()
         wanted = self.scratch.save(wanted)
         texts = docs.join(maybe_broadcast(wanted), "doc", "left_semi")

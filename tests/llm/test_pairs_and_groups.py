@@ -229,3 +229,19 @@ def test_leaks(spark):
     assert {tuple(x) for x in leak.leaked_items(d, i).collect()} == want
     assert leak.leaked_items(d, i).count() == len(want)
     assert leak.leaked_items(d.limit(0), i).count() == 0 and leak.leaked_items(d, i.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(("versions", "words", "edits"), [(40, 300, 15), (200, 300, 15), (40, 90, 5)])
+def test_similar_pairs_of_a_large_family(spark, versions, words, edits):
+    rng = random.Random(versions + words)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(words)]
+    texts = {}
+    for k in range(versions):
+        text = list(base)
+        for at in rng.sample(range(words), edits):
+            text[at] = f"x{rng.randrange(10**6)}"
+        texts[k] = " ".join(text)
+    want = brute_pairs(texts)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {tuple(x) for x in neardup.similar_pairs(df).collect()}
+    assert len(want) > 100 and got == want
