@@ -283,11 +283,16 @@ def corrections(vocabulary: DataFrame, lexicon: dict[str, int], model: Boosted)
 # --- lines ---------------------------------------------------------------------------------------------------------------
 
 
+def separator(line: str) -> bool:
+    """Whether a line in dashes stands between mails, and is no page number in dashes."""
+    return line.startswith("---") and not is_stamp(line)
+
+
 def line_features(lines: list[str]) -> tuple[list[int], list[list[float]], set[int]]:
     """(lines that could be furniture, what the furniture model sees of each and of the pairs it makes with its neighbours, what the rules find)."""
-    rule = furniture_lines(lines)
+    rule = {k for k in furniture_lines(lines) if not separator(lines[k].strip())}
     n = len(lines)
-    able = [k for k, x in enumerate(lines) if len(x) < 80 and 0 < len(s := x.strip()) < 60 and s[0] not in ">|"]
+    able = [k for k, x in enumerate(lines) if len(x) < 80 and 0 < len(s := x.strip()) < 60 and s[0] not in ">|" and not separator(s)]
     stripped = {k: lines[k].strip() for k in {x for k in able for x in (k - 1, k, k + 1) if 0 <= x < n}}
     run, stamp = {k: running(lines[k]) for k in stripped}, {k: is_stamp(s) for k, s in stripped.items()}
     title, num = {k: title_like(s) for k, s in stripped.items()}, {k: bool(_NUMBER.match(s)) for k, s in stripped.items()}
@@ -408,7 +413,7 @@ def _repairer(lexicon: dict[str, int], dirty: set[str], lines_model: Boosted | N
             texts = [t.split("\n") for t in whole]
             drops, x, whose = [], [], []
             for j, lines in enumerate(texts):
-                if not paged(whole[j]):  # no trace of a page
+                if not paged(whole[j]) and not furniture_lines(lines):  # no trace of a page
                     drops.append(set())
                     continue
                 able, f, rule = line_features(lines)

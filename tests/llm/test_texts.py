@@ -2,6 +2,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -208,3 +209,24 @@ def test_passages(spark):
     assert doc[100].lang == "en" and doc[100].langs == "de,en" and doc[107].confidence > 0.9
     assert langid.wrong_labels(df.limit(0)).count() == 0
     assert langid.wrong_labels(df.where("lang IS NULL")).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("lines", "drop"),
+    [
+        (["Exhibit E-4", "1", *["the water of the old well was clear and cold."] * 3], {1, 2}),
+        ([*["the water of the old well was clear and cold."] * 3, "p. 1"], {4}),
+        ([*["the water of the old well was clear and cold."] * 3, "\fEMA-2014-6102"], {4}),
+        (["the water of the old well was clear and cold.", "\fRecord of Footnotes", "and so it was with the wells of the farm."], {2}),
+        (["the water of the old well was clear and cold.", "\fRecord of Landowners   EMA0635774", "and so it was with the wells of the farm."], {2}),
+        (["Exhibit E-4", "the water of the old well was clear and cold."], {1}),
+        (["the water of the old well was clear and cold.", "CONFIDENTIAL BUSINESS INFORMATION", "and so it was with the wells of the farm."], {2}),
+        (["From: a@b.org", "", "all is well here.", "", "", "-----Original Message-----", "so it is.", "", "-----Original Message-----", "and it was."], set()),
+    ],
+)
+def test_furniture_without_other_traces_of_a_page(lines, drop):
+    assert not ocr.paged("\n".join(lines))
+    none = Boosted(base=-9.0, edges=[np.zeros(0)] * 6)
+    run = ocr._repairer({}, set(), None, none, pa.int64())
+    rows = next(run([pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["\n".join(lines)])], names=["doc", "text"])])).to_pylist()
+    assert {r["line_no"] for r in rows if r["fix"] == "drop"} == drop
