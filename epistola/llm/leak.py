@@ -125,19 +125,18 @@ class Pieces:
         return [self.ids[i] for i in found]
 
     def _verified(self, doc: np.ndarray, i: int, p: np.ndarray, q: np.ndarray) -> bool:
-        """p, q: hits of item i near one diagonal, by q. Stretches with the most distinct pieces among them are tried."""
+        """p, q: hits of item i near one diagonal, by q. Stretches with enough distinct pieces among them are tried, those with the most first."""
         w, m, k = self.words[i], int(self.stretch[i]), int(self.budget[i])
         uq = np.unique(q)
         starts = np.arange(len(w) - m + 1)
         held = np.searchsorted(uq, starts + m - PIECE, "right") - np.searchsorted(uq, starts, "left")
-        most = held.max()
-        if most < self.need[i]:
+        if held.max() < self.need[i]:
             return False
         # A word of the stretch that its surroundings lack costs an edit: no more than k may be lacking.
         near = doc[max(0, int((p - q).min()) - k) : len(w) + int((p - q).max()) + k]
         there = np.concatenate(([0], np.cumsum(np.isin(w, near))))
-        starts = starts[(held == most) & (there[m:] - there[: len(w) - m + 1] >= m - k)]
-        for s in starts:
+        able = (held >= self.need[i]) & (there[m:] - there[: len(w) - m + 1] >= m - k)
+        for s in starts[able][np.argsort(-held[able], kind="stable")]:
             own = (q >= s) & (q + PIECE <= s + m)
             d = p[own] - q[own]
             lo, hi = max(0, s + int(d.min()) - k), s + m + int(d.max()) + k

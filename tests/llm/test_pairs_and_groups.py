@@ -245,3 +245,12 @@ def test_similar_pairs_of_a_large_family(spark, versions, words, edits):
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     got = {tuple(x) for x in neardup.similar_pairs(df).collect()}
     assert len(want) > 100 and got == want
+
+
+def test_a_leak_whose_stretch_has_not_the_most_pieces():
+    item = [f"w{k}" for k in range(50)]
+    doc = [f"x{k}" if 12 <= k < 30 or k in (31, 34, 37, 40) else w for k, w in enumerate(item)]
+    pieces = leak.Pieces.of([(7, " ".join(item))])
+    assert pieces.leaks(hash_words([" ".join(doc)])[0]) == [7]
+    doc[43] = doc[46] = "y"
+    assert pieces.leaks(hash_words([" ".join(doc)])[0]) == []
