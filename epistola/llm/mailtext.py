@@ -203,7 +203,7 @@ def _marker(key_type: pa.DataType):
             docs, numbers, kept, days, senders, texts = [], [], [], [], [], []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 lines, marks = mark_lines(text)
-                head = text[:2000].split("\n\n", 1)[0]
+                head = text.split("\n\n", 1)[0]
                 day = mail_day("\n".join(x for x in head.split("\n") if re.match(r"\W{0,3}(?:date|sent)\s*:", x, re.I)))
                 found = _ADDRESS.search(lines[0])
                 sender = (found[0] if found else lines[0].partition(":")[2]).strip("<>\"' ").lower()

@@ -230,3 +230,12 @@ def test_furniture_without_other_traces_of_a_page(lines, drop):
     run = ocr._repairer({}, set(), None, none, pa.int64())
     rows = next(run([pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["\n".join(lines)])], names=["doc", "text"])])).to_pylist()
     assert {r["line_no"] for r in rows if r["fix"] == "drop"} == drop
+
+
+def test_a_date_behind_a_long_list_of_recipients(spark):
+    line = "The second barrel was found behind the old pump house yesterday."
+    many = ", ".join(f"someone{k}@e.org" for k in range(200))
+    early = f"From: bo@e.org\nTo: {many}\nDate: 2001-01-01\n\n{line}\n"
+    late = f"From: ana@d.org\nTo: bo@e.org\nDate: 2001-02-01\n\nI agree with all of this, thank you.\n\nOn 2001-01-01, Bo wrote:\n\n{line}\n"
+    got = mailtext.new_lines(spark.createDataFrame([(1, early), (2, late)], "doc_id long, text string")).collect()
+    assert {tuple(r) for r in got} == {(1, 5), (2, 5)}
