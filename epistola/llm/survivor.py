@@ -1,12 +1,17 @@
 """Problem 5: the best representative of each duplicate group, built from consistent bundles.
 
-Fields that depend on each other are chosen as a whole. The *name bundle* is a first and a last name as one field spells them together; the
-*address bundle* is a whole address, whose local part must spell the chosen name bundle and whose domain must be a known one: the
-functional dependencies name -> local part and organisation -> domain. Trust is counted in fields that agree.
+Fields that depend on each other are chosen as a whole. The *name bundle* is a first and a last name together; the *address bundle* is a whole
+address. Two functional dependencies tie them: name -> local part (the address must spell the chosen name whole and undamaged) and
+organisation -> domain (its domain must be a known one). A survivor is a pair of bundles; its worth is compared in this order: a name that some
+field spells whole, an address that keeps both dependencies, trust (three for every field that spells the bundle, one for every field
+that agrees in its first or its last name), undamaged fields.
 
-Branch and bound runs over counted bundles, not over rows: a bundle's trust is at least three times the fields that spell it whole
-(lower bound) and at most that plus the fields that agree in one half (upper bound). Bundles whose upper bound is below the best lower bound of
-their group are cut, all in aggregates, so a group of any size never comes together in one task.
+The search is branch and bound in three aggregate steps, so that a group of any size never comes together in one task:
+
+1. *Bound.* Bundles are counted, and each gets the worth of a survivor that keeps the dependencies: no address can make it better.
+2. *Dive.* The bundle of the greatest bound in a group is followed to its leaf: its spellings are looked up among the group's addresses.
+   The leaf's worth is the incumbent.
+3. *Branch.* Only bundles whose bound beats their group's incumbent are followed as well. In most groups there are none.
 """
 
 from __future__ import annotations
@@ -14,7 +19,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from epistola.llm.personname import read_local, read_name
@@ -47,6 +52,35 @@ def _title(c: str):
     return F.initcap(F.col(c))
 
 
+def spellings():
+    """The local parts that spell a first and a last name whole: joined by a full stop, underscore, hyphen or nothing, either one first."""
+    return F.array(*[F.concat(x, F.lit(sep), y) for sep in (".", "_", "-", "") for x, y in (("first", "last"), ("last", "first"))])
+
+
+def worth(fits):
+    """What bundles are compared by; the names settle ties, so that no two bundles of a group are worth the same."""
+    return F.struct("full", fits.alias("fits"), "trust", "n_clean", "everywhere", F.col("last").alias("l"), F.coalesce("first", F.lit("")).alias("f"))
+
+
+def leaves(bundles: DataFrame, locals_: DataFrame) -> DataFrame:
+    """``canon, first, last, leaf``: the worth of bundles with the addresses of their group; ``locals_``: ``canon, local`` of those in known domains."""
+    spelt = bundles.where("first IS NOT NULL").select("canon", "first", "last", F.explode(spellings()).alias("local"))
+    found = spelt.join(locals_, ["canon", "local"], "left_semi").select("canon", "first", "last").distinct().withColumn("fits", F.lit(True))
+    same = (F.col("b.canon") == F.col("f.canon")) & (F.col("b.last") == F.col("f.last")) & (F.col("b.first") == F.col("f.first"))
+    return bundles.alias("b").join(found.alias("f"), same, "left").select("b.*", F.coalesce("f.fits", F.lit(False)).alias("fits")).select("canon", "first", "last", worth(F.col("fits")).alias("leaf"))
+
+
+def search(scratch: Scratch, bundles: DataFrame, locals_: DataFrame) -> DataFrame:
+    """``canon, last, first`` of the best bundle of each group by branch and bound (see above)."""
+    bound = bundles.withColumn("bound", worth(F.lit(True)))
+    top = bound.groupBy("canon").agg(F.max_by(F.struct("first", "last", "full", "trust", "n_clean", "everywhere"), "bound").alias("t"))
+    dive = scratch.save(leaves(top.select("canon", "t.*"), locals_))
+    incumbent = dive.select("canon", F.col("leaf").alias("bar"))
+    open_ = bound.join(incumbent.where("NOT bar.fits"), "canon").where((F.col("bound") > F.col("bar")) & ((F.col("last") != F.col("bar.l")) | (F.coalesce("first", F.lit("")) != F.col("bar.f"))))
+    branched = leaves(open_.drop("bound", "bar"), locals_)
+    return dive.unionByName(branched).groupBy("canon").agg(F.max_by(F.struct("last", "first"), "leaf").alias("b")).select("canon", "b.last", "b.first")
+
+
 def survivors(alias_map: DataFrame, nodes: DataFrame, domains: DataFrame) -> DataFrame:
     """``(canon, id, name, total)``, one row per ``alias_map.canon``.
 
@@ -68,12 +102,12 @@ def survivors(alias_map: DataFrame, nodes: DataFrame, domains: DataFrame) -> Dat
     lasts = counted.groupBy("canon", "last").agg(F.sum("n").alias("n_last"))
     firsts = counted.groupBy("canon", "first").agg(F.sum("n").alias("n_first"))
     bundles = counted.where("last IS NOT NULL").groupBy("canon", "first", "last").agg(F.max("full").alias("full"), F.sum("n").alias("n"), F.sum("n_clean").alias("n_clean"))
-    whole = Window.partitionBy("canon")
-    bounded = bundles.join(lasts, ["canon", "last"]).join(firsts.where("first IS NOT NULL"), ["canon", "first"], "left").fillna(0, ["n_first"])
-    bounded = bounded.withColumn("least", F.col("full").cast("int") * 1000 + 3 * F.col("n")).withColumn("most", F.col("least") + F.col("n_last") + F.col("n_first"))
-    bounded = bounded.withColumn("bar", F.max("least").over(whole)).where("most >= bar")
-    trust = F.struct("most", "n_clean", "everywhere", F.col("last").alias("l"), F.col("first").alias("f"))
-    chosen = bounded.join(maybe_broadcast(spelt), "last").groupBy("canon").agg(F.max(trust).alias("b")).select("canon", F.col("b.l").alias("last"), F.col("b.f").alias("first"))
+    bundles = bundles.join(lasts, ["canon", "last"]).join(firsts.where("first IS NOT NULL"), ["canon", "first"], "left").fillna(0, ["n_first"]).join(maybe_broadcast(spelt), "last")
+    bundles = scratch.save(bundles.select("canon", "first", "last", "full", (3 * F.col("n") + F.col("n_last") + F.col("n_first")).alias("trust"), "n_clean", "everywhere"))
+    known = domains.select(F.col("domain").alias("known")).where("known IS NOT NULL").distinct()
+    able = rows.select("canon", "id", "last_year").join(maybe_broadcast(known), F.substring_index("id", "@", -1) == F.col("known"), "left")
+    able = scratch.save(able.select("canon", "id", F.substring_index("id", "@", 1).alias("local"), "last_year", F.col("known").isNotNull().alias("known")))
+    chosen = search(scratch, bundles, able.where("known").select("canon", "local").distinct())
     # A short form or an initial in all names stands for the full name that an address of the group spells.
     middles = said.where("field = 'name' AND middle IS NOT NULL").join(maybe_broadcast(chosen.select("canon", F.col("first").alias("cf"))), "canon")
     middles = middles.where("first = cf OR substring(first, 1, 1) = substring(cf, 1, 1)").groupBy("canon", "middle").agg(F.count(F.lit(1)).alias("n"))
@@ -81,15 +115,10 @@ def survivors(alias_map: DataFrame, nodes: DataFrame, domains: DataFrame) -> Dat
     chosen = scratch.save(chosen.join(middle, "canon", "left"))
     given = F.when(F.length("first") > 1, _title("first")).when(F.col("first").isNotNull(), F.concat(F.upper("first"), F.lit(".")))
     named = chosen.withColumn("name", F.concat_ws(" ", given, F.when(F.col("middle").isNotNull(), F.concat(F.upper("middle"), F.lit("."))), _title("last")))
-    local, host = F.substring_index("id", "@", 1), F.substring_index("id", "@", -1)
-    able = rows.select("canon", "id", "last_year", "domain").join(named.select("canon", "first", "last"), "canon", "left")
-    able = able.join(F.broadcast(domains.select(F.col("domain").alias("known")).where("known IS NOT NULL").distinct()) if domains.count() < 100_000 else domains.select(F.col("domain").alias("known")).distinct(), host == F.col("known"), "left")
-    exact = F.lit(False)
-    for sep in (".", "_", "-", ""):
-        exact = exact | (local == F.concat("first", F.lit(sep), "last")) | (local == F.concat("last", F.lit(sep), "first"))
-    exact = F.coalesce(exact, F.lit(False))
-    fit = F.struct((exact & F.col("known").isNotNull()).alias("fits"), F.when(exact & F.col("known").isNotNull(), F.col("last_year")).otherwise(0).alias("y"), exact.alias("x"), F.col("known").isNotNull().alias("k"), F.col("last_year").alias("z"))
-    able = able.withColumn("fit", fit)
+    spelling = named.where("first IS NOT NULL").select("canon", F.explode(spellings()).alias("local")).distinct().withColumn("exact", F.lit(True))
+    able = able.join(spelling, ["canon", "local"], "left").withColumn("exact", F.coalesce("exact", F.lit(False)))
+    fits = F.col("exact") & F.col("known")
+    able = able.withColumn("fit", F.struct(fits.alias("fits"), F.when(fits, F.col("last_year")).otherwise(0).alias("y"), F.col("exact").alias("x"), F.col("known").alias("k"), F.col("last_year").alias("z")))
     top = able.groupBy("canon").agg(F.max("fit").alias("fit"))
     address = able.join(top, ["canon", "fit"]).groupBy("canon").agg(F.min("id").alias("id"))
     total = rows.groupBy("canon").agg(F.sum("count").alias("total"))
