@@ -1,13 +1,16 @@
 """Problem 4: repairing text from scanned pages.
 
-1. All running words of the corpus are counted. The most frequent ones, a bounded number, are the lexicon.
-2. Every counted word looks for what it might be misread from: a join on character q-grams with the lexicon retrieves candidates, and
-   two lexicon words run together are found by a join on split positions. Gradient-boosted trees rank the candidates by counts and shapes; they are
-   trained on lexicon words damaged the way a scanner damages them.
-3. One pass over the texts: a boosted classifier over lines and their neighbours finds page furniture, another over pairs of lines
-   finds words torn at a line end, and every word that is not a clean lexicon word asks the ranked corrections, in a join.
-
-Corrections are a table and never leave the cluster; only the lexicon, bounded by ``LEXICON``, is sent to the tasks.
+1. All running words of the corpus are counted, and how often each stands in texts that show no trace of a page. Words whose share there is like the
+   corpus's are sound; they are the words that others may be read as.
+2. Every word that is not plainly sound looks for what it might be misread from: a join on character q-grams with the sound words retrieves candidates, and
+   two sound words run together are found by a join on split positions. Gradient-boosted trees rank the candidates by counts, shapes and the share in
+   typed texts; they are trained on sound words damaged the way a scanner damages them.
+3. One pass over the texts: a boosted classifier over lines and their neighbours, trained on typed texts with page breaks planted in them, finds
+   page furniture; another over pairs of lines decides on the hyphen of words torn at a line end; and every word that is not a clean
+   lexicon word asks the ranked corrections, in a join.
+
+Counts and corrections are tables of any size. Only the ``LEXICON`` most frequent sound words are sent to the tasks, as a shortcut: words beyond them
+are looked up in the tables.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from math import inf
 from random import Random
 
 import numpy as np
@@ -26,12 +30,15 @@ from epistola.llm.boosting import Boosted
 from epistola.llm.furniture import _CAPTION, _NUMBER, furniture_lines, is_stamp, running, shape, title_like
 from epistola.session import Scratch
 
-#: Most words in the lexicon, least count of one, and training bounds: damaged words a model and documents for the line model.
+#: Most words sent to the tasks, least count of a sound word, and training bounds: damaged words a model and documents for the line model.
 LEXICON, LEAST, TRAIN_WORDS, TRAIN_DOCUMENTS = 50_000, 5, 6_000, 400
 #: A word is a fragment or a misreading only if it is this much rarer than the word it is read as.
 RARER = 25.0
-#: A word with one occurrence in so many in texts that show no trace of a page is no misreading.
-SOUND = 3
+#: A word is sound if its share in texts that show no trace of a page is at least so much of all words' share. With ``PLAIN`` occurrences
+#: there it is plainly so and no misreading; with fewer the ranking weighs the share.
+SOUND, PLAIN = 0.55, 3
+#: The share of a damaged word's occurrences that training puts in texts without a trace: scans that show none.
+UNTRACED = 0.07
 #: A misreading of one word is looked for down to this ratio of counts; the ranking weighs how far it is below.
 RARE = 4.0
 ACCEPT = 0.5
@@ -140,7 +147,11 @@ _MAILBOX = re.compile(r"\S+@\S+")
 
 #: A text with a word torn at a line end comes from a page; a page number or stamp on a line of its own says the same.
 _TEAR = re.compile(r"[-\xad¬](?<=[^\W\d_].) ?\n[\s>|]*[^\W\d_]")
-_STAMPED = re.compile(r"\n(?:[\s>|]*(?:[pP]\.|[pP]g\.|[pP]age) ?\d+[^\n]{0,9}\n|[\[(-] ?\d+ ?[\])-]\n|Exhibit [^\n]{1,8}\n|[A-Z]{2,5}-?\d{4,}\n|[A-Z][^\na-z]{3,40} NO\. *\d+\n)")
+_STAMPED = re.compile(r"\f|\n(?:[\s>|]*(?:[pP]\.|[pP]g\.|[pP]age) ?\d+[^\n]{0,9}\n|[\[(-] ?\d+ ?[\])-]\n|Exhibit [^\n]{1,8}\n|[A-Z]{2,5}-?\d{4,}\n|[A-Z][^\na-z]{3,40} NO\. *\d+\n)")
+
+
+#: The same for the choice of typed texts to train on.
+_TRACE = r"[-\xad¬] ?\n|\f|\n[\s>|]*[pP](?:\.|g\.|age) ?\d|\n[\[(-] ?\d+ ?[\])-]\n"
 
 
 def paged(text: str) -> bool:
@@ -169,18 +180,28 @@ def _counted(seen: Counter, typed: Counter) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([seen[w] + typed[w] for w in words], pa.int64()), pa.array([typed[w] for w in words], pa.int64())], names=["w", "n", "typed"])
 
 
-def _grams(column: str):
-    """Distinct q-grams of a padded word: pairs for short words, triples for others."""
+def _size(length):
+    return F.when(length <= 5, 2).otherwise(3)
+
+
+def _grams(column: str, sizes=None):
+    """Distinct q-grams of a padded word: pairs for words of up to five letters, triples for others, or those of the sizes given."""
     w = F.concat(F.lit("^"), F.col(column), F.lit("$"))
-    q = F.when(F.length(column) <= 5, 2).otherwise(3)
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - q + 1, F.lit(1))), lambda i: F.substring(w, i, q)))
+    of = lambda q: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - q + 1, F.lit(1))), lambda i: F.substring(w, i, q))
+    return F.array_distinct(of(_size(F.length(column))) if sizes is None else F.flatten(F.array(*[of(F.lit(q)) for q in sizes])))
+
 
+def near(w: str, c: str) -> bool:
+    """Whether w may be c misread: one edit in short words, two in others, or what a scanner confuses, twice in words of six letters or more."""
+    return distance(w, c) <= (1 if len(w) <= 4 else 2) or confusions(w, c) <= (2 if len(w) >= 6 else 1)
 
-def features(w: str, n: float, c: str, m: float, best: float, many: int) -> list[float]:
-    """What the ranking sees of word w (count n) and candidate c (count m); best: the greatest count among its candidates."""
+
+def features(w: str, n: float, typed: float, c: str, m: float, best: float, many: int) -> list[float]:
+    """What the ranking sees of word w (count n; typed: its share in texts without a trace, as a multiple of all words') and candidate c (count m);
+    best: the greatest count among its candidates."""
     d = distance(w, c)
     fw, fc = fold(w), fold(c)
-    return [np.log1p(n), np.log1p(m), np.log((m + 1) / (n + 1)), d, distance(fw, fc), len(w), len(w) - len(c), d / max(len(w), len(c)), w[0] == c[0], w[-1] == c[-1], any(x.isdigit() for x in w), np.log((m + 1) / (best + 1)), many, confusions(w, c), "-" in w, "-" in c]
+    return [np.log1p(n), np.log1p(m), np.log((m + 1) / (n + 1)), d, distance(fw, fc), len(w), len(w) - len(c), d / max(len(w), len(c)), w[0] == c[0], w[-1] == c[-1], any(x.isdigit() for x in w), np.log((m + 1) / (best + 1)), many, confusions(w, c), "-" in w, "-" in c, typed]
 
 
 def damage(word: str, rng: Random) -> str:
@@ -203,78 +224,89 @@ class _Index:
     def __init__(self, lexicon: dict[str, int]):
         self.lexicon, self.post = lexicon, {}
         for w in lexicon:
-            for g in self.grams(w):
+            for g in self.grams(w, 2) | self.grams(w, 3):
                 self.post.setdefault(g, []).append(w)
 
     @staticmethod
-    def grams(w: str) -> set[str]:
-        q = 2 if len(w) <= 5 else 3
+    def grams(w: str, q: int) -> set[str]:
         p = f"^{w}$"
         return {p[i : i + q] for i in range(max(1, len(p) - q + 1))}
 
     def candidates(self, w: str) -> list[str]:
-        hits = Counter(c for g in self.grams(w) for c in self.post.get(g, ()))
-        return [c for c, k in hits.items() if c != w and abs(len(c) - len(w)) <= 2 and k * 3 >= len(w) - 2 and distance(w, c) <= (1 if len(w) <= 4 else 2)]
+        hits = Counter(c for g in self.grams(w, 2 if len(w) <= 5 else 3) for c in self.post.get(g, ()))
+        return [c for c, k in hits.items() if c != w and abs(len(c) - len(w)) <= 2 and k * 3 >= len(w) - 2 and near(w, c)]
+
+
+def share_of(typed: float, n: float, share: float) -> float:
+    """A word's share in texts without a trace as a multiple of all words' share, drawn to one where the word is rare."""
+    return (typed + 0.5) / (n * share + 0.5)
 
 
-def train_ranker(lexicon: dict[str, int]) -> Boosted:
+def train_ranker(lexicon: dict[str, int], share: float) -> Boosted:
     """The ranking model: damaged lexicon words, with the counts such damage would have, against their candidates; and lexicon words as they are."""
     rng, index = Random(7), _Index(lexicon)
-    pool = sorted(w for w, n in lexicon.items() if len(w) >= 3 and n >= LEAST * RARE and w.isalpha())
+    pool = sorted(w for w, n in lexicon.items() if len(w) >= 2 and n >= LEAST * RARER and w.isalpha())
+    drawn = lambda n, p: sum(rng.random() < p for _ in range(n)) if n < 200 else round(n * p)
     x, y = [], []
     for k in range(TRAIN_WORDS if pool else 0):
         true = pool[rng.randrange(len(pool))]
         if k % 3 == 0:  # a sound word, as rare as a sound word may be
             w, n, true = true, max(1, int(lexicon[true] * 10 ** rng.uniform(-3.5, 0))), None
+            typed = drawn(n, share)
         else:
             w = damage(true, rng)
             n = max(1, int(lexicon[true] * 10 ** rng.uniform(-4.5, -0.7)))
+            typed = drawn(n, UNTRACED * share)
             if w == true or w in lexicon and lexicon[w] > n:
                 continue
-        found = index.candidates(w)
+        found = [c for c in index.candidates(w) if lexicon[c] > RARE * n]
         best = max((lexicon[c] for c in found), default=0)
         for c in found:
-            x.append(features(w, n, c, lexicon[c], best, len(found)))
+            x.append(features(w, n, share_of(typed, n, share), c, lexicon[c], best, len(found)))
             y.append(c == true)
     if sum(y) < 20:  # no corpus to learn from: nothing is ever replaced
-        return Boosted(base=-9.0, edges=[np.zeros(0)] * 16)
+        return Boosted(base=-9.0, edges=[np.zeros(0)] * 17)
     return Boosted(rounds=80).fit(np.array(x), np.array(y))
 
 
-def _ranked(model: Boosted):
+def _near(batches):
+    for b in batches:
+        ok = pa.array([near(w, c) for w, c in zip(b.column(0).to_pylist(), b.column(3).to_pylist())], pa.bool_())
+        yield b.filter(ok)
+
+
+def _ranked(model: Boosted, share: float):
     def run(batches):
         for b in batches:
-            w, n, c, m, best, many = (b.column(k).to_pylist() for k in range(6))
-            keep, x = [], []
-            for i in range(len(w)):
-                if distance(w[i], c[i]) <= (1 if len(w[i]) <= 4 else 2):
-                    keep.append(i)
-                    x.append(features(w[i], n[i], c[i], m[i], best[i], many[i]))
+            rows = list(zip(*(b.column(k).to_pylist() for k in range(7))))
+            x = [features(w, n, share_of(typed, n, share), c, m, best, many) for w, n, typed, c, m, best, many in rows]
             s = model.score(np.array(x)) if x else np.zeros(0)
-            good = [(w[i], c[i], p) for i, p in zip(keep, s) if p >= ACCEPT]
+            good = [(r[0], r[3], p) for r, p in zip(rows, s) if p >= ACCEPT]
             yield pa.RecordBatch.from_arrays([pa.array([g[k] for g in good], t) for k, t in enumerate((pa.string(), pa.string(), pa.float64()))], names=["w", "c", "p"])
 
     return run
 
 
-def corrections(vocabulary: DataFrame, lexicon: dict[str, int], model: Boosted) -> DataFrame:
-    """``w, c``: words of the corpus and what should stand there, one word or two with a blank between."""
-    spark = vocabulary.sparkSession
-    lex = spark.createDataFrame([(w, n) for w, n in lexicon.items()] or [], "c string, m long")
-    v = vocabulary.where((F.length("w") >= 2) & (F.col("typed") * SOUND <= F.col("n")))
-    left = v.select("w", "n", F.size(_grams("w")).alias("k"), F.explode(_grams("w")).alias("g"))
-    right = F.broadcast(lex.where(F.length("c") >= 2).select("c", "m", F.explode(_grams("c")).alias("g")))  # bounded by LEXICON
-    near = (F.abs(F.length("w") - F.length("c")) <= 2) & (F.col("m") > RARE * F.col("n"))
-    pairs = left.join(right, "g").where(near).groupBy("w", "c").agg(F.first("n").alias("n"), F.first("m").alias("m"), F.count(F.lit(1)).alias("hits"))
-    pairs = pairs.where(F.col("hits") * 3 >= F.length("w") - 2)
+def corrections(vocabulary: DataFrame, model: Boosted, share: float) -> DataFrame:
+    """``w, c``: words of the corpus and what should stand there, one word or two with a blank between. ``vocabulary``: ``w, n, typed, sound``."""
+    lex = vocabulary.where("sound").select(F.col("w").alias("c"), F.col("n").alias("m"))
+    v = vocabulary.where((F.length("w") >= 2) & ~(F.col("sound") & (F.col("typed") >= PLAIN)))
+    left = v.select("w", "n", "typed", F.explode(_grams("w")).alias("g"))
+    # A misreading may be up to two letters longer or shorter than its word, so words near the border have q-grams of both sizes.
+    right = lex.where(F.length("c") >= 2).select("c", "m", F.explode(F.when(F.length("c") <= 3, _grams("c", (2,))).when(F.length("c") <= 7, _grams("c", (2, 3))).otherwise(_grams("c", (3,)))).alias("g"))
+    able = (F.abs(F.length("w") - F.length("c")) <= 2) & (F.col("m") > RARE * F.col("n"))
+    pairs = left.join(right.hint("merge"), "g").where(able).groupBy("w", "c").agg(F.first("n").alias("n"), F.first("typed").alias("typed"), F.first("m").alias("m"), F.count(F.lit(1)).alias("hits"))
+    # The edit distance bounds what the closer look may accept, and runs in the JVM.
+    pairs = pairs.where((F.col("hits") * 3 >= F.length("w") - 2) & (F.levenshtein("w", "c") <= F.when(F.length("w") >= 6, 4).otherwise(2)))
+    pairs = pairs.select("w", "n", "typed", "c", "m").mapInArrow(_near, "w string, n long, typed long, c string, m long")
     own = Window.partitionBy("w")
     pairs = pairs.withColumn("best", F.max("m").over(own)).withColumn("many", F.count(F.lit(1)).over(own))
-    ranked = pairs.select("w", "n", "c", "m", "best", "many").mapInArrow(_ranked(model), "w string, c string, p double")
+    ranked = pairs.select("w", "n", "typed", "c", "m", "best", "many").mapInArrow(_ranked(model, share), "w string, c string, p double")
     one = ranked.groupBy("w").agg(F.max(F.struct("p", "c")).alias("b")).select("w", F.col("b.c").alias("c"), F.lit(0).alias("kind"))
     cut = v.where(F.length("w") >= 5).select("w", "n", F.explode(F.sequence(F.lit(1), F.length("w") - 1)).alias("i"))
     cut = cut.select("w", "n", F.expr("substring(w, 1, i)").alias("a"), F.expr("substring(w, i + 1)").alias("b"))
     parts = lex.where((F.length("c") >= 3) | F.col("c").isin("a", "an", "as", "at", "be", "by", "in", "is", "it", "no", "of", "on", "or", "to", "we", "if", "he", "my"))
-    pa_, pb = (F.broadcast(parts.select(F.col("c").alias(x), F.col("m").alias(f"m{x}"))) for x in "ab")
+    pa_, pb = (parts.select(F.col("c").alias(x), F.col("m").alias(f"m{x}")).hint("merge") for x in "ab")
     two = cut.join(pa_, "a").join(pb, "b").where(F.least("ma", "mb") > RARER * F.col("n"))
     two = two.groupBy("w").agg(F.max(F.struct(F.least("ma", "mb").alias("m"), F.concat_ws(" ", "a", "b").alias("c"))).alias("b")).select("w", F.col("b.c").alias("c"), F.lit(1).alias("kind"))
     return one.unionByName(two).groupBy("w").agg(F.min(F.struct("kind", "c")).alias("b")).select("w", F.col("b.c").alias("c"))
@@ -292,12 +324,22 @@ def line_features(lines: list[str]) -> tuple[list[int], list[list[float]], set[i
     """(lines that could be furniture, what the furniture model sees of each and of the pairs it makes with its neighbours, what the rules find)."""
     rule = {k for k in furniture_lines(lines) if not separator(lines[k].strip())}
     n = len(lines)
-    able = [k for k, x in enumerate(lines) if len(x) < 80 and 0 < len(s := x.strip()) < 60 and s[0] not in ">|" and not separator(s)]
+    able = [k for k, x in enumerate(lines) if len(x) < 80 and 0 < len(s := x.strip()) < 60 and s[0] not in ">|" and not separator(s) and any(map(str.isalnum, s))]
     stripped = {k: lines[k].strip() for k in {x for k in able for x in (k - 1, k, k + 1) if 0 <= x < n}}
     run, stamp = {k: running(lines[k]) for k in stripped}, {k: is_stamp(s) for k, s in stripped.items()}
     title, num = {k: title_like(s) for k, s in stripped.items()}, {k: bool(_NUMBER.match(s)) for k, s in stripped.items()}
     able = [k for k in able if not run[k]]
     shapes = Counter(shape(stripped[k]) for k in able)
+    # What stands before and after the run of short lines that a line belongs to: whether text goes on there, and the run's length.
+    around: dict[int, list[float]] = {}
+    group: list[int] = []
+    for k in [*able, n + 1]:
+        if group and k != group[-1] + 1:
+            first, last = lines[group[0] - 1].strip() if group[0] else "", lines[group[-1] + 1].strip() if group[-1] + 1 < n else ""
+            facts = [bool(first) and not _STOP.search(first), last[:1].islower(), bool(first) and running(first), bool(last) and running(last), min(6, len(group))]
+            around |= dict.fromkeys(group, facts)
+            group = []
+        group.append(k)
     out = []
     for k in able:
         s = stripped[k]
@@ -308,18 +350,63 @@ def line_features(lines: list[str]) -> tuple[list[int], list[list[float]], set[i
             [len(s), letters / len(s), sum(map(str.isupper, s)) / max(1, letters), sum(map(str.isdigit, s)) / len(s), stamp[k], title[k], num[k], bool(_CAPTION.match(s)), min(5, shapes[h]) if len(h) >= 4 else 0]
             + [float(d.get(x, False)) for d in (run, stamp, title, num) for x in (k - 1, k + 1)]
             + [bool(before) and not _STOP.search(before), after[:1].islower(), not before, not after, k < 3, k in rule, "@" in s or "|" in s, s[-1] in ".,:?!"]
+            + [lines[k][0] == "\f", k + 1 < n and lines[k + 1][:1] == "\f", s[0].islower(), *around[k]]
         )
     return able, out, rule
 
 
+def plant_pages(text: str, rng: Random) -> tuple[list[str], set[int]]:
+    """(lines of a typed text with page breaks and small tables planted in it, the indices of the furniture)."""
+    lines = text.split("\n")
+    words = [w for w in re.findall(r"[^\W\d_]{3,}", text.lower())] or ["page"]
+    some = lambda k: [rng.choice(words) for _ in range(k)]
+    number, style = rng.randrange(1, 40), rng.randrange(6)
+    roman = ("i", "ii", "iii", "iv", "v", "vi", "vii", "viii", "ix", "x")
+    code = "".join(rng.choice("ABCDEFGHIKLMNOPRST") for _ in range(rng.choice((2, 3))))
+    k = rng.randrange(1, 5)
+    head = rng.choice(
+        [" ".join(w.capitalize() for w in some(k)), f"{' '.join(some(k)).upper()} NO. {rng.randrange(10, 9999)}", f"{some(1)[0].capitalize()} - {' '.join(some(k))}", f"{some(1)[0].capitalize()} of {some(1)[0].capitalize()}", f"{some(1)[0].capitalize()} {code[0]}-{rng.randrange(1, 99)}", " ".join(some(k)).upper()]
+    )
+    page = lambda: (str(number), f"- {number} -", f"[{number}]", f"{rng.choice(('p.', 'Page', 'Pg.'))} {number}", f"Page {number} of {number + 9}", roman[number % 10])[style]
+    out: list[str] = []
+    drop: set[int] = set()
+    left, table = rng.randrange(6, 24), rng.random() < 0.4
+    first, last = len(lines) > 30 and rng.random() < 0.7, rng.random() < 0.5  # a header over the text, a page number below it
+    titled = rng.random() < 0.6  # a title that stands there once
+    for k, x in enumerate([*lines, None]):
+        if (k == 0 and first) or (x is None and last) or (k and left <= 0 and x is not None and x.strip()):
+            block = [page()] if k and (x is None or rng.random() < 0.75) else []
+            top = damage(head, rng) if rng.random() < 0.15 else head
+            stamp = f"{code}{rng.choice(('-', ''))}{rng.choice((f'{rng.randrange(10**4, 10**7):07d}', f'{rng.randrange(1900, 2030)}-{rng.randrange(10**4):04d}'))}"
+            block += {0: [top], 1: [f"{top}   {stamp}"], 2: [stamp], 3: [top, stamp]}[rng.randrange(4)] if rng.random() < 0.85 or not block else []
+            if rng.random() < 0.4:
+                at = rng.randrange(len(block))
+                block[at] = "\f" + block[at]
+            drop |= set(range(len(out), len(out) + len(block)))
+            out += block
+            left, number = rng.randrange(10, 30), number + 1
+        if x is None:
+            break
+        if k == 0 and titled:
+            out.append(" ".join(some(rng.choice((1, 1, 2, 3)))).upper() if rng.random() < 0.8 else " ".join(some(2)).title())
+        if k and table and not x.strip() and rng.random() < 0.3:
+            out += ["", f"{' '.join(some(2)).capitalize()}:"]
+            out += [str(rng.randrange(1, 3000)) for _ in range(rng.randrange(2, 7))] if rng.random() < 0.5 else [f"{code}-{rng.randrange(1, 40)}   {rng.uniform(0, 99):.1f}   {rng.uniform(0, 9):.2f}" for _ in range(rng.randrange(2, 7))]
+        out.append(x)
+        left -= 1
+    return out, drop
+
+
 def train_lines(texts: list[str]) -> Boosted | None:
-    """The furniture model, from the layout rules as noisy teacher on clear lines: it generalises over the context of line pairs."""
+    """The furniture model, from page breaks planted in typed texts, whose own lines are no furniture."""
+    rng = Random(5)
     x, y = [], []
     for t in texts:
-        able, f, rule = line_features(t.split("\n"))
+        lines, drop = plant_pages(t, rng)
+        able, f, _ = line_features(lines)
         x += f
-        y += [k in rule for k in able]
-    return Boosted(rounds=40).fit(np.array(x, float), np.array(y)) if sum(y) >= 10 else None
+        y += [k in drop for k in able]
+    return Boosted(rounds=60).fit(np.array(x, float), np.array(y)) if sum(y) >= 10 else None
 
 
 def train_joins(lexicon: dict[str, int]) -> Boosted:
@@ -348,7 +435,14 @@ def join_features(a: str, b: str, lexicon: dict[str, int]) -> list[float]:
 _OUT = "doc {key}, line_no long, fix string, word string, clean boolean"
 
 
-def _repairer(lexicon: dict[str, int], dirty: set[str], lines_model: Boosted | None, joins: Boosted, key_type: pa.DataType):
+def torn_pairs(lexicon: dict[str, int]) -> set[tuple[str, str]]:
+    """Pairs of lexicon words that side by side are another, much more frequent one torn by a space."""
+    cuts = ((w[:i], w[i:], n) for w, n in lexicon.items() for i in range(1, len(w)))
+    return {(a, b) for a, b, n in cuts if a in lexicon and b in lexicon and min(lexicon[a], lexicon[b]) * RARER < n}
+
+
+def _repairer(lexicon: dict[str, int], more: bool, dirty: set[str], lines_model: Boosted | None, joins: Boosted, key_type: pa.DataType):
+    """``more``: whether there are sound words beyond the lexicon, so that words torn by a space are to be looked up as well."""
     names, kinds = ["doc", "line_no", "fix", "word", "clean"], [key_type, pa.int64(), pa.string(), pa.string(), pa.bool_()]
 
     def known(w: str) -> bool:
@@ -364,6 +458,14 @@ def _repairer(lexicon: dict[str, int], dirty: set[str], lines_model: Boosted | N
         return memo[a, b] >= 0.5
 
     clean = frozenset(w for w in lexicon if w not in dirty)
+    pairs = torn_pairs(lexicon)
+    rarer = frozenset(a if lexicon[a] <= lexicon[b] else b for a, b in pairs)
+
+    def torn_by(a: str, b: str) -> float:
+        """How rare the rarer part is if the two are one word torn by a space, the longer word first; infinite if they are not."""
+        n, least = lexicon.get(a + b, 0), min(lexicon.get(a, 0), lexicon.get(b, 0))
+        return least - len(a + b) / 1000 if n and least * RARER < n and known(a + b) and not (a.isdigit() or b.isdigit()) else inf
+
     glance: set[str] = set()
 
     def repair(lines: list[str], drop: set[int]) -> Iterator[tuple[int, str, str, bool]]:
@@ -386,25 +488,33 @@ def _repairer(lexicon: dict[str, int], dirty: set[str], lines_model: Boosted | N
                 rest = set(_TOKEN.findall(low)) - clean
                 if any(not t.isdigit() for t in rest):
                     open_.append((at, line))
+                    continue
+            toks = low.split()
+            if not rarer.isdisjoint(t := [t.rstrip(".,?:;") for t in toks]) and any(p in pairs for p in zip(toks, t[1:])):
+                open_.append((at, line))
         for at, line in open_:
             i = rows[at][0]
             before = rows[at - 1][1] if at else "."
             torn = before.rstrip()[-1:] in _HYPHENS and _TORN.search(before) is not None
-            last = None
-            for _, w, ok, start, end in words_of([(i, line)], first=bool(_STOP.search(before)), torn=torn):
-                low = w.lower()
-                if last and start - last[3] == 1 and line[last[3]] == " ":
-                    a, b = last[1].lower(), low
-                    n = lexicon.get(a + b, 0)
-                    if n and (last[2] or ok) and min(lexicon.get(a, 0), lexicon.get(b, 0)) * RARER < n and known(a + b) and w[0].islower() and not (a.isdigit() or b.isdigit()):
-                        yield i + 1, "word", a + b, True
-                        last = None
-                        continue
-                if last and last[4]:
-                    yield i + 1, "word", last[4], False
-                last = (i, w, ok, end, low if ok and low not in clean else "")
-            if last and last[4]:
-                yield i + 1, "word", last[4], False
+            found = list(words_of([(i, line)], first=bool(_STOP.search(before)), torn=torn))
+            lows = [f[1].lower() for f in found]
+            beside = [bool(j) and f[3] - found[j - 1][4] == 1 and line[found[j - 1][4]] == " " for j, f in enumerate(found)] + [False]
+            rare = [torn_by(lows[j - 1], lows[j]) if beside[j] and (found[j - 1][2] or f[2]) and f[1][0].islower() else inf for j, f in enumerate(found)] + [inf]
+            done = False
+            for j, (_, w, ok, _, _) in enumerate(found):
+                if done:  # the second part of a torn word
+                    done = False
+                    continue
+                # Of two ways to put three parts together the one with the rarer part holds.
+                if rare[j + 1] < inf and not rare[j + 2 if j + 2 < len(rare) else -1] < rare[j + 1]:
+                    yield i + 1, "word", lows[j] + lows[j + 1], True
+                    done = True
+                elif ok and lows[j] not in clean:
+                    yield i + 1, "word", lows[j], False
+                    if more:
+                        for x, y in ((j - 1, j), (j, j + 1)):
+                            if x >= 0 and beside[y] and found[y][1][0].islower() and lows[x] + lows[y] not in lexicon:
+                                yield i + 1, "torn", f"{lows[x]} {lows[y]}", False
 
     def run(batches):
         glance.update(w + p for w in clean for p in ("", *".,?:;"))  # here, on the executor
@@ -435,19 +545,24 @@ class Repairer:
     """The fitted models and the correction table of a corpus."""
 
     def __init__(self, documents: DataFrame, text: str = "text"):
-        spark = documents.sparkSession
-        self.scratch = Scratch(spark, "ocr")
+        self.scratch = Scratch(documents.sparkSession, "ocr")
         texts = documents.select(F.col(text).alias("text")).where("text IS NOT NULL AND text <> ''")
-        self.vocabulary = self.scratch.save(texts.mapInArrow(_counter, "w string, n long, typed long").groupBy("w").agg(F.sum("n").alias("n"), F.sum("typed").alias("typed")))
-        # Fragments and misreadings, however frequent, are no words to read others as: they have no share in typed texts.
-        sound = (F.col("n") >= LEAST) & (F.col("typed") * SOUND > F.col("n"))
-        top = self.vocabulary.where(sound).orderBy(F.desc("n"), "w").limit(LEXICON).collect()  # bounded by LEXICON
-        self.lexicon = {r.w: r.n for r in top}
-        self.ranker, self.joins = train_ranker(self.lexicon), train_joins(self.lexicon)
-        self.corrections = self.scratch.save(corrections(self.vocabulary, self.lexicon, self.ranker))
-        lex = spark.createDataFrame([(w,) for w in self.lexicon] or [], "w string")
+        counted = self.scratch.save(texts.mapInArrow(_counter, "w string, n long, typed long").groupBy("w").agg(F.sum("n").alias("n"), F.sum("typed").alias("typed")))
+        all_, typed = counted.agg(F.sum("n"), F.sum("typed")).first()
+        self.share = (typed or 0) / (all_ or 1)
+        # Fragments and misreadings, however frequent, are no words to read others as: they have hardly a share in typed texts. A corpus
+        # of scans alone has no such texts, and every frequent word counts as sound.
+        sound = (F.col("n") >= LEAST) & (F.col("typed") >= SOUND * self.share * F.col("n"))
+        self.vocabulary = counted.withColumn("sound", sound)
+        top = self.vocabulary.where("sound").orderBy(F.desc("n"), "w").limit(LEXICON + 1).collect()  # bounded by LEXICON
+        self.more = len(top) > LEXICON
+        self.lexicon = {r.w: r.n for r in top[:LEXICON]}
+        self.ranker, self.joins = train_ranker(self.lexicon, self.share), train_joins(self.lexicon)
+        self.corrections = self.scratch.save(corrections(self.vocabulary, self.ranker, self.share))
+        lex = documents.sparkSession.createDataFrame([(w,) for w in self.lexicon] or [], "w string")
         self.dirty = {r.w for r in self.corrections.join(F.broadcast(lex), "w", "left_semi").select("w").collect()}  # within LEXICON
-        sample = texts.select("text").where(F.col("text").rlike(r"[-­¬] ?\n")).orderBy(F.xxhash64("text")).limit(TRAIN_DOCUMENTS)
+        able = texts.where((F.length("text") < 20_000) & F.col("text").contains("\n") & ~F.col("text").rlike(_TRACE))
+        sample = able.orderBy(F.xxhash64("text")).limit(TRAIN_DOCUMENTS)
         self.lines = train_lines([r.text for r in sample.collect()])  # bounded by TRAIN_DOCUMENTS
 
     def repairs(self, documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -455,12 +570,24 @@ class Repairer:
 
         d = documents.select(F.col(key).alias("doc"), F.col(text).alias("text")).where("text IS NOT NULL AND text <> ''")
         kind = d.schema["doc"].dataType
-        found = self.scratch.save(d.mapInArrow(_repairer(self.lexicon, self.dirty, self.lines, self.joins, to_arrow_type(kind)), _OUT.format(key=kind.simpleString())))
-        open_ = found.where("NOT clean").join(self.corrections.withColumnRenamed("w", "word"), "word", "left")
+        found = self.scratch.save(d.mapInArrow(_repairer(self.lexicon, self.more, self.dirty, self.lines, self.joins, to_arrow_type(kind)), _OUT.format(key=kind.simpleString())))
+        open_ = found.where("NOT clean AND fix <> 'torn'").join(self.corrections.withColumnRenamed("w", "word"), "word", "left")
         settled = open_.where("fix = 'join' OR c IS NOT NULL").select("doc", "line_no", "fix", F.coalesce("c", "word").alias("word"))
         out = found.where("clean").select("doc", "line_no", "fix", "word").unionByName(settled).distinct()
+        if self.more:
+            out = out.unionByName(self._torn(found)).distinct()
         return out.withColumnRenamed("doc", key)
 
+    def _torn(self, found: DataFrame) -> DataFrame:
+        """Words torn by a space that are not among those sent to the tasks, by their counts in the table."""
+        v = self.vocabulary.where("sound").select("w", "n")
+        t = found.where("fix = 'torn'").select("doc", "line_no", F.substring_index("word", " ", 1).alias("a"), F.substring_index("word", " ", -1).alias("b"))
+        t = t.withColumn("w", F.concat("a", "b")).join(v, "w")
+        for x in "ab":
+            t = t.join(v.select(F.col("w").alias(x), F.col("n").alias(f"n{x}")), x, "left")
+        rare = F.least(F.coalesce("na", F.lit(0)), F.coalesce("nb", F.lit(0)))
+        return t.where(rare * RARER < F.col("n")).select("doc", "line_no", F.lit("word").alias("fix"), F.col("w").alias("word"))
+
 
 def repair_places(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``(doc_id, line_no, fix, word)``: every place of repair, once. Null and empty texts give none; a corpus too small to learn from gives

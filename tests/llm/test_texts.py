@@ -120,7 +120,7 @@ def test_repairs(spark):
 
 def test_ranking_on_held_out_damage():
     lexicon = Counter(w for _, t in corpus() for w in t.lower().rstrip(".").split())
-    model, index, rng, right, asked = ocr.train_ranker(lexicon), ocr._Index(lexicon), random.Random(99), 0, 0
+    model, index, rng, right, asked = ocr.train_ranker(lexicon, 0.6), ocr._Index(lexicon), random.Random(99), 0, 0
     for w in [w for w in lexicon if len(w) >= 5] * 8:
         bad = ocr.damage(w, rng)
         if bad in lexicon:
@@ -129,11 +129,51 @@ def test_ranking_on_held_out_damage():
         asked += 1
         if cands:
             best = max(lexicon[c] for c in cands)
-            s = model.score(np.array([ocr.features(bad, 1, c, lexicon[c], best, len(cands)) for c in cands]))
+            s = model.score(np.array([ocr.features(bad, 1, ocr.share_of(0, 1, 0.6), c, lexicon[c], best, len(cands)) for c in cands]))
             right += cands[int(s.argmax())] == w
     assert right / asked > 0.85
 
 
+def test_words_near_the_border_of_the_gram_sizes(spark):
+    lines = "the members would review the notice of the joint panel until they found the study of the claim and the route of the plume"
+    rows = [(k, lines.capitalize() + ".") for k in range(200)]
+    bad = {"would": "woulcl", "review": "rewew", "notice": "nodce", "joint": "joirit", "panel": "pariel", "until": "uritil", "claim": "daim", "study": "stiidy"}
+    page = " ".join(bad.get(w, w) for w in lines.split())
+    df = spark.createDataFrame([*rows, (900, "the members said that\nPg. 2\n" + page + ".")], "doc_id long, text string")
+    found = {r.word for r in ocr.repair_places(df).where("doc_id = 900 AND fix = 'word'").collect()}
+    assert found <= set(bad) and len(found) >= 6
+
+
+def test_words_beyond_the_lexicon_are_looked_up(spark, monkeypatch):
+    page = "the members reviewed the additional barrels of the county\nPg. 2\nand the trea tment of the quar terly contracf. All is well.\n"
+    rows = [*corpus(), *[(400 + k, "Rarely a hydrogeologist comes.") for k in range(8)], (900, page), (901, "the members and a hydro geologist reviewed the\nPg. 7\nbarrels of the county.")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {tuple(r) for r in ocr.repair_places(df).where("doc_id >= 900").collect()}
+    assert {(901, 1, "word", "hydrogeologist"), (900, 3, "word", "treatment"), (900, 3, "word", "contract")} <= want
+    monkeypatch.setattr(ocr, "LEXICON", 12)  # the others are in the table alone
+    got = {tuple(r) for r in ocr.repair_places(df).where("doc_id >= 900").collect()}
+    assert {(901, 1, "word", "hydrogeologist"), (900, 3, "word", "treatment")} <= got
+
+
+def test_a_corpus_of_scans_alone(spark):
+    df = spark.createDataFrame([*[(k, f"The members said\n- {k} -\n" + t) for k, t in corpus()], (900, "the members said that\nPg. 2\nthe clrainage of the county is done.")], "doc_id long, text string")
+    assert (900, 3, "word", "drainage") in {tuple(r) for r in ocr.repair_places(df).collect()}
+
+
+def test_planted_pages_are_found():
+    rng = random.Random(8)
+    words = "report measured quarterly contract drainage county sampling members technical monitoring described barrels".split()
+    text = lambda: "\n".join(" ".join(rng.choice(words) for _ in range(11)) + ("." if k % 5 == 4 else "") for k in range(60))
+    model = ocr.train_lines([text() for _ in range(60)])
+    right = wrong = missed = 0
+    for _ in range(30):
+        lines, drop = ocr.plant_pages(text(), rng)
+        able, x, _ = ocr.line_features(lines)
+        got = {k for k, p in zip(able, model.score(np.array(x, float))) if p >= 0.5}
+        right, wrong, missed = right + len(got & drop), wrong + len(got - drop), missed + len(drop - got)
+    assert right > 100 and wrong / right < 0.06 and missed / right < 0.06
+
+
 # --- 8: mixing -----------------------------------------------------------------------------------------------------------------
 
 
