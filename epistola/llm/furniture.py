@@ -78,13 +78,13 @@ def furniture_lines(lines: list[str]) -> set[int]:
     short = {k: s for k, x in enumerate(lines) if len(x) < 80 and 0 < len(s := x.strip()) < 60 and s[0] not in ">|"}
     out = {k for k, s in short.items() if is_stamp(s)}
     titles = {k for k, s in short.items() if k not in out and title_like(s)}
-    shapes = Counter(shape(_bare(short[k])) for k in titles)
-    again = {k for k in titles if len(h := shape(_bare(short[k]))) >= 5 and shapes[h] >= 2}
-    strong = {k for k in titles if _CAPTION.match(_bare(short[k]))}
-    known = {shape(_bare(short[k])) for k in strong | again}
-    strong |= {k for k in titles - again if k > 2 and len(h := shape(_bare(short[k]))) >= 8 and any(abs(len(h) - len(x)) <= 2 and _alike(h, x) for x in known)}
-    if not (out or again or strong):
-        again = set()
+    bare = {k: _bare(short[k]) for k in titles}
+    folded = {k: shape(b) for k, b in bare.items()}
+    shapes = Counter(folded.values())
+    again = {k for k in titles if len(folded[k]) >= 5 and shapes[folded[k]] >= 2}
+    strong = {k for k in titles if _CAPTION.match(bare[k])}
+    if known := {folded[k] for k in strong | again}:
+        strong |= {k for k in titles - again if k > 2 and len(h := folded[k]) >= 8 and any(abs(len(h) - len(x)) <= 2 and _alike(h, x) for x in known)}
     text = lambda k: 0 <= k < len(lines) and running(lines[k])
     out |= {k for k in strong | again if k in strong or k > 2 or out}
     for k, s in short.items():
@@ -102,5 +102,8 @@ def furniture_lines(lines: list[str]) -> set[int]:
 _CAPTION = re.compile(r"^(?:[A-Z0-9][A-Z0-9 '-]+ NO\.?\s+\d+|Exhibit [A-Z0-9]{1,3}-\d{1,4}|CONFIDENTIAL(?: [A-Z]+)+|Record of [A-Z]\w+(?: [A-Z]\w+)*|[A-Z][\w' -]+ No\. \d+)$")
 
 
+@lru_cache(8192)
 def _bare(s: str) -> str:
+    if "  " not in s and not any(map(str.isdigit, s)):
+        return s
     return " ".join(x for x in _PART.split(s) if not (_PAGE.match(x) or _STAMP.match(x)))

@@ -121,25 +121,6 @@ def text_lines(lines: list[str], drop: set[int]) -> list[tuple[int, str]]:
     return out
 
 
-def words_of(rows: list[tuple[int, str]], first: bool = True, torn: bool = False) -> Iterator[tuple[int, str, bool, int, int]]:
-    """(index, word as written, usable, start, end): usable words are in lower case or begin a sentence, are no figures and not torn."""
-    for i, line in rows:
-        end = _TORN.search(line)
-        cut = end.start(1) if end else len(line) + 1
-        last = 0
-        for m in _TOKEN.finditer(line):
-            w = m[0]
-            gap = line[last : m.start()]
-            first = first or (len(gap) > 1 and _GAP.search(gap) is not None)
-            whole = not torn and m.start() < cut
-            torn = False
-            lower = w[0].islower() or (w[0].isdigit() and any(c.islower() for c in w))
-            yield i, w, whole and (lower or (first and w[1:].islower())) and not w.replace("-", "").isdigit(), m.start(), m.end()
-            first, last = False, m.end()
-        first = first and last == 0 or bool(_STOP.search(line))
-        torn = end is not None
-
-
 _WORDS = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*")
 _FIRST = re.compile(r"(?:^|[.!?:][\"'”’)\]]*\s+|\n\s*\n[\s>|]*)([A-ZÀ-Þ][a-zß-öø-ÿ\ufb01\ufb02]*(?:['’-][^\W_]+)*)")
 _MAILBOX = re.compile(r"\S+@\S+")
@@ -459,12 +440,15 @@ def _repairer(lexicon: dict[str, int], more: bool, dirty: set[str], lines_model:
 
     clean = frozenset(w for w in lexicon if w not in dirty)
     pairs = torn_pairs(lexicon)
-    rarer = frozenset(a if lexicon[a] <= lexicon[b] else b for a, b in pairs)
+    rarer = frozenset(w + p for a, b in pairs for w in (a if lexicon[a] <= lexicon[b] else b,) for p in ("", *".,?:;"))
 
     def torn_by(a: str, b: str) -> float:
         """How rare the rarer part is if the two are one word torn by a space, the longer word first; infinite if they are not."""
-        n, least = lexicon.get(a + b, 0), min(lexicon.get(a, 0), lexicon.get(b, 0))
-        return least - len(a + b) / 1000 if n and least * RARER < n and known(a + b) and not (a.isdigit() or b.isdigit()) else inf
+        n = lexicon.get(a + b)
+        if n is None:
+            return inf
+        least = min(lexicon.get(a, 0), lexicon.get(b, 0))
+        return least - len(a + b) / 1000 if least * RARER < n and known(a + b) and not (a.isdigit() or b.isdigit()) else inf
 
     glance: set[str] = set()
 
@@ -484,37 +468,54 @@ def _repairer(lexicon: dict[str, int], more: bool, dirty: set[str], lines_model:
                     yield i + 1, "join", word, known(word)
             # Most lines are clean at a glance; the others are looked at word by word.
             low = line.lower()
-            if any(not t.rstrip(".,?").isdigit() for t in set(low.split()) - glance):
+            here = set(low.split())
+            if any(not t.rstrip(".,?").isdigit() for t in here - glance):
                 rest = set(_TOKEN.findall(low)) - clean
                 if any(not t.isdigit() for t in rest):
                     open_.append((at, line))
                     continue
-            toks = low.split()
-            if not rarer.isdisjoint(t := [t.rstrip(".,?:;") for t in toks]) and any(p in pairs for p in zip(toks, t[1:])):
-                open_.append((at, line))
+            if not rarer.isdisjoint(here):
+                toks = low.split()
+                if any(p in pairs for p in zip(toks, (t.rstrip(".,?:;") for t in toks[1:]))):
+                    open_.append((at, line))
         for at, line in open_:
             i = rows[at][0]
             before = rows[at - 1][1] if at else "."
             torn = before.rstrip()[-1:] in _HYPHENS and _TORN.search(before) is not None
-            found = list(words_of([(i, line)], first=bool(_STOP.search(before)), torn=torn))
-            lows = [f[1].lower() for f in found]
-            beside = [bool(j) and f[3] - found[j - 1][4] == 1 and line[found[j - 1][4]] == " " for j, f in enumerate(found)] + [False]
-            rare = [torn_by(lows[j - 1], lows[j]) if beside[j] and (found[j - 1][2] or f[2]) and f[1][0].islower() else inf for j, f in enumerate(found)] + [inf]
-            done = False
-            for j, (_, w, ok, _, _) in enumerate(found):
-                if done:  # the second part of a torn word
-                    done = False
-                    continue
+            toks = [(m[0], m.start(), m.end()) for m in _TOKEN.finditer(line)]
+            lows = [t[0].lower() for t in toks]
+            odd = [j for j, w in enumerate(lows) if w not in clean or w in rarer]
+            if not odd:
+                continue
+            end = _TORN.search(line) if line.rstrip()[-1:] in _HYPHENS else None
+            cut = end.start(1) if end else len(line) + 1
+
+            def usable(j: int) -> bool:
+                """Whether a word is running text, and whole: in lower case or at the beginning of a sentence, no figure and not torn at a line end."""
+                w, start, _ = toks[j]
+                if (torn and j == 0) or start >= cut or lows[j].replace("-", "").isdigit():
+                    return False
+                if w[0].islower() or (w[0].isdigit() and any(c.islower() for c in w)):
+                    return True
+                gap = line[toks[j - 1][2] : start] if j else ""
+                return w[1:].islower() and (_GAP.search(gap) is not None if j else _STOP.search(before) is not None)
+
+            # How rare the rarer part is where two words side by side are one torn by a space, by the second word's place.
+            beside = {k for j in odd for k in (j, j + 1) if 0 < k < len(toks) and toks[k][1] - toks[k - 1][2] == 1 and line[toks[k - 1][2]] == " "}
+            rare = {k: r for k in beside if toks[k][0][0].islower() and (r := torn_by(lows[k - 1], lows[k])) < inf and (usable(k - 1) or usable(k))}
+            taken = set()
+            for k in sorted(rare):
                 # Of two ways to put three parts together the one with the rarer part holds.
-                if rare[j + 1] < inf and not rare[j + 2 if j + 2 < len(rare) else -1] < rare[j + 1]:
-                    yield i + 1, "word", lows[j] + lows[j + 1], True
-                    done = True
-                elif ok and lows[j] not in clean:
+                if k - 1 not in taken and not rare.get(k + 1, inf) < rare[k]:
+                    yield i + 1, "word", lows[k - 1] + lows[k], True
+                    taken |= {k - 1, k}
+            for j in odd:
+                if j not in taken and lows[j] not in clean and usable(j):
                     yield i + 1, "word", lows[j], False
                     if more:
-                        for x, y in ((j - 1, j), (j, j + 1)):
-                            if x >= 0 and beside[y] and found[y][1][0].islower() and lows[x] + lows[y] not in lexicon:
-                                yield i + 1, "torn", f"{lows[x]} {lows[y]}", False
+                        for k in (j, j + 1):
+                            if k in beside and toks[k][0][0].islower() and lows[k - 1] + lows[k] not in lexicon:
+                                yield i + 1, "torn", f"{lows[k - 1]} {lows[k]}", False
 
     def run(batches):
         glance.update(w + p for w in clean for p in ("", *".,?:;"))  # here, on the executor
@@ -561,9 +562,10 @@ class Repairer:
         self.corrections = self.scratch.save(corrections(self.vocabulary, self.ranker, self.share))
         lex = documents.sparkSession.createDataFrame([(w,) for w in self.lexicon] or [], "w string")
         self.dirty = {r.w for r in self.corrections.join(F.broadcast(lex), "w", "left_semi").select("w").collect()}  # within LEXICON
-        able = texts.where((F.length("text") < 20_000) & F.col("text").contains("\n") & ~F.col("text").rlike(_TRACE))
-        sample = able.orderBy(F.xxhash64("text")).limit(TRAIN_DOCUMENTS)
-        self.lines = train_lines([r.text for r in sample.collect()])  # bounded by TRAIN_DOCUMENTS
+        # Typed texts among the first ten times as many by hash, so that one pass that sorts nothing but hashes finds them.
+        some = texts.where((F.length("text") < 20_000) & F.col("text").contains("\n")).orderBy(F.xxhash64("text")).limit(10 * TRAIN_DOCUMENTS)
+        sample = some.where(~F.col("text").rlike(_TRACE)).limit(TRAIN_DOCUMENTS)
+        self.lines = train_lines(sorted(r.text for r in sample.collect()))  # bounded by TRAIN_DOCUMENTS
 
     def repairs(self, documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
         from pyspark.sql.pandas.types import to_arrow_type
