@@ -42,6 +42,7 @@ def _rank_chains(scratch: Scratch, arcs: DataFrame) -> DataFrame:
     """List ranking of arcs (v entered from f, leaving to t): afterwards t is the chain's end in that direction and hops
     the distance to it; on pure cycles, which have no end, t is null and m is the least vertex of the cycle."""
     cur, active, cycles = scratch.save(arcs), None, False
+    held = cur
     while True:
         nxt = cur.select(F.col("v").alias("t"), F.col("f").alias("tf"), F.col("t").alias("t2"), F.col("tf").alias("tf2"), F.col("hops").alias("h2"), F.col("m").alias("m2"))
         step = cur.join(nxt.hint("merge"), ["t", "tf"], "left").select(
@@ -56,14 +57,13 @@ def _rank_chains(scratch: Scratch, arcs: DataFrame) -> DataFrame:
         )
         new = scratch.save(step)
         moved, lower = new.agg(F.count_if("moved"), F.count_if("lower")).first()
-        scratch.drop(cur)
+        scratch.drop(held)
         # An open chain has an arc at every distance from its end, so some arc ends in each step; if none did, only cycles move.
         cycles = cycles or (active is not None and moved == active)
         if moved == 0 or (cycles and lower == 0):
             return new.select("v", "f", F.when(~F.col("moved"), F.col("t")).alias("t"), "hops", "m")
         active = moved
-        cur = new.select("v", "f", "t", "tf", "hops", "m")
-        scratch._paths[id(cur)] = scratch._paths.pop(id(new))
+        cur, held = new.select("v", "f", "t", "tf", "hops", "m"), new
 
 
 def _compress(scratch: Scratch, edges: DataFrame) -> tuple[DataFrame, DataFrame] | None:
@@ -99,16 +99,15 @@ def _contract(scratch: Scratch, edges: DataFrame, seed: int) -> tuple[DataFrame,
 
 def _jump(scratch: Scratch, forest: DataFrame) -> DataFrame:
     """Pointer jumping: afterwards p is the root of v. Roots may lack a row."""
-    cur = scratch.save(forest)
+    cur = held = scratch.save(forest)
     while True:
         up = cur.select(F.col("v").alias("p"), F.col("p").alias("q"))
         new = scratch.save(cur.join(up.hint("merge"), "p", "left").select("v", F.coalesce("q", "p").alias("p"), (F.coalesce("q", "p") != F.col("p")).alias("moved")))
         more = not new.where("moved").isEmpty()
-        scratch.drop(cur)
+        scratch.drop(held)
         if not more:
             return new.select("v", "p")
-        cur = new.select("v", "p")
-        scratch._paths[id(cur)] = scratch._paths.pop(id(new))
+        cur, held = new.select("v", "p"), new
 
 
 def connected_groups(links: DataFrame, src: str = "src", dst: str = "dst", node: str = "id", group: str = "group_id") -> DataFrame:

@@ -6,72 +6,83 @@
    ``MAX_BLOCK`` spellings is refined with first initial and domain; what is too common even then is left to the longer suffixes of
    the same spellings, which are indexed too.
 3. Pairs within a block are compared by longest-common-subsequence ratio, and each spelling leans on its most frequent close
-   neighbour.
+   neighbour; the chains this makes are followed to their ends. Damaged domains lean on known ones by the same ratio.
    All joins merge: their sides are of one size, and many broadcasts of middling tables would only fill the driver.
-4. Under one surname the first names, initials, middle initials and domains, counted per kind and not per node, decide who is who.
+4. Under one surname the first names, initials, middle initials and domains, counted per kind and not per node, decide who is who. A kind sees the
+   counts of its surname and of its surname at its domain, which are aggregated and joined to it; kinds are never brought together in a task.
+
+First names need not be listed: a word that stands as first name before ``LEARNED`` surnames or more counts as one, unless a
+listed one under the same surname is close to it.
 """
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from epistola.llm.personname import FULL, lcs, ratio, read_local, read_name
+from epistola.llm.personname import FULL, SHORT_FORMS, lcs, ratio, read_local, read_name
 from epistola.session import Scratch
 
 MIN_SUFFIX, MAX_BLOCK = 5, 64
 #: Least ratio of a spelling to a neighbour several times as frequent, and to any more frequent one.
 CLOSE, CLOSER, SEVERAL = 0.78, 0.86, 3.0
+#: Least ratio of a damaged domain to a known one, and of a damaged first name to one of its surname.
+PLACE, FIRST = 0.88, 0.72
+#: Before so many different surnames must an unlisted word stand to count as a first name.
+LEARNED = 3
 AMBIGUOUS = {"ted": ("theodore", "edward"), "pat": ("patricia",), "rob": ("robert",)}
 
-_READ = "id string, org string, a string, b string, first string, raw string, exact boolean, initial string, middle string, dom string"
+_READ = "id string, org string, a string, b string, first string, raw string, exact boolean, initial string, middle string, host string"
 
 
-def squeeze(domain: str | None) -> str:
-    return "".join(c for c in (domain or "").lower() if c.isalnum())
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = [x.split()[0] for x in _READ.split(", ")]
+    kinds = [pa.bool_() if n == "exact" else pa.string() for n in names]
+    for b in batches:
+        cols = list(zip(*(_row(*r) for r in zip(*(b.column(k).to_pylist() for k in range(3)))))) or [[] for _ in names]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=names)
 
 
-def _reader(known: list[str]):
-    flat = {squeeze(d): d for d in known}
-    memo: dict[str, str] = {}
+def _row(id_: str, name: str | None, domain: str | None) -> tuple:
+    n = read_name(name)
+    local, _, host = id_.partition("@")
+    p = read_local(local, n)
+    org = None if not n and not p else (n.org if n and n.org is not None else p.org if p and p.org is not None and not n else None)
+    both = [x for x in (n, p) if x]
+    firsts = sorted((x for x in both if x.first), key=lambda x: (not x.exact, x.raw in AMBIGUOUS, x is p))
+    f = firsts[0] if firsts else None
+    initial = f.first[0] if f else next((x.initial for x in both if x.initial), None)
+    middle = next((x.middle for x in both if x.middle and x.middle != ""), None)
+    raw = f.raw if f else n.raw if n and n.org is None else None
+    return (id_, org, n.last if n else None, p.last if p else None, f.first if f else None, raw, bool(f and f.exact and f.raw not in AMBIGUOUS), initial, middle, domain or host)
 
-    def place(domain: str | None) -> str:
-        """The known domain that a damaged one stands for, or the domain itself."""
-        s = squeeze(domain)
-        if s in flat:
-            return flat[s]
-        if s not in memo:
-            if len(memo) > 100_000:
-                memo.clear()
-            best = max(flat, key=lambda k: (ratio(s, k), k), default="")
-            memo[s] = flat[best] if best and ratio(s, best) >= 0.88 else s
-        return memo[s]
 
-    def row(id_: str, name: str | None, domain: str | None) -> tuple:
-        n = read_name(name)
-        local, _, host = id_.partition("@")
-        p = read_local(local, n)
-        org = None if not n and not p else (n.org if n and n.org is not None else p.org if p and p.org is not None and not n else None)
-        both = [x for x in (n, p) if x]
-        firsts = sorted((x for x in both if x.first), key=lambda x: (not x.exact, x.raw in AMBIGUOUS, x is p))
-        f = firsts[0] if firsts else None
-        initial = f.first[0] if f else next((x.initial for x in both if x.initial), None)
-        middle = next((x.middle for x in both if x.middle and x.middle != ""), None)
-        return (id_, org, n.last if n else None, p.last if p else None, f.first if f else None, f.raw if f else None, bool(f and f.exact and f.raw not in AMBIGUOUS), initial, middle, place(domain or host))
+def squeezed(c: str):
+    return F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}]", "")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [x.split()[0] for x in _READ.split(", ")]
-        for b in batches:
-            cols = list(zip(*(row(*r) for r in zip(*(b.column(k).to_pylist() for k in range(3)))))) or [[] for _ in names]
-            kinds = [pa.bool_() if n == "exact" else pa.string() for n in names]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=names)
 
-    return run
+def places(hosts: DataFrame, domains: DataFrame | None) -> DataFrame:
+    """``host, dom``: the known domain that a damaged one stands for, or its own letters and figures. Close ones are found by q-grams: of a known domain
+    so many of the rarest that a domain of the least ratio shares one of them."""
+    h = hosts.select("host").distinct().withColumn("s", squeezed("host"))
+    if domains is None:
+        return h.select("host", F.col("s").alias("dom"))
+    known = domains.select("domain", squeezed("domain").alias("k")).where("domain IS NOT NULL AND k <> ''").groupBy("k").agg(F.min("domain").alias("domain"))
+    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 2, F.lit(1))), lambda i: F.substring(F.col(c), i, F.lit(3))))
+    open_ = h.select("s").distinct().join(known.select(F.col("k").alias("s")), "s", "left_anti")
+    index = known.select("k", F.explode(grams("k")).alias("g"))
+    rarest = Window.partitionBy("k").orderBy("df", "g")
+    index = index.join(index.groupBy("g").agg(F.count(F.lit(1)).alias("df")), "g").withColumn("at", F.row_number().over(rarest))
+    # With a ratio r, s has at most k(2 - r)/r letters, and (1 - r)(s + k) letters of both are not shared; each spoils three q-grams.
+    index = index.where(F.col("at") <= 3 * F.floor(F.length("k") * (1 - PLACE) * 2 / PLACE) + 1)
+    pairs = open_.select("s", F.explode(grams("s")).alias("g")).join(index.hint("merge"), "g")
+    pairs = pairs.where(2 * F.least(F.length("s"), F.length("k")) >= PLACE * (F.length("s") + F.length("k"))).select(F.col("s").alias("x"), F.col("k").alias("y")).distinct()
+    best = pairs.mapInArrow(_ratio_rows, "x string, y string, r double").where(F.col("r") >= PLACE).groupBy("x").agg(F.max(F.struct("r", "y")).alias("b"))
+    found = best.select(F.col("x").alias("s"), F.col("b.y").alias("k")).unionByName(known.select(F.col("k").alias("s"), "k")).join(known, "k").select("s", "domain")
+    return h.join(found.hint("merge"), "s", "left").select("host", F.coalesce("domain", "s").alias("dom"))
 
 
 def _ratio_rows(batches):
@@ -93,7 +104,9 @@ def suffix_pairs(spellings: DataFrame) -> DataFrame:
     few = fine.groupBy("block").agg(F.count(F.lit(1)).alias("size")).where((F.col("size") > 1) & (F.col("size") <= MAX_BLOCK))
     blocks = plain.unionByName(fine.join(few.select("block").hint("merge"), "block"))
     pairs = blocks.select("block", F.col("form").alias("x")).join(blocks.select("block", F.col("form").alias("y")).hint("merge"), "block")
-    return pairs.where((F.col("x") < F.col("y")) & (F.abs(F.length("x") - F.length("y")) <= 3)).select("x", "y").distinct()
+    # No common subsequence is longer than the shorter of the two.
+    able = 2 * F.least(F.length("x"), F.length("y")) >= CLOSE * (F.length("x") + F.length("y"))
+    return pairs.where((F.col("x") < F.col("y")) & able).select("x", "y").distinct()
 
 
 def anchors(scratch: Scratch, read: DataFrame) -> DataFrame:
@@ -108,99 +121,112 @@ def anchors(scratch: Scratch, read: DataFrame) -> DataFrame:
     lean = both.where(higher & ((F.col("n") >= SEVERAL * F.col("own")) | (F.col("r") >= CLOSER)))
     best = lean.groupBy("form").agg(F.max(F.struct((F.col("n") >= SEVERAL * F.col("own")).alias("several"), "r", "n", "to")).alias("b")).select("form", F.col("b.to").alias("anchor"))
     chain = scratch.save(count.select("form").join(best.hint("merge"), "form", "left").select("form", F.coalesce("anchor", "form").alias("anchor")))
-    for _ in range(3):  # counts rise along a chain, so chains are short; three doublings follow eight steps
+    while True:  # every step of a chain leads to a higher count or an earlier spelling, so chains end
         up = chain.select(F.col("form").alias("anchor"), F.col("anchor").alias("top"))
-        chain = scratch.save(chain.join(up.hint("merge"), "anchor").select("form", F.col("top").alias("anchor")))
-    return chain.join(count.hint("merge"), "form")
+        step = scratch.save(chain.join(up.hint("merge"), "anchor").select("form", F.col("top").alias("anchor"), (F.col("top") != F.col("anchor")).alias("moved")))
+        chain = step.select("form", "anchor")
+        if step.where("moved").isEmpty():
+            return chain.join(count.hint("merge"), "form")
+
 
+_PARTS = ["anchor", "org", "first", "raw", "exact", "initial", "middle", "dom"]
+_KIND = "anchor string, org string, first string, raw string, exact boolean, initial string, middle string, dom string, n long"
 
-def _extra(r):
+
+def _extra(batches):
     """A kind whose address runs something together with the surname: a first name, or an initial."""
-    full = FULL.get(r.raw)
-    return r._replace(first=full, exact=bool(full) and r.raw not in AMBIGUOUS, initial=full[0] if full else r.raw if len(r.raw) == 1 else None)
-
-
-def _who(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Entities under one surname: ``pdf`` has a row per kind of node, with its count."""
-    key = pdf["anchor"].iloc[0]
-    out = [""] * len(pdf)
-    rows = [_extra(r) if not r.first and not r.initial and r.raw else r for r in pdf.itertuples(index=False)]
-    orgs = [i for i, r in enumerate(rows) if r.org is not None]
-    kinds = Counter()
-    where = defaultdict(set)
-    for i in orgs:
-        if rows[i].org and rows[i].org != "role":
-            kinds[rows[i].org] += rows[i].n
-            where[rows[i].dom].add(rows[i].org)
-    for i in orgs:
-        r = rows[i]
-        if r.org == "role":
-            out[i] = f"o|{key}|role|{r.dom}"
-        else:
-            kind = r.org or (next(iter(kinds)) if len(kinds) == 1 else next(iter(where[r.dom])) if len(where[r.dom]) == 1 else "")
-            # A kind of one letter has lost a damaged word; it belongs to a whole one that ends or begins alike, else to the commonest.
-            whole = [k for k in kinds if len(k) > 1]
-            if len(kind) < 2 and whole:
-                kind = max(whole, key=lambda k: (kind in k, kinds[k], k))
-            out[i] = f"o|{key}|{kind}"
-    people = [i for i, r in enumerate(rows) if r.org is None]
-    firsts, at = Counter(), defaultdict(Counter)
-    for i in people:
-        if rows[i].first and rows[i].exact:
-            firsts[rows[i].first] += rows[i].n
-            at[rows[i].dom][rows[i].first] += rows[i].n
-    name: dict[int, str] = {}
-    for i in people:
-        r = rows[i]
-        if r.first and r.exact:
-            name[i] = r.first
-        elif r.first and r.raw in AMBIGUOUS:
-            able = [f for f in AMBIGUOUS[r.raw] if firsts[f]]
-            name[i] = max(able, key=lambda f: (at[r.dom][f], firsts[f], f)) if able else r.first
-        elif r.first:
-            raw = r.raw or r.first
-            able = [f for f in firsts if ratio(raw, f) >= 0.72 or FULL.get(raw) == f]
-            score = lambda f: (max(ratio(raw, f), ratio(raw.replace("o", "a"), f)) + 0.1 * (at[r.dom][f] > 0), firsts[f], f)
-            name[i] = max(able, key=score) if able else r.first
-        elif r.initial:
-            able = [f for f in firsts if f[0] == r.initial]
-            here = [f for f in able if at[r.dom][f]]
-            pick = here if len(here) == 1 else able if len(able) == 1 else []
-            name[i] = pick[0] if pick else f"{r.initial}.@{r.dom}"
-        else:
-            here = list(at[r.dom])
-            pick = here if len(here) == 1 else list(firsts) if len(firsts) == 1 else []
-            name[i] = pick[0] if pick else f"?@{r.dom}"
-    groups = defaultdict(list)
-    for i, f in name.items():
-        groups[f].append(i)
-    for f, members in groups.items():
-        middles = Counter()
-        homes = defaultdict(set)
-        for i in members:
-            if rows[i].middle:
-                middles[rows[i].middle] += rows[i].n
-                homes[rows[i].dom].add(rows[i].middle)
-        for i in members:
-            r = rows[i]
-            m = r.middle if len(middles) > 1 else ""
-            if len(middles) > 1 and not m:
-                m = next(iter(homes[r.dom])) if len(homes[r.dom]) == 1 else f"@{r.dom}"
-            out[i] = f"p|{key}|{f}|{m or ''}"
-    return pdf.assign(entity=out)[["anchor", "org", "first", "raw", "exact", "initial", "middle", "dom", "entity"]]
+    for b in batches:
+        rows = b.to_pylist()
+        for r in rows:
+            if r["org"] is None and not r["first"] and not r["initial"] and r["raw"]:
+                full = FULL.get(r["raw"])
+                r |= {"first": full, "exact": bool(full) and r["raw"] not in AMBIGUOUS, "initial": full[0] if full else r["raw"] if len(r["raw"]) == 1 else None}
+        yield pa.RecordBatch.from_pylist([{"was_" + k: v for k, v in w.items() if k in ("first", "exact", "initial")} | r for w, r in zip(b.to_pylist(), rows)], schema=_EXTRA)
+
+
+_EXTRA = pa.schema([*[("was_" + k, t) for k, t in (("first", pa.string()), ("exact", pa.bool_()), ("initial", pa.string()))], *[(x.split()[0], {"boolean": pa.bool_(), "long": pa.int64()}.get(x.split()[1], pa.string())) for x in _KIND.split(", ")]])
+
+
+def who(r: dict, firsts: dict[str, int], here: dict[str, int]) -> str:
+    """Whose first name a person's kind stands for, by the first names of its surname and of its surname at its domain, with their counts. Without
+    any the kind belongs to its domain."""
+    if r["first"] and r["exact"]:
+        close = [f for f in firsts if f in SHORT_FORMS and ratio(r["first"], f) >= FIRST] if r["first"] not in SHORT_FORMS else []
+        return max(close, key=lambda f: (ratio(r["first"], f) + 0.1 * (f in here), firsts[f], f)) if close else r["first"]
+    if r["first"] and r["raw"] in AMBIGUOUS:
+        able = [f for f in AMBIGUOUS[r["raw"]] if f in firsts]
+        return max(able, key=lambda f: (here.get(f, 0), firsts[f], f)) if able else r["first"]
+    if r["first"]:
+        raw = r["raw"] or r["first"]
+        able = [f for f in firsts if ratio(raw, f) >= FIRST or FULL.get(raw) == f]
+        return max(able, key=lambda f: (max(ratio(raw, f), ratio(raw.replace("o", "a"), f)) + 0.1 * (f in here), firsts[f], f)) if able else r["first"]
+    able = [f for f in firsts if f[0] == r["initial"]] if r["initial"] else list(firsts)
+    near = [f for f in able if f in here]
+    pick = near if len(near) == 1 else able if len(able) == 1 else []
+    return pick[0] if pick else f"{r['initial']}.@{r['dom']}" if r["initial"] else f"?@{r['dom']}"
+
+
+def which(r: dict, kinds: dict[str, int], here: dict[str, int]) -> str:
+    """The kind of organisation, by those of its head word and of its head word at its domain. A kind of one letter has lost a damaged word; it belongs to
+    a whole one that holds it, else to the commonest."""
+    kind = r["org"] or (next(iter(kinds)) if len(kinds) == 1 else next(iter(here)) if len(here) == 1 else "")
+    whole = [k for k in kinds if len(k) > 1]
+    return max(whole, key=lambda k: (kind in k, kinds[k], k)) if len(kind) < 2 and whole else kind
+
+
+def _decide(batches):
+    for b in batches:
+        out = []
+        for r in b.to_pylist():
+            known, here = ({x["word"]: x["n"] for x in r.pop(k) or []} for k in ("known", "here"))
+            if r["org"] == "role":
+                out.append(f"role|{r['dom']}")
+            else:
+                out.append(which(r, known, here) if r["org"] is not None else who(r, known, here))
+        keep = [b.column(k) for k in b.schema.names if k not in ("known", "here")]
+        yield pa.RecordBatch.from_arrays([*keep, pa.array(out, pa.string())], names=[*[k for k in b.schema.names if k not in ("known", "here")], "stands"])
+
+
+def decide(scratch: Scratch, kinds: DataFrame) -> DataFrame:
+    """The kinds with their ``entity``. What is listed per surname, first names and kinds of organisation, is bounded by the words there are for them."""
+    more = [f"was_{k}" for k in ("first", "exact", "initial")]
+    kinds = scratch.save(kinds.mapInArrow(_extra, "was_first string, was_exact boolean, was_initial string, " + _KIND))
+    # An exact first name of a person, or the kind of an organisation.
+    word = F.when(F.col("org").isNull(), F.when(F.col("exact"), F.col("first"))).when((F.col("org") != "role") & (F.col("org") != ""), F.col("org"))
+    said = kinds.withColumn("is_org", F.col("org").isNotNull()).withColumn("word", word)
+    counted = scratch.save(said.where("word IS NOT NULL").groupBy("anchor", "is_org", "dom", "word").agg(F.sum("n").alias("n")))
+    listed = lambda by, rows, name: rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("word", "n"))).alias(name))
+    known = listed(["anchor", "is_org"], counted.groupBy("anchor", "is_org", "word").agg(F.sum("n").alias("n")), "known")
+    here = listed(["anchor", "is_org", "dom"], counted, "here")
+    seen = said.drop("word").join(known.hint("merge"), ["anchor", "is_org"], "left").join(here.hint("merge"), ["anchor", "is_org", "dom"], "left").select(*more, *_PARTS, "n", "is_org", "known", "here")
+    stands = scratch.save(seen.mapInArrow(_decide, "was_first string, was_exact boolean, was_initial string, " + _KIND + ", is_org boolean, stands string"))
+    people = stands.where("NOT is_org AND middle IS NOT NULL AND middle <> ''").groupBy("anchor", "stands", "dom", "middle").agg(F.count(F.lit(1)).alias("n"))
+    many = people.groupBy("anchor", "stands").agg(F.countDistinct("middle").alias("middles")).where("middles > 1")
+    homes = people.groupBy("anchor", "stands", "dom").agg(F.countDistinct("middle").alias("here"), F.min("middle").alias("home"))
+    full = stands.join(many.hint("merge"), ["anchor", "stands"], "left").join(homes.hint("merge"), ["anchor", "stands", "dom"], "left")
+    own = F.when(F.coalesce("middle", F.lit("")) != "", F.col("middle")).when(F.col("here") == 1, F.col("home")).otherwise(F.concat(F.lit("@"), "dom"))
+    middle = F.when(F.col("middles") > 1, own).otherwise("")
+    entity = F.when(F.col("is_org"), F.concat_ws("|", F.lit("o"), "anchor", "stands")).otherwise(F.concat_ws("|", F.lit("p"), "anchor", "stands", middle))
+    was = [F.col(f"was_{k}").alias(k) if k in ("first", "exact", "initial") else F.col(k) for k in _PARTS]
+    return full.select(*was, entity.alias("entity"))
 
 
 def name_entities(nodes: DataFrame, domains: DataFrame | None = None) -> DataFrame:
     """``(id, entity)`` for every node whose name or address gives a surname or an organisation's head word.
 
-    ``domains``: the known mail domains, a small reference table; without it damaged domains count as their own. Null ids are
-    left out; a null name leaves the address to speak alone; repeated ids count once; extra columns are ignored.
+    ``domains``: the known mail domains; without it damaged domains count as their own. Null ids are
+    left out; a null name leaves the address to speak alone; of a repeated id the row with the greatest name and domain counts; extra columns are ignored.
     """
-    spark = nodes.sparkSession
-    scratch = Scratch(spark, "names")
-    known = [r.domain for r in domains.select("domain").where("domain IS NOT NULL").distinct().limit(10_000).collect()] if domains is not None else []
-    d = nodes.select("id", "name", "domain").where("id IS NOT NULL").dropDuplicates(["id"])
-    read = scratch.save(d.mapInArrow(_reader(known), _READ))
+    scratch = Scratch(nodes.sparkSession, "names")
+    d = nodes.where("id IS NOT NULL").groupBy("id").agg(F.max(F.struct("name", "domain")).alias("r")).select("id", "r.name", "r.domain")
+    read = scratch.save(d.mapInArrow(_read, _READ))
+    # An unlisted word before several surnames is a first name.
+    guess = (F.col("first").isNull()) & F.col("raw").isNotNull() & (F.length("raw") >= 3) & F.col("org").isNull()
+    learned = read.where(guess).groupBy("raw").agg(F.countDistinct(F.coalesce("b", "a")).alias("k")).where(F.col("k") >= LEARNED).select("raw", F.lit(True).alias("learned"))
+    read = read.join(learned, "raw", "left").join(places(read, domains).hint("merge"), "host", "left")
+    taken = guess & F.coalesce("learned", F.lit(False))
+    read = read.select("id", "org", "a", "b", F.when(taken, F.col("raw")).otherwise(F.col("first")).alias("first"), F.when(guess & ~taken, None).otherwise(F.col("raw")).alias("raw"), (F.col("exact") | taken).alias("exact"), "initial", "middle", "dom")
+    read = scratch.save(read)
     anchor = scratch.save(anchors(scratch, read))
     a = anchor.select(F.col("form").alias("a"), F.col("anchor").alias("aa"), F.col("n").alias("na"))
     b = anchor.select(F.col("form").alias("b"), F.col("anchor").alias("ab"), F.col("n").alias("nb"))
@@ -211,15 +237,19 @@ def name_entities(nodes: DataFrame, domains: DataFrame | None = None) -> DataFra
     # An address without a name beside it may run a first name or an initial together with the surname.
     extra = F.when(F.col("ab") == F.col("b"), None).when(F.endswith("b", "ab"), F.expr("substring(b, 1, length(b) - length(ab))")).when(F.startswith("b", "ab"), F.expr("substring(b, length(ab) + 1)"))
     placed = placed.withColumn("raw", F.when(F.col("first").isNull() & F.col("initial").isNull() & F.col("org").isNull(), extra).otherwise(F.col("raw")))
-    parts = ["anchor", "org", "first", "raw", "exact", "initial", "middle", "dom"]
-    placed = scratch.save(placed.select("id", *parts))
-    kinds = placed.groupBy(*parts).agg(F.count(F.lit(1)).alias("n"))
-    who = kinds.groupBy("anchor").applyInPandas(_who, "anchor string, org string, first string, raw string, exact boolean, initial string, middle string, dom string, entity string")
-    same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in parts[1:]]
+    placed = scratch.save(placed.select("id", *_PARTS))
+    kinds = placed.groupBy(*_PARTS).agg(F.count(F.lit(1)).alias("n"))
+    decided = decide(scratch, kinds)
     cond = F.col("l.anchor") == F.col("r.anchor")
-    for c in same:
-        cond = cond & c
-    return scratch.save(placed.alias("l").join(who.alias("r").hint("merge"), cond).select("l.id", "r.entity"))
+    for c in _PARTS[1:]:
+        cond = cond & F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}"))
+    return scratch.save(placed.alias("l").join(decided.alias("r").hint("merge"), cond).select("l.id", "r.entity"))
+
+
+def name_groups(nodes: DataFrame, domains: DataFrame | None = None) -> DataFrame:
+    """``(id, entity, same)``: every node's group, named by its smallest id, and how many ids the group has. Groups are not expanded into pairs."""
+    e = name_entities(nodes, domains)
+    return e.join(e.groupBy("entity").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("same")).hint("merge"), "entity").select("id", F.col("least").alias("entity"), "same")
 
 
 def variant_pairs(nodes: DataFrame, domains: DataFrame | None = None, leave_out: DataFrame | None = None) -> DataFrame:

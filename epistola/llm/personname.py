@@ -117,10 +117,11 @@ def read_name(name: str | None) -> Parts | None:
         p.last = long[0]
         p.initial = single[0] if single else None
         p.middle = single[1] if len(single) > 1 else None
-    else:  # a first name damaged beyond recognition
-        p.last = max(long, key=len)
-        other = [w for w in long if w is not p.last]
-        p.initial = other[0][0] if other else None
+    else:  # no listed first name: the parts by their place, the surname last or before a comma
+        k = sum(1 for w in re.split(r"[\s.]+", s.partition(",")[0]) if len(re.sub(r"[^a-zà-ÿ]", "", w.lower().translate(_DIGITS))) > 1) if "," in s else 0
+        k = k if 0 < k < len(long) else 0
+        p.last, p.raw = ("".join(long[:k]), long[k]) if k else (long[-1], long[0])
+        p.initial = p.raw[0]
         p.middle = single[0] if single else None
     return p if p.last and len(p.last) >= 3 else None
 

@@ -12,6 +12,10 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return names.variant_pairs(table(spark, d, "nodes"), table(spark, d, "domains"), table(spark, d, "alias_map"))
 
 
+def p1_groups(spark: SparkSession, d: str) -> DataFrame:
+    return names.name_groups(table(spark, d, "nodes"), table(spark, d, "domains"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return mailtext.new_lines(table(spark, d, "documents"))
 
@@ -56,7 +60,7 @@ def p9_documents(spark: SparkSession, d: str) -> DataFrame:
     return langid.label_documents(table(spark, d, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p6_groups": p6_groups, "p7_found": p7_found, "p8_plan": p8_plan, "p8_shares": p8_shares, "p9_found": p9_found, "p9_documents": p9_documents}
+QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p6_groups": p6_groups, "p7_found": p7_found, "p8_plan": p8_plan, "p8_shares": p8_shares, "p9_found": p9_found, "p9_documents": p9_documents}
 
 SQL = {
     "p3_found": """

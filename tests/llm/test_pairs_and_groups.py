@@ -111,6 +111,37 @@ def test_middle_initials_tell_persons_apart(spark):
     assert sorted(map(tuple, got)) == [("ann@a.org", "susan.stonefield@a.org"), ("stonefield.susan@b.org", "susan_stonefield@b.org")]
 
 
+def test_names_on_no_list(spark):
+    assert (read_name("Priya Rao").last, read_name("Priya Rao").raw) == ("rao", "priya")
+    assert read_name("Siddharth Iyer").last == read_name("Iyer, Siddharth").last == "iyer" and read_name("Van Dyke, Sigrun").raw == "sigrun"
+    rows = []
+    for k, last in enumerate("subramanian venkataraman krishnamurthy balakrishnan".split()):
+        for first in ("priya", "siddharth"):
+            rows += [(f"{first}.{last}@a.org", f"{first.title()} {last.title()}", "a.org"), (f"{last}.{first}@b.org", f"{last.title()}, {first.title()}", "b.org")]
+    got = {tuple(r) for r in names.variant_pairs(spark.createDataFrame(rows, "id string, name string, domain string")).collect()}
+    assert got == {tuple(sorted((rows[k][0], rows[k + 1][0]))) for k in range(0, len(rows), 2)}
+    groups = names.name_groups(spark.createDataFrame(rows, "id string, name string, domain string")).collect()
+    assert len(groups) == len(rows) and all(r.same == 2 and r.entity <= r.id for r in groups)
+
+
+def test_damaged_domains_find_the_closest_known_one(spark):
+    r = random.Random(3)
+    known = ["".join(r.choice("abcdefghiklmnoprst") for _ in range(r.randrange(6, 14))) + ".example." + r.choice(["com", "org"]) for _ in range(60)]
+    hosts = list(known[:5])
+    for d in known:
+        x = list(d)
+        for _ in range(r.randrange(1, 4)):
+            x[r.randrange(len(x))] = r.choice("abcdefghiklmnoprst1.")
+        hosts.append("".join(x))
+    hosts += ["", "x", None]
+    sq = lambda d: re.sub(r"[\W_]", "", (d or "").lower())
+    flat = {sq(d): d for d in known}
+    best = lambda s: max(flat, key=lambda k: (ratio(s, k), k))
+    want = {h: flat.get(sq(h)) or (flat[best(sq(h))] if ratio(sq(h), best(sq(h))) >= names.PLACE else sq(h)) for h in hosts}
+    got = names.places(spark.createDataFrame([(h,) for h in hosts], "host string"), spark.createDataFrame([(d,) for d in [*known, None]], "domain string"))
+    assert {x.host: x.dom for x in got.collect()} == want
+
+
 def test_reviewed_groups_are_found(spark):
     d = "/root/testdata/sf0.01"
     e = names.name_entities(spark.read.parquet(f"{d}/nodes.parquet"), spark.read.parquet(f"{d}/domains.parquet"))
