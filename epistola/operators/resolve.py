@@ -206,7 +206,7 @@ class Resolution:
     def same_name(self) -> DataFrame:
         """Equal names in one domain; equal local parts in like domains; equal names with like local parts."""
         c = self.scratch.save(self.named().withColumn("key", name_key("name")).withColumn("generic", F.col("local").isin(*self.generic)).withColumn("given", F.lower("local").isin(*self.first_names)))
-        lead = c.where("key IS NOT NULL").groupBy("domain", "key").agg(F.max_by("canon", F.struct("total", F.negative(F.lit(0)), "canon")).alias("dst"), F.count(F.lit(1)).alias("n")).where("n > 1")
+        lead = c.where("key IS NOT NULL").groupBy("domain", "key").agg(F.min_by("canon", F.struct(F.negative("total"), "canon")).alias("dst"), F.count(F.lit(1)).alias("n")).where("n > 1")
         s1 = self.scratch.save(c.join(lead, ["domain", "key"]).where("canon <> dst").select(F.col("canon").alias("src"), "dst"))
         free = c.join(s1.select(F.col("src").alias("canon")), "canon", "left_anti")
         two = lambda d, on: d.select(*on, *[F.col(x).alias(f"{x}_a") for x in ("canon", "domain", "local", "generic", "given")]).join(d.select(*on, *[F.col(x).alias(f"{x}_b") for x in ("canon", "domain", "local", "generic", "given")]), on).where("canon_a < canon_b")

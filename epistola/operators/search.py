@@ -51,13 +51,39 @@ def correspondence(documents: DataFrame, address1: str, address2: str, aliases1:
 TOKEN = r"[a-z0-9._%+'-]+@[a-z0-9.-]+"
 
 
+#: Characters of the stretches by which ids that no token can hold are looked for.
+GRAM = 5
+
+
+def _held(keys: DataFrame, texts: DataFrame) -> DataFrame:
+    """The keys that stand in some text. Shorter keys than ``GRAM`` are their own stretch; an empty key stands everywhere."""
+    texts = texts.distinct().withColumn("h", F.xxhash64("t"))
+    size = F.least(F.length("key"), F.lit(GRAM))
+    sizes = [r.n for r in keys.where("key <> ''").select(size.alias("n")).distinct().collect()]  # at most GRAM
+    empty = keys.where("key = ''").join(texts.select(F.lit("").alias("key")).limit(1), "key", "left_semi")
+    if not sizes:
+        return empty
+    cuts = lambda c, n: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substring(F.col(c), i, F.lit(n))))
+    own = keys.where("key <> ''").select("key", F.explode(F.transform(F.sequence(F.lit(1), F.length("key") - size + 1), lambda i: F.substring(F.col("key"), i, size))).alias("g")).distinct()
+    wanted = own.select("g").distinct()
+    found = None
+    for n in sizes:
+        rows = texts.where(F.length("t") >= n).select("h", F.explode(cuts("t", n)).alias("g")).join(wanted, "g", "left_semi")
+        found = rows if found is None else found.unionByName(rows)
+    often = found.groupBy("g").agg(F.count(F.lit(1)).alias("texts"))
+    # A key one of whose stretches stands nowhere stands nowhere itself; of the others the rarest stretch is followed.
+    rarest = own.join(often, "g", "left").groupBy("key").agg(F.min(F.struct(F.coalesce("texts", F.lit(0)).alias("n"), "g")).alias("r")).where("r.n > 0").select("key", F.col("r.g").alias("g"))
+    pairs = rarest.join(found, "g").select("key", "h")
+    return pairs.join(texts, "h").where(F.contains("t", "key")).select("key").distinct().unionByName(empty)
+
+
 def unmatched(nodes: DataFrame, documents: DataFrame) -> DataFrame:
     """``email, name, count`` of nodes whose address stands in no document, as a substring in any case.
 
     Documents are cut once into their distinct address-like tokens. A token holds an address if one of the token's stretches around the ``@`` is equal to it: a
     suffix of the token's local part with a prefix of its domain. These stretches are exploded only around tokens whose domain begins with some node's
     domain, so the anti-join is an equality join on (local suffix length, domain). Ids of other characters, which no token can
-    hold, are looked for by substring in the documents directly.
+    hold, are cut into stretches of ``GRAM`` characters; the rarest one of each meets the documents in an equality join, and what meets is verified.
     """
     spark = nodes.sparkSession
     n = nodes.select(F.col("id").alias("email"), "name", "count").where("email IS NOT NULL")
@@ -72,6 +98,5 @@ def unmatched(nodes: DataFrame, documents: DataFrame) -> DataFrame:
     near = tails.join(domains, "d", "left_semi")
     stretches = near.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("l")), lambda i: F.concat(F.substring(F.col("l"), i, F.lit(1 << 16)), F.lit("@"), F.col("d")))).alias("key")).distinct()
     missing = plain.join(stretches, "key", "left_anti")
-    seen = odd.select("key").distinct().join(texts, F.expr("contains(t, key)"), "left_semi")
-    rest = odd.join(seen, "key", "left_anti")
+    rest = odd.join(_held(odd.select("key").distinct(), texts), "key", "left_anti")
     return missing.unionByName(rest).select("email", "name", "count").orderBy(F.desc_nulls_last("count"), "email")

@@ -326,8 +326,7 @@ def er10_invariants(spark, d):
     n = nodes(spark, d)
     best = merge.best_ids(resolved(spark, d).state, n)
     merged = merge.merge_nodes(n, best)
-    known = table(spark, d, "edges").join(n.select(F.col("id").alias("target")), "target", "left_semi")
-    return merge.invariants(n, merged, merge.merge_edges(known, best))
+    return merge.invariants(n, merged, merge.merge_edges(table(spark, d, "edges"), best))
 
 
 def reviewed(spark: SparkSession, d: str) -> DataFrame:

@@ -34,11 +34,14 @@ def build_session(app: str = "epistola", master: str | None = None, shuffle_part
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The shared folder that the cluster names in ``spark.checkpoint.dir``. Where that is unset, a temporary folder in local mode; on a cluster, whose
+    executors would each write to a disk of their own, an error."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if named:
         return named
+    if not (sc.master or "").split("[")[0] == "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     own = tempfile.mkdtemp(prefix="epistola-checkpoint-")
     sc.setCheckpointDir(own)
     return sc.getCheckpointDir() or own
@@ -56,7 +59,6 @@ class Scratch:
         self.spark = spark
         self.base = f"{checkpoint_dir(spark).rstrip('/')}/epistola-{name}-{uuid.uuid4().hex}"
         self.n = 0
-        self._paths: dict[int, str] = {}
         atexit.register(self.close)
 
     def _delete(self, path: str) -> None:
@@ -69,12 +71,13 @@ class Scratch:
         self.n += 1
         (df.coalesce(files) if files else df).write.mode("overwrite").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self._paths[id(out)] = path
+        out.scratch_path = path
         return out
 
     def drop(self, *dfs: DataFrame | None) -> None:
+        """Removes tables that ``save`` returned; other frames are left alone."""
         for df in dfs:
-            if df is not None and (path := self._paths.pop(id(df), None)):
+            if df is not None and (path := vars(df).get("scratch_path")):
                 self._delete(path)
 
     def close(self) -> None:
