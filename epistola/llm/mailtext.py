@@ -1,10 +1,13 @@
 """Problem 2: the lines of a mail that its sender newly wrote.
 
 A mail is exploded into its lines. One pass over each text marks what its own layout proves: the header block, quoted lines and
-the lines that introduce them, forwarded messages, closing formulas, signatures, disclaimers and page furniture. Two marks stay open:
-``maybe`` for unmarked lines behind an introduction, and ``tail`` for short closing lines without a formula. These are settled
-across the corpus by SQL windows over normalised lines: the occurrences of a line are ranked by date, and only the first sender keeps a
-``maybe`` line; a ``tail`` line that recurs at the end of several mails of its sender goes.
+the lines that introduce them, forwarded messages, closing formulas with what stands below them, and page furniture. Three marks stay open and are
+settled across the corpus, in SQL:
+
+* ``maybe``, unmarked lines behind an introduction: the occurrences of the normalised line are ranked by date, and only its first sender keeps it;
+* ``tail``, short closing lines without a formula: one that recurs at the end of several mails of its sender goes;
+* ``end``, the last paragraphs of a mail without a closing: one of which at least half of the runs of ``RUN`` words recur below the closings of other
+  mails is a disclaimer and goes. No wording is known beforehand.
 
 The windows' partitions are one line's occurrences. Lines that stand in one mail only, nearly all, are dropped by a partial
 aggregation before, so no text is shuffled and hot lines (a greeting) arrive as one row per sender and day.
@@ -20,13 +23,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from epistola.functions.wordhash import hash_words, mix
+from epistola.functions.wordhash import grams, hash_words, mix
 from epistola.llm.furniture import furniture_lines, running
 from epistola.session import Scratch
 
 MAIL = re.compile(r"\s*(?:from|author|sent by)\s*:", re.I)
 #: In how many mails of one sender a closing line must recur to count as part of the signature.
 RECURS = 2
+#: Words of a run, and the share of a paragraph's runs that must recur below closings for it to be a disclaimer; paragraphs at the end that are asked.
+RUN, DISCLAIMER, LAST = 4, 0.5, 2
 
 _HEADER = re.compile(r"^\W{0,3}(?:from|author|sent by|to|cc|c|bcc|date|sent|subject|von|an|de|para|à|van|aan|datum|betreff|asunto|objet|assunto|onderwerp)\s*:", re.I)
 _RULE = re.compile(r"^[\s>|]*-{2,}\s*[^\s-][^\n]{2,160}?\s*-{2,}\s*$")
@@ -42,12 +47,6 @@ _PS = re.compile(r"^\W*(?:p\.?\s?){1,2}s\b\.?", re.I)
 _PHONE = re.compile(r"\b\d{3}-\d{4}\b")
 _SIGNED = re.compile(r"^(?:--?|—|\*{4,}|~{3,}|_{2,4})\s*$")
 _END = re.compile(r"[.!?][\"'”’)\]]*\s*$")
-_LEGAL = re.compile(
-    r"received this \w+(?:[ -]\w+)? in error|accepts? no liability|retention duty|intended (?:only|solely) for|without (?:the )?(?:prior )?written consent of|do(?:es)? not bind\b|"
-    r"(?:disclosure|use|copying|distribution) of (?:the|its|this) (?:contents?|message|text)|may be (?:inspected|recorded|monitored|kept|read) (?:and|under|by)|^\W*(?:privileged and confidential|confidentiality notice|"
-    r"confidential and privileged|legal notice|disclaimer)\b|proprietary (?:or \w+ )?information|(?:copying|use|disclosure) (?:of \w+ \w+ )?by (?:third parties|anyone else|other persons)",
-    re.I,
-)
 _MONTHS = {m: i + 1 for i, m in enumerate("jan feb mar apr may jun jul aug sep oct nov dec".split())}
 
 
@@ -76,7 +75,12 @@ def _quoted(line: str, before: str, before_new: bool) -> bool:
 
 
 def mark_lines(text: str) -> tuple[list[str], list[str]]:
-    """(lines, marks) of a mail; a mark is ``new``, ``maybe``, ``tail`` or ``old``, and ``""`` for blank lines."""
+    """(lines, marks) of a mail; a mark is ``new``, ``maybe``, ``tail``, ``end`` or ``old``, and ``""`` for blank lines."""
+    return layout(text)[:2]
+
+
+def layout(text: str) -> tuple[list[str], list[str], list[list[int]], list[list[int]]]:
+    """(lines, marks, paragraphs marked ``end``, paragraphs below the closing)."""
     lines = text.split("\n")
     n = len(lines)
     marks = ["" if not x.strip() else "old" for x in lines]
@@ -100,6 +104,8 @@ def mark_lines(text: str) -> tuple[list[str], list[str]]:
             paragraphs[-1].append(k)
             fresh = False
     signed, introduced, indented, prose = False, False, False, 0
+    written: list[list[int]] = []
+    below: list[list[int]] = []
     before, before_new = "", False
     j = 0
     while j < len(paragraphs):
@@ -144,6 +150,7 @@ def mark_lines(text: str) -> tuple[list[str], list[str]]:
         if own and len(own) <= 2 and j < len(paragraphs) and _ADDRESS.search(lines[own[0]]) and _MARK.match(lines[paragraphs[j][0]]) and all(_ADDRESS.search(lines[k]) or _DATE.search(lines[k]) for k in own):
             introduced, before_new, own = True, False, []
         if own:
+            (below if signed else written).append(own)
             prose = _mark_own(lines, marks, own, sender, prose, signed, introduced and not indented)
             if prose < 0:
                 signed, prose = True, -prose
@@ -151,7 +158,13 @@ def mark_lines(text: str) -> tuple[list[str], list[str]]:
                 introduced = introduced and indented
         if stop:
             break
-    return lines, ["old" if m == "page" else m for m in marks]
+    # The last paragraphs of text, but for the first one, in a mail that has no closing.
+    ends = [] if signed else [p for p in written[1:][-LAST:] if all(marks[k] == "new" for k in p) and not _PS.match(lines[p[0]])]
+    for p in ends:
+        for k in p:
+            marks[k] = "end"
+    below = [p for p in below if all(marks[k] == "old" for k in p)]
+    return lines, ["old" if m == "page" else m for m in marks], ends, below
 
 
 def _mark_own(lines: list[str], marks: list[str], own: list[int], sender: set[str], prose: int, signed: bool, behind: bool) -> int:
@@ -161,7 +174,7 @@ def _mark_own(lines: list[str], marks: list[str], own: list[int], sender: set[st
         for k in own:
             marks[k] = "new"
         return -max(prose, 1) if signed else prose
-    if signed or _LEGAL.search(body):
+    if signed:
         return -max(prose, 1) if signed else prose
     first = lines[own[0]].strip()
     closing = None
@@ -191,18 +204,30 @@ def _mark_own(lines: list[str], marks: list[str], own: list[int], sender: set[st
     return prose + 1
 
 
-_SCHEMA = "doc {key}, line_no long, mark string, h long, day int, sender string"
+_SCHEMA = "doc {key}, line_no long, mark string, h long, day int, sender string, par long"
+
+
+def _runs(paragraphs: list[str]) -> list[np.ndarray]:
+    """The distinct runs of ``RUN`` words of each paragraph."""
+    h, ptr = hash_words(paragraphs)
+    return [np.unique(grams(h[ptr[i] : ptr[i + 1]], RUN)).view(np.int64) for i in range(len(paragraphs))]
 
 
 def _marker(key_type: pa.DataType):
-    names = ["doc", "line_no", "mark", "h", "day", "sender"]
-    kinds = [key_type, pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.string()]
+    names = ["doc", "line_no", "mark", "h", "day", "sender", "par"]
+    kinds = [key_type, pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.string(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            docs, numbers, kept, days, senders, texts = [], [], [], [], [], []
+            docs, numbers, kept, days, senders, texts, pars = [], [], [], [], [], [], []
+            asked: list[tuple] = []  # (document, first line, text) of paragraphs at an end
+            known: list[tuple] = []  # (document, text) of what stands below a closing
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                lines, marks = mark_lines(text)
+                lines, marks, ends, below = layout(text)
+                first = {k: p[0] + 1 for p in ends for k in p}
+                asked += [(doc, p[0] + 1, " ".join(lines[k] for k in p)) for p in ends]
+                if below:
+                    known.append((doc, "\n".join(lines[k] for p in below for k in p)))
                 head = text.split("\n\n", 1)[0]
                 day = mail_day("\n".join(x for x in head.split("\n") if re.match(r"\W{0,3}(?:date|sent)\s*:", x, re.I)))
                 found = _ADDRESS.search(lines[0])
@@ -215,12 +240,18 @@ def _marker(key_type: pa.DataType):
                         days.append(day)
                         senders.append(sender)
                         texts.append(lines[k])
+                        pars.append(first.get(k))
             h, ptr = hash_words(texts)
             size = np.diff(ptr)
             place = np.arange(len(h)) - np.repeat(ptr[:-1], size)
             sums = np.zeros(len(texts), np.uint64)
             np.add.at(sums, np.repeat(np.arange(len(texts)), size), mix(h + place.astype(np.uint64)))
-            cols = [docs, numbers, kept, sums.view(np.int64), days, senders]
+            cols = [docs, numbers, kept, sums.view(np.int64).tolist(), days, senders, pars]
+            for rows, mark in ((asked, "ask"), (known, "below")):
+                for row, runs in zip(rows, _runs([r[-1] for r in rows]) if rows else ()):
+                    n = len(runs)
+                    for col, x in zip(cols, ([row[0]] * n, [None] * n, [mark] * n, runs.tolist(), [None] * n, [None] * n, [row[1] if mark == "ask" else None] * n)):
+                        col.extend(x)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=names)
 
     return run
@@ -238,7 +269,13 @@ def new_lines(documents: DataFrame, key: str = "doc_id", text: str = "text") ->
     scratch = Scratch(documents.sparkSession, "mailtext")
     d = documents.select(F.col(key).alias("doc"), F.col(text).alias("text")).where(F.col("text").rlike(r"^(?i)\s*(from|author|sent by)\s*:"))
     kind = d.schema["doc"].dataType
-    lines = scratch.save(d.mapInArrow(_marker(to_arrow_type(kind)), _SCHEMA.format(key=kind.simpleString())))
+    rows = scratch.save(d.mapInArrow(_marker(to_arrow_type(kind)), _SCHEMA.format(key=kind.simpleString())))
+    lines = rows.where("line_no IS NOT NULL")
+    # Paragraphs at an end whose runs of words recur below closings; each mail gives a run once.
+    recurs = rows.where("mark = 'below'").groupBy("h").agg(F.countDistinct("doc").alias("n")).where(F.col("n") >= RECURS).select("h", F.lit(1).alias("seen"))
+    asked = rows.where("mark = 'ask'").join(recurs, "h", "left").groupBy("doc", "par").agg(F.avg(F.coalesce("seen", F.lit(0))).alias("share"))
+    disclaimers = asked.where(F.col("share") >= DISCLAIMER).select("doc", "par")
+    written = lines.where("mark = 'end'").join(disclaimers, ["doc", "par"], "left_anti")
     open_ = lines.where("mark IN ('maybe', 'tail')").select("h").distinct()
     # One row per line, sender and day of those lines that an open mark asks about.
     seen = lines.join(open_, "h", "left_semi").groupBy("h", "sender", "day").agg(F.countDistinct("doc").alias("mails"), F.count_if(F.col("mark") == "tail").alias("tails"))
@@ -246,9 +283,9 @@ def new_lines(documents: DataFrame, key: str = "doc_id", text: str = "text") ->
     by_sender = Window.partitionBy("h", "sender")
     ranked = seen.select("h", "sender", "day", F.first("sender").over(by_date).alias("author"), F.sum("tails").over(by_sender).alias("tails"))
     facts = ranked.groupBy("h", "sender").agg(F.first("author").alias("author"), F.max("tails").alias("tails"))
-    settled = lines.where("mark <> 'new'").join(facts, ["h", "sender"], "left")
+    settled = lines.where("mark IN ('maybe', 'tail')").join(facts, ["h", "sender"], "left")
     keep = settled.where(((F.col("mark") == "maybe") & (F.coalesce("author", "sender") == F.col("sender"))) | ((F.col("mark") == "tail") & (F.coalesce("tails", F.lit(0)) < RECURS)))
-    return lines.where("mark = 'new'").select("doc", "line_no").unionByName(keep.select("doc", "line_no")).distinct().select(F.col("doc").alias(key), "line_no")
+    return lines.where("mark = 'new'").select("doc", "line_no").unionByName(written.select("doc", "line_no")).unionByName(keep.select("doc", "line_no")).distinct().select(F.col("doc").alias(key), "line_no")
 
 
 def new_text(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
