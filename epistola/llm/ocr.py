@@ -139,6 +139,22 @@ def paged(text: str) -> bool:
     return _TEAR.search(text) is not None or _STAMPED.search(text) is not None
 
 
+#: Lines that consist of a page number, a stamp or a caption, first and last ones included.
+_MARKED = re.compile(
+    r"^\W{0,3}(?:p(?:age|g|p)?[.,]?\s*\d{1,4}\b[^\n]{0,9}|\d{1,3}\s*(?:of|/)\s*\d{1,3}\W{0,3})$|^\s*[A-Z][A-Z0-9]{1,5}[- ]?(?:[\dlIOoSB]{4}-)?[\dlIOoSB]{4,9}\s*$|"
+    r"^[^\na-z]{3,40} NO\.?\s+\d+|^(?:Exhibit [A-Z0-9]{1,3}-\d|CONFIDENTIAL [A-Z]|Record of [A-Z])|^[A-Z][^\n]{2,40} No\. \d+\s*$",
+    re.M,
+)
+
+
+def hinted(text: str, lines: list[str]) -> bool:
+    """Whether a text without a plain trace of a page may hold furniture after all: a line that looks like it, or a short one that recurs."""
+    if _MARKED.search(text):
+        return True
+    short = [x for x in lines if 4 < len(x) < 60 and x[0].isupper() and x[-1] != ","]
+    return len(set(short)) < len(short)
+
+
 def _counter(batches):
     """Partial counts of words, and of their occurrences in texts without a trace of a page: misreadings have hardly any."""
     seen: Counter = Counter()
@@ -301,9 +317,8 @@ def separator(line: str) -> bool:
     return line.startswith("---") and not is_stamp(line)
 
 
-def line_features(lines: list[str]) -> tuple[list[int], list[list[float]], set[int]]:
-    """(lines that could be furniture, what the furniture model sees of each and of the pairs it makes with its neighbours, what the rules find)."""
-    rule = {k for k in furniture_lines(lines) if not separator(lines[k].strip())}
+def line_features(lines: list[str]) -> tuple[list[int], list[list[float]]]:
+    """(lines that could be furniture, what the furniture model sees of each and of the pairs it makes with its neighbours)."""
     n = len(lines)
     able = [k for k, x in enumerate(lines) if len(x) < 80 and 0 < len(s := x.strip()) < 60 and s[0] not in ">|" and not separator(s) and any(map(str.isalnum, s))]
     stripped = {k: lines[k].strip() for k in {x for k in able for x in (k - 1, k, k + 1) if 0 <= x < n}}
@@ -330,10 +345,10 @@ def line_features(lines: list[str]) -> tuple[list[int], list[list[float]], set[i
         out.append(
             [len(s), letters / len(s), sum(map(str.isupper, s)) / max(1, letters), sum(map(str.isdigit, s)) / len(s), stamp[k], title[k], num[k], bool(_CAPTION.match(s)), min(5, shapes[h]) if len(h) >= 4 else 0]
             + [float(d.get(x, False)) for d in (run, stamp, title, num) for x in (k - 1, k + 1)]
-            + [bool(before) and not _STOP.search(before), after[:1].islower(), not before, not after, k < 3, k in rule, "@" in s or "|" in s, s[-1] in ".,:?!"]
+            + [bool(before) and not _STOP.search(before), after[:1].islower(), not before, not after, k < 3, "@" in s or "|" in s, s[-1] in ".,:?!"]
             + [lines[k][0] == "\f", k + 1 < n and lines[k + 1][:1] == "\f", s[0].islower(), *around[k]]
         )
-    return able, out, rule
+    return able, out
 
 
 def plant_pages(text: str, rng: Random) -> tuple[list[str], set[int]]:
@@ -384,7 +399,7 @@ def train_lines(texts: list[str]) -> Boosted | None:
     x, y = [], []
     for t in texts:
         lines, drop = plant_pages(t, rng)
-        able, f, _ = line_features(lines)
+        able, f = line_features(lines)
         x += f
         y += [k in drop for k in able]
     return Boosted(rounds=60).fit(np.array(x, float), np.array(y)) if sum(y) >= 10 else None
@@ -524,13 +539,15 @@ def _repairer(lexicon: dict[str, int], more: bool, dirty: set[str], lines_model:
             texts = [t.split("\n") for t in whole]
             drops, x, whose = [], [], []
             for j, lines in enumerate(texts):
-                if not paged(whole[j]) and not furniture_lines(lines):  # no trace of a page
+                if not paged(whole[j]) and not hinted(whole[j], lines):  # no trace of a page
                     drops.append(set())
-                    continue
-                able, f, rule = line_features(lines)
-                drops.append(rule if lines_model is None else set())
-                x += f
-                whose += [(j, k) for k in able]
+                elif lines_model is None:
+                    drops.append({k for k in furniture_lines(lines) if not separator(lines[k].strip())})
+                else:
+                    able, f = line_features(lines)
+                    drops.append(set())
+                    x += f
+                    whose += [(j, k) for k in able]
             if lines_model is not None and x:
                 for (j, k), p in zip(whose, lines_model.score(np.array(x, float))):
                     if p >= 0.5:
@@ -562,9 +579,10 @@ class Repairer:
         self.corrections = self.scratch.save(corrections(self.vocabulary, self.ranker, self.share))
         lex = documents.sparkSession.createDataFrame([(w,) for w in self.lexicon] or [], "w string")
         self.dirty = {r.w for r in self.corrections.join(F.broadcast(lex), "w", "left_semi").select("w").collect()}  # within LEXICON
-        # Typed texts among the first ten times as many by hash, so that one pass that sorts nothing but hashes finds them.
-        some = texts.where((F.length("text") < 20_000) & F.col("text").contains("\n")).orderBy(F.xxhash64("text")).limit(10 * TRAIN_DOCUMENTS)
-        sample = some.where(~F.col("text").rlike(_TRACE)).limit(TRAIN_DOCUMENTS)
+        # Typed texts among about twenty times as many chosen by hash.
+        place = F.shiftrightunsigned(F.xxhash64("text"), 11) / F.lit(float(1 << 53))
+        some = texts.where((place < 20 * TRAIN_DOCUMENTS / max(1, texts.count())) & (F.length("text") < 20_000) & F.col("text").contains("\n"))
+        sample = some.where(~F.col("text").rlike(_TRACE)).orderBy(F.xxhash64("text")).limit(TRAIN_DOCUMENTS)
         self.lines = train_lines(sorted(r.text for r in sample.collect()))  # bounded by TRAIN_DOCUMENTS
 
     def repairs(self, documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
