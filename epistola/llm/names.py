@@ -94,13 +94,14 @@ def _ratio_rows(batches):
 
 def suffix_pairs(spellings: DataFrame) -> DataFrame:
     """Pairs ``(x, y)`` of distinct spellings that share a block; ``spellings``: ``form, initial, dom``."""
-    ways = spellings.select("form", "initial", "dom", F.explode(F.array(F.col("form"), F.concat(F.reverse("form"), F.lit("<")))).alias("s"))
+    ways = spellings.select("form").distinct().select("form", F.explode(F.array(F.col("form"), F.concat(F.reverse("form"), F.lit("<")))).alias("s"))
     at = F.explode(F.sequence(F.lit(1), F.greatest(F.length("s") - MIN_SUFFIX + 1, F.lit(1)))).alias("i")
-    rows = ways.select("form", "initial", "dom", "s", at).select("form", "initial", "dom", F.expr("substring(s, i)").alias("suffix"))
-    sizes = rows.groupBy("suffix").agg(F.countDistinct("form").alias("size")).where("size > 1")
+    rows = ways.select("form", "s", at).select("form", F.expr("substring(s, i)").alias("suffix"))
+    sizes = rows.groupBy("suffix").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     rows = rows.join(sizes.hint("merge"), "suffix")
-    plain = rows.where(F.col("size") <= MAX_BLOCK).select(F.col("suffix").alias("block"), "form").distinct()
-    fine = rows.where(F.col("size") > MAX_BLOCK).select(F.concat_ws("|", "suffix", F.coalesce("initial", F.lit("")), "dom").alias("block"), "form").distinct()
+    plain = rows.where(F.col("size") <= MAX_BLOCK).select(F.col("suffix").alias("block"), "form")
+    fine = rows.where(F.col("size") > MAX_BLOCK).select("suffix", "form").join(spellings.select("form", "initial", "dom").hint("merge"), "form")
+    fine = fine.select(F.concat_ws("|", "suffix", F.coalesce("initial", F.lit("")), "dom").alias("block"), "form").distinct()
     few = fine.groupBy("block").agg(F.count(F.lit(1)).alias("size")).where((F.col("size") > 1) & (F.col("size") <= MAX_BLOCK))
     blocks = plain.unionByName(fine.join(few.select("block").hint("merge"), "block"))
     pairs = blocks.select("block", F.col("form").alias("x")).join(blocks.select("block", F.col("form").alias("y")).hint("merge"), "block")
@@ -198,8 +199,12 @@ def decide(scratch: Scratch, kinds: DataFrame) -> DataFrame:
     listed = lambda by, rows, name: rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("word", "n"))).alias(name))
     known = listed(["anchor", "is_org"], counted.groupBy("anchor", "is_org", "word").agg(F.sum("n").alias("n")), "known")
     here = listed(["anchor", "is_org", "dom"], counted, "here")
-    seen = said.drop("word").join(known.hint("merge"), ["anchor", "is_org"], "left").join(here.hint("merge"), ["anchor", "is_org", "dom"], "left").select(*more, *_PARTS, "n", "is_org", "known", "here")
-    stands = scratch.save(seen.mapInArrow(_decide, "was_first string, was_exact boolean, was_initial string, " + _KIND + ", is_org boolean, stands string"))
+    seen_by = lambda c: said.where(c).select(*more, *_PARTS, "n", "is_org")
+    # A person's kind with a listed first name in full speaks for itself.
+    plain = ~F.col("is_org") & F.col("exact") & F.col("first").isin(*SHORT_FORMS)
+    told = seen_by(plain).withColumn("stands", F.col("first"))
+    asked = seen_by(~F.coalesce(plain, F.lit(False))).join(known.hint("merge"), ["anchor", "is_org"], "left").join(here.hint("merge"), ["anchor", "is_org", "dom"], "left").select(*more, *_PARTS, "n", "is_org", "known", "here")
+    stands = scratch.save(told.unionByName(asked.mapInArrow(_decide, "was_first string, was_exact boolean, was_initial string, " + _KIND + ", is_org boolean, stands string")))
     people = stands.where("NOT is_org AND middle IS NOT NULL AND middle <> ''").groupBy("anchor", "stands", "dom", "middle").agg(F.count(F.lit(1)).alias("n"))
     many = people.groupBy("anchor", "stands").agg(F.countDistinct("middle").alias("middles")).where("middles > 1")
     homes = people.groupBy("anchor", "stands", "dom").agg(F.countDistinct("middle").alias("here"), F.min("middle").alias("home"))
