@@ -1,18 +1,22 @@
-"""Problem 6: near-duplicate documents by bands of least hashes.
+"""Problem 6: near-duplicate documents by bands of least hashes and by fragments of the global n-gram order.
 
 Similarity is the Jaccard measure of the sets of ``GRAM`` consecutive words. Documents with the same set form a *class*; the
-join runs between classes, so copies cost nothing. It has three steps:
+join runs between classes, so copies cost nothing. Two classes of a sufficient similarity come up in one of two ways:
 
-1. Every class is hashed many times over; the least values of its grams under ``ROWS`` hashes make a band. Two classes agree in a
+1. *Bands.* Every class is hashed many times over; the least values of its grams under ``ROWS`` hashes make a band. Two classes agree in a
    band with a chance of their similarity to the power of ``ROWS``, whatever else the corpus holds and wherever their texts differ. There are
-   so many bands that a pair at the threshold agrees in none with a chance of ``MISS`` at most. Classes that agree in one come up, however
-   many others do.
-2. What comes up is sifted by size, which is exact, and by one bit for each of ``BITS`` least values, which loses a pair at the threshold with
-   a chance of ``MISS`` at most (Hoeffding).
-3. The surviving pairs are verified exactly: the grams of both classes are compared over the whole texts.
-
-No step collects a group. The only quadratic part is the pairs within a class, and these are made only where a caller asks
-for every pair of documents.
+   so many bands that a pair at the threshold agrees in none with a chance of ``MISS`` at most.
+2. *Fragments.* A band that more than ``HOT`` classes agree in, such as that of a stock paragraph, says little, and its pairs would grow with the square
+   of the corpus. Its members are joined exactly instead, by vertical partitioning: their grams are put in one global order, the rarest first, and
+   the order is cut into ``FRAGMENTS``; within each fragment the overlaps of the classes' leading parts are counted on their own and summed per pair.
+   A pair at the threshold shares a gram within those leading parts, and its sum and the places of its hits bound what the rest can still add, so
+   no pair is lost; and grams of a stock paragraph, which are the commonest, stand behind the leading parts of all that hold more than it.
+
+What comes up is sifted by size, which is exact, and by one bit for each of ``BITS`` least values, which loses a pair at the threshold with
+a chance of ``MISS`` at most (Hoeffding). The surviving pairs are verified exactly: the grams of both classes are compared over the whole texts.
+
+No step collects a group, and what a task sends of one band is bounded. The only quadratic part is the pairs within a class, and these are made only
+where a caller asks for every pair of documents.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ from math import ceil, log, sqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from epistola.functions.wordhash import grams, hash_words, mix
@@ -33,6 +37,10 @@ GRAM, ROWS = 3, 4
 MISS = 1e-6
 #: Bits of a class for the sift.
 BITS = 512
+#: Most classes of a band whose pairs are all looked at; the members of larger ones are joined by fragments of the gram order.
+HOT = 32
+#: Fragments of the gram order.
+FRAGMENTS = 16
 _BLOCK = 128
 
 
@@ -107,7 +115,27 @@ def _classes(batches):
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), _CLASS.types)], schema=_CLASS)
 
 
-_BAND = pa.schema([("key", pa.int64()), ("s1", pa.int64())])
+_BAND = pa.schema([("key", pa.int64()), ("s1", pa.int64()), ("hot", pa.bool_())])
+#: Classes whose bands are put together before they are sent.
+_CHUNK = 2048
+
+
+def _starts(k: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1]))) if len(k) else np.zeros(0, np.int64)
+
+
+def _thinned(k: np.ndarray, s: np.ndarray) -> pa.RecordBatch:
+    """The bands of a block of classes. Of one with more than ``HOT`` classes only so many are sent that the receiver sees it is hot; all its classes are
+    marked as members of a hot band here."""
+    o = np.argsort(k, kind="stable")
+    k, s = k[o], s[o]
+    at = _starts(k)
+    size = np.diff(np.append(at, len(k)))
+    place = np.arange(len(k)) - np.repeat(at, size)
+    marked = np.unique(s[np.repeat(size > HOT, size)])
+    keep = place <= HOT
+    cols = [np.concatenate((k[keep], marked)), np.concatenate((s[keep], marked)), np.concatenate((np.zeros(keep.sum(), bool), np.ones(len(marked), bool)))]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], schema=_BAND)
 
 
 def _bands(many: int):
@@ -122,44 +150,33 @@ def _bands(many: int):
             seen.add(s)
             out[0].append(keys(least(g, by)))
             out[1].append(np.full(many, s))
-            if len(out[0]) >= 256:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o)) for o in out], schema=_BAND)
+            if len(out[0]) >= _CHUNK:
+                yield _thinned(*map(np.concatenate, out))
                 out = [[], []]
         if out[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o)) for o in out], schema=_BAND)
+            yield _thinned(*map(np.concatenate, out))
 
     return run
 
 
-#: Most pairs in a batch of a long run.
-_PAIRS = 1 << 20
-
-
 def _meetings(threshold: float):
-    """Rows sorted by key and class within a partition. Every run of one key gives all its pairs of classes whose sizes allow the threshold. A run
-    that goes on over a batch's end is carried over; of its pairs no more than ``_PAIRS`` are held at a time."""
-
-    def sized(l: np.ndarray, r: np.ndarray) -> pa.RecordBatch:
-        nl, nr = l & SIZE, r & SIZE
-        ok = np.minimum(nl, nr) >= threshold * np.maximum(nl, nr)
-        return pa.RecordBatch.from_arrays([pa.array(l[ok]), pa.array(r[ok])], names=["a", "b"])
+    """Rows sorted by key and class within a partition. Every run of one key gives all its pairs of classes whose sizes allow the threshold, and one of more
+    than ``HOT`` classes its members, each paired with itself. A run that goes on over a batch's end is carried over; of a hot one only
+    as many rows as show that it is hot."""
 
     def pairs(k: np.ndarray, s: np.ndarray):
-        if not len(k):
-            return
-        start = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
-        size = np.diff(np.append(start, len(k)))
-        for m in np.unique(size[size > 1]):
-            at = start[size == m]
-            step = max(1, _PAIRS // (m * m))
-            for x in range(0, len(at), step):
-                block = s[at[x : x + step, None] + np.arange(m)]
-                if m * m <= _PAIRS:
-                    i, j = np.triu_indices(m, 1)
-                    yield sized(block[:, i].ravel(), block[:, j].ravel())
-                else:
-                    for i in range(m - 1):
-                        yield sized(np.full(m - i - 1, block[0, i]), block[0, i + 1 :])
+        at = _starts(k)
+        size = np.diff(np.append(at, len(k)))
+        members = np.unique(s[np.repeat(size > HOT, size)])
+        l, r = [members], [members]
+        for m in np.unique(size[(size > 1) & (size <= HOT)]):
+            block = s[at[size == m][:, None] + np.arange(m)]
+            i, j = np.triu_indices(m, 1)
+            x, y = block[:, i].ravel(), block[:, j].ravel()
+            ok = np.minimum(x & SIZE, y & SIZE) >= threshold * np.maximum(x & SIZE, y & SIZE)
+            l.append(x[ok])
+            r.append(y[ok])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(l)), pa.array(np.concatenate(r))], names=["a", "b"])
 
     def run(batches):
         k = s = np.zeros(0, np.int64)
@@ -168,9 +185,68 @@ def _meetings(threshold: float):
             new = np.concatenate(([True], (k[1:] != k[:-1]) | (s[1:] != s[:-1])))[: len(k)]
             k, s = k[new], s[new]
             cut = np.searchsorted(k, k[-1]) if len(k) else 0
-            yield from pairs(k[:cut], s[:cut])
-            k, s = k[cut:], s[cut:]
-        yield from pairs(k, s)
+            if len(k) - cut > HOT:  # the last run is hot: its members so far go out, and the last of them stay to mark what follows
+                yield pairs(k, s)
+                k, s = k[-HOT - 1 :], s[-HOT - 1 :]
+            else:
+                yield pairs(k[:cut], s[:cut])
+                k, s = k[cut:], s[cut:]
+        yield pairs(k, s)
+
+    return run
+
+
+def _gram_rows(batches):
+    """``doc, n, g``: the grams of a text one by one, with their number."""
+    for b in batches:
+        docs, sizes, out = [], [], []
+        for doc, w in _blocks([b]):
+            g = np.unique(grams(w, GRAM))
+            docs.append(np.full(len(g), doc))
+            sizes.append(np.full(len(g), len(g), np.int32))
+            out.append(g.view(np.int64))
+        cat = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
+        yield pa.RecordBatch.from_arrays([pa.array(cat(docs, np.int64)), pa.array(cat(sizes, np.int32)), pa.array(cat(out, np.int64))], names=["doc", "n", "g"])
+
+
+def fragment_pairs(texts: DataFrame, threshold: float) -> DataFrame:
+    """``da, db``: a superset of the pairs of texts (``doc, text``) of at least that similarity, by fragments of the global order of their grams.
+
+    A set of n grams shares at least ceil(n t) of them with any set of similarity t, so at least one of its n - ceil(n t) + 1 rarest. With c hits in the
+    leading parts, the last of them at places x and y, the rest can add min(n - x, m - y); both together must reach t / (1 + t) (n + m)."""
+    rows = texts.mapInArrow(_gram_rows, "doc long, n int, g long")
+    often = rows.groupBy("g").agg(F.count(F.lit(1)).alias("df"))
+    order = Window.partitionBy("doc").orderBy("df", "g")
+    # A gram of one text joins nothing but holds its place in the order.
+    placed = rows.join(often, "g").withColumn("at", F.row_number().over(order)).where((F.col("df") > 1) & (F.col("at") <= F.col("n") - F.ceil(F.col("n") * F.lit(threshold)) + 1))
+    # The global order is by df and gram; its fragments are ranges of that order, cut within one df by the gram's own bits.
+    fragment = F.pmod(F.floor(F.log2("df")) * 4 + F.shiftrightunsigned("g", 62), F.lit(FRAGMENTS)).cast("int")
+    placed = placed.select("doc", "n", "g", "at", fragment.alias("fragment"))
+    x, y = (placed.select("fragment", "g", F.col("doc").alias(f"d{k}"), F.col("n").alias(f"n{k}"), F.col("at").alias(f"at{k}")) for k in "ab")
+    met = x.join(y, ["fragment", "g"]).where("da < db").where((F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb")))
+    partial = met.groupBy("fragment", "da", "db", "na", "nb").agg(F.count(F.lit(1)).alias("c"), F.max("ata").alias("ata"), F.max("atb").alias("atb"))
+    summed = partial.groupBy("da", "db", "na", "nb").agg(F.sum("c").alias("c"), F.max("ata").alias("ata"), F.max("atb").alias("atb"))
+    enough = F.col("c") + F.least(F.col("na") - F.col("ata"), F.col("nb") - F.col("atb")) >= F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("na") + F.col("nb")) - 1e-9)
+    return summed.where(enough).select("da", "db")
+
+
+def _passed(meet):
+    """Splits rows sorted by mark: bands go to ``meet``, classes already marked as hot are passed on."""
+
+    def run(batches):
+        marked: list[np.ndarray] = []
+
+        def open_():
+            for b in batches:
+                hot = b.column(2).to_numpy(zero_copy_only=False)
+                marked.append(np.unique(b.column(1).to_numpy()[hot]))
+                yield pa.RecordBatch.from_arrays([b.column(k).filter(pa.array(~hot)) for k in (0, 1)], names=["key", "s1"])
+
+        for out in meet(open_()):
+            yield out
+            for m in marked:
+                yield pa.RecordBatch.from_arrays([pa.array(m), pa.array(m)], names=["a", "b"])
+            marked.clear()
 
     return run
 
@@ -235,12 +311,19 @@ class NearDuplicates:
         return self.members.join(self.reps.select("s1", "s2", "class"), ["s1", "s2"]).select("doc", "class", "n").distinct()
 
     def _links(self, docs: DataFrame, threshold: float) -> DataFrame:
-        rows = docs.mapInArrow(_bands(bands(threshold)), "key long, s1 long").repartition("key").sortWithinPartitions("key", "s1")
-        pairs = self.scratch.save(rows.mapInArrow(_meetings(threshold), "a long, b long").distinct())
+        spread = docs.mapInArrow(_bands(bands(threshold)), "key long, s1 long, hot boolean")
+        # What a task marks as hot meets itself under its own key; the receiver passes it on as a pair with itself.
+        rows = spread.select("key", "s1", "hot").repartition("key").sortWithinPartitions("hot", "key", "s1")
+        met = self.scratch.save(rows.mapInArrow(_passed(_meetings(threshold)), "a long, b long").distinct())
+        hot = met.where("a = b").select(F.col("a").alias("s1"))
         # Classes whose first sums collide are both looked at.
         da, db = (self.reps.select(F.col("s1").alias(x), F.col("class").alias(f"d{x}"), F.col("bits").alias(f"bits{x}")) for x in "ab")
-        near = pairs.join(da, "a").join(db, "b").where("da <> db").select("da", "db", "bitsa", "bitsb")
-        pairs = self.scratch.save(near.mapInArrow(_sift(agreeing(threshold)), "da long, db long"))
+        near = met.where("a <> b").join(da, "a").join(db, "b").where("da <> db").select("da", "db", "bitsa", "bitsb")
+        pairs = near.mapInArrow(_sift(agreeing(threshold)), "da long, db long")
+        crowd = self.scratch.save(self.reps.join(hot, "s1", "left_semi").select(F.col("class").alias("doc")))
+        pairs = pairs.unionByName(fragment_pairs(docs.join(maybe_broadcast(crowd), "doc", "left_semi").dropDuplicates(["doc"]), threshold))
+        pairs = self.scratch.save(pairs.select(F.least("da", "db").alias("da"), F.greatest("da", "db").alias("db")).distinct())
+        self.scratch.drop(met)
         wanted = pairs.select(F.explode(F.array("da", "db")).alias("doc")).distinct()
         wanted = self.scratch.save(wanted)
         texts = docs.join(maybe_broadcast(wanted), "doc", "left_semi")

@@ -247,6 +247,47 @@ def test_similar_pairs_of_the_test_table(spark):
     assert {tuple(x) for x in neardup.similar_pairs(d).collect()} == brute_pairs(texts)
 
 
+def family(rng, versions, words, edits, fresh):
+    base = [f"w{rng.randrange(10**6)}" for _ in range(words)]
+    for _ in range(versions):
+        text = list(base)
+        for at in rng.sample(range(words), edits):
+            text[at] = fresh()
+        yield " ".join(text)
+
+
+@pytest.mark.parametrize("hot", [0, 2])
+def test_fragments_lose_nothing(spark, monkeypatch, hot):
+    rng = random.Random(hot)
+    fresh = lambda: f"x{rng.randrange(10**6)}"
+    stock = " ".join(f"s{k}" for k in range(60))
+    texts = [*family(rng, 25, 60, 4, fresh), *family(rng, 10, 200, 16, fresh), *[stock + " " + " ".join(fresh() for _ in range(90)) for _ in range(20)], *[stock + " " + fresh() for _ in range(4)], "one two three", "one two three"]
+    few = random.Random(7)
+    texts += [" ".join(few.choice("abcdefgh") for _ in range(30)) for _ in range(25)]
+    rows = list(enumerate(texts))
+    want = brute_pairs(dict(rows))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {tuple(x) for x in neardup.fragment_pairs(df.selectExpr("doc_id AS doc", "text"), 0.5).select("da", "db").collect()} >= want
+    monkeypatch.setattr(neardup, "HOT", hot)
+    monkeypatch.setattr(neardup, "_CHUNK", 8)
+    assert {tuple(x) for x in neardup.similar_pairs(df).collect()} == want and len(want) > 100
+
+
+def test_a_stock_paragraph_costs_in_proportion(spark):
+    rng = random.Random(1)
+    stock = " ".join(f"s{k}" for k in range(150))
+    looked = []
+    for n in (300, 1200):
+        rows = [(k, " ".join(f"w{rng.randrange(10**7)}" for _ in range(220)) + " " + stock) for k in range(n)]
+        near = neardup.NearDuplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+        assert near.links.count() == 0
+        docs = spark.createDataFrame(rows, "doc long, text string")
+        assert neardup.fragment_pairs(docs, 0.5).count() == 0
+        spread = docs.mapInArrow(neardup._bands(neardup.bands(0.5)), "key long, s1 long, hot boolean").repartition("key").sortWithinPartitions("hot", "key", "s1")
+        looked.append(spread.mapInArrow(neardup._passed(neardup._meetings(0.5)), "a long, b long").where("a <> b").distinct().count())
+    assert looked[1] < 8 * max(looked[0], 1000)  # four times the texts; their pairs are sixteen times as many
+
+
 # --- 7: leaks ------------------------------------------------------------------------------------------------------------------
 
 

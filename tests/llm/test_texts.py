@@ -70,6 +70,17 @@ def test_recurrent_closing_lines(spark):
     assert {tuple(r) for r in mailtext.new_lines(df).collect()} == {(0, 4), (1, 4), (2, 4), (3, 4), (3, 6)}
 
 
+def test_disclaimers_by_recurrence(spark):
+    notice = "The views in this letter bind nobody, and whoever reads it without being asked to may be sent a bill of {} shillings."
+    signed = "From: p{0}@d.org\nTo: bo@e.org\n\nThe report number {0} is ready now.\n\nMany thanks,\nPat {0}\n\n" + notice
+    bare = "From: q@d.org\nTo: bo@e.org\n\nThe pumps were read on Monday.\n\nNothing else is to be said of them today.\n\n" + notice
+    mails = [(k, signed.format(k, k)) for k in range(3)] + [(9, bare.format(12))]
+    lines = lambda rows: {tuple(r) for r in mailtext.new_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    signed_lines = {(k, 4) for k in range(3)}
+    assert lines(mails) == signed_lines | {(9, 4), (9, 6)}
+    assert lines(mails[:1] + mails[3:]) == {(0, 4), (9, 4), (9, 6), (9, 8)}  # one mail's closing is no recurrence
+
+
 @pytest.mark.parametrize("text,day", [("Date: 2001-04-10", "2001-04-10"), ("11/03/1998 10:00", "1998-11-03"), ("Monday, February 8, 2009 2:42 PM", "2009-02-08"), ("10 Aug 2002", "2002-08-10")])
 def test_days(text, day):
     y, m, d = map(int, day.split("-"))
@@ -168,7 +179,7 @@ def test_planted_pages_are_found():
     right = wrong = missed = 0
     for _ in range(30):
         lines, drop = ocr.plant_pages(text(), rng)
-        able, x, _ = ocr.line_features(lines)
+        able, x = ocr.line_features(lines)
         got = {k for k, p in zip(able, model.score(np.array(x, float))) if p >= 0.5}
         right, wrong, missed = right + len(got & drop), wrong + len(got - drop), missed + len(drop - got)
     assert right > 100 and wrong / right < 0.06 and missed / right < 0.06
