@@ -41,5 +41,5 @@ def page(df: DataFrame, key: str, skip: int = 0, limit: int = 20) -> DataFrame:
 
 
 def sample(df: DataFrame, n: int, seed: int = 42, key: str | None = None) -> DataFrame:
-    """Exactly n random rows: those of least hash of key and seed, so the same sample comes out on any cluster."""
-    return df.orderBy(F.xxhash64(key, F.lit(seed)) if key else F.rand(seed)).limit(n)
+    """Exactly n random rows: those of least digest of key and seed, so the same sample comes out on any cluster and engine."""
+    return df.orderBy(F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed)))) if key else F.rand(seed)).limit(n)

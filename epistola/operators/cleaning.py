@@ -62,3 +62,13 @@ def dictionary_fixes(documents: DataFrame, dictionary: DataFrame, text: str = "t
     b = terms.where(F.col("n") > least_count).select("term", "n", F.explode(cuts("term")).alias("cut"))
     near = a.join(b, "cut").where(F.levenshtein("word", "term") == 1).groupBy("word").agg(F.max_by("term", F.struct("n", F.expr("transform(array(term), x -> translate(x, 'abcdefghijklmnopqrstuvwxyz', 'zyxwvutsrqponmlkjihgfedcba'))[0]"))).alias("term"))
     return words.join(near, "word").select(key, "word", "term")
+
+
+def apply_fixes(documents: DataFrame, dictionary: DataFrame, text: str = "text", key: str = "hash_id", least_count: int = 1000) -> DataFrame:
+    """``documents`` with ``corrected``: every word of ``dictionary_fixes`` replaced by its term wherever it stands whole, in any case (the term is in lower
+    case). A null text stays null; of a repeated key the fixes of all its texts apply to each."""
+    fixes = dictionary_fixes(documents, dictionary, text, key, least_count).distinct()
+    own = fixes.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("word", "term"))).alias("_fixes"))  # bounded by a document's words
+    tokens = F.regexp_extract_all(F.col(text), F.lit(r"(?U)(\w+|\W+)"), F.lit(1))
+    done = F.array_join(F.transform(tokens, lambda t: F.coalesce(F.element_at("_fixes", F.lower(t)), t)), "")
+    return documents.join(own, key, "left").withColumn("corrected", F.when(F.col("_fixes").isNull(), F.col(text)).otherwise(done)).drop("_fixes")

@@ -62,13 +62,17 @@ class Resolution:
         n = self.nodes.where("id IS NOT NULL").groupBy("id").agg(F.max_by("name", F.struct("count", "name")).alias("name"), F.max("count").alias("count"))
         self.known = self.scratch.save(n)
         self.state = self.known.select(F.col("id").alias("orig_id"), F.col("id").alias("canon"))
+        self._canons: tuple[DataFrame, DataFrame] | None = None
 
     # -- shared views ------------------------------------------------------------------------------------------------
 
     def canons(self) -> DataFrame:
         """``canon, local, domain, total``: one row per canonical address, with its group's traffic."""
-        g = self.state.join(self.known.withColumnRenamed("id", "orig_id"), "orig_id").groupBy("canon").agg(F.sum(F.coalesce("count", F.lit(0))).alias("total"))
-        return g.where(F.col("canon").contains("@")).select("canon", A.local_of("canon").alias("local"), A.rest_of("canon").alias("domain"), "total")
+        if self._canons is None or self._canons[0] is not self.state:  # once a layer
+            g = self.state.join(self.known.withColumnRenamed("id", "orig_id"), "orig_id").groupBy("canon").agg(F.sum(F.coalesce("count", F.lit(0))).alias("total"))
+            rows = g.where(F.col("canon").contains("@")).select("canon", A.local_of("canon").alias("local"), A.rest_of("canon").alias("domain"), "total")
+            self._canons = (self.state, self.scratch.save(rows))
+        return self._canons[1]
 
     def named(self) -> DataFrame:
         own = self.state.join(self.known.withColumnRenamed("id", "orig_id"), "orig_id").select("canon", "name", "count")

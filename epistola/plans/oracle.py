@@ -142,3 +142,16 @@ edges0 AS (SELECT source, target, count(*) AS weight, list_sort(coalesce(list(DI
 
 def mapping() -> str:
     return f"keyed AS (SELECT email, {canonical('email')} AS key FROM nodes0), vmap AS (SELECT email, min(email) OVER (PARTITION BY key) AS canon FROM keyed)"
+
+
+def jaro_winkler(pairs: str) -> str:
+    """CTEs from ``pairs(k, a, b)`` to ``jw(k, jw)``: characters of a matched from left to right with the first free equal one of b within the window; half
+    transpositions kept, a prefix of four at most. Needs ``WITH RECURSIVE``."""
+    window = "greatest(greatest(length(a), length(b)) // 2 - 1, 0)"
+    return f"""jw0 AS (SELECT k, a, b, 1::BIGINT AS i, []::BIGINT[] AS mine, []::BIGINT[] AS theirs FROM {pairs} UNION ALL
+SELECT k, a, b, i + 1, CASE WHEN j IS NULL THEN mine ELSE list_append(mine, i) END, CASE WHEN j IS NULL THEN theirs ELSE list_append(theirs, j) END FROM (
+ SELECT *, list_min(list_filter(range(greatest(1, i - {window}), least(length(b), i + {window}) + 1), lambda x: substr(b, x, 1) = substr(a, i, 1) AND NOT list_contains(theirs, x))) AS j FROM jw0 WHERE i <= length(a))),
+jw1 AS (SELECT k, a, b, len(mine)::DOUBLE AS m, list_sum(list_transform(list_zip(mine, list_sort(theirs)), lambda z: (substr(a, z[1], 1) <> substr(b, z[2], 1))::INT)) / 2.0 AS half FROM jw0 WHERE i = length(a) + 1),
+jw2 AS (SELECT k, a, b, CASE WHEN m = 0 THEN 0 ELSE (m / length(a) + m / length(b) + (m - half) / m) / 3 END AS jaro,
+ CASE WHEN left(a, 1) <> left(b, 1) OR a = '' OR b = '' THEN 0 WHEN substr(a, 2, 1) <> substr(b, 2, 1) OR least(length(a), length(b)) < 2 THEN 1 WHEN substr(a, 3, 1) <> substr(b, 3, 1) OR least(length(a), length(b)) < 3 THEN 2 WHEN substr(a, 4, 1) <> substr(b, 4, 1) OR least(length(a), length(b)) < 4 THEN 3 ELSE 4 END AS pre FROM jw1),
+jw AS (SELECT k, CASE WHEN a = b THEN 1.0 ELSE jaro + CASE WHEN jaro > 0 THEN pre ELSE 0 END * 0.1 * (1 - jaro) END AS jw FROM jw2)"""

@@ -122,9 +122,9 @@ def srt2_top_domains(spark, d):
     return network.top_domains(nodes(spark, d))
 
 
-@query("SELECT id, count FROM nodes ORDER BY count DESC NULLS LAST, id LIMIT 100")
+@query("SELECT id, count FROM nodes ORDER BY count DESC NULLS LAST, id")
 def srt1_top_nodes(spark, d):
-    return nodes(spark, d).select("id", "count").orderBy(F.desc_nulls_last("count"), "id").limit(100)
+    return nodes(spark, d).select("id", "count").orderBy(F.desc_nulls_last("count"), "id")
 
 
 @query("SELECT hash_id, array_to_string(list_sort(list_distinct(list_concat(coalesce(to_list, []), coalesce(cc_list, [])))), ',') AS recipients FROM messages")
@@ -176,6 +176,7 @@ over_nodes("f19_display_local", lambda: A.display_local(A.local_of("id")), f"arr
 over_nodes("f21_title", lambda: A.title("name"), O.title("name"))
 over_nodes("f22_name_distance", lambda: F.levenshtein(F.lower(A.local_of("id")), F.lower(A.sorted_local(A.local_of("id")))).cast("long"), f"levenshtein(lower({O.local('id')}), lower({O.sorted_local(O.local('id'))}))::BIGINT")
 over_nodes("f23_jaro_winkler", lambda: F.round(jaro_winkler_udf(F.lower("name"), F.replace(A.local_of("id"), F.lit("."), F.lit(" "))), 9), None)
+SQL["f23_jaro_winkler"] = f"WITH RECURSIVE jp AS (SELECT id AS k, lower(name) AS a, replace({O.local('id')}, '.', ' ') AS b FROM nodes WHERE name IS NOT NULL), {O.jaro_winkler('jp')} SELECT id, round(jw, 9) AS value FROM nodes LEFT JOIN jw ON k = id"
 _ROLES = O.listed(sorted(rules.GENERIC_LOCALS))
 _SPLIT = lambda x: f"CASE WHEN length({x}) >= 5 AND regexp_matches({x}, '^\\p{{Lu}}\\S{{3,}}$') AND lower({x}) NOT IN ({O.listed(sorted(rules.FIRST_NAMES | rules.GENERIC_LOCALS))}) THEN left({x}, 1) || '. ' || {O.title(f'substr({x}, 2)')} END"
 _PARTS = O.parts(O.local("id"))
@@ -217,9 +218,10 @@ def f16_display_domain(spark, d):
 
 # --- entity resolution -----------------------------------------------------------------------------------------------------
 
+_CANONS = f"canons AS (SELECT canon, {O.local('canon')} AS local, {O.rest('canon')} AS domain, sum(coalesce(count, 0))::BIGINT AS total FROM state JOIN nodes ON id = orig_id WHERE contains(canon, '@') GROUP BY 1, 2, 3)"
 _STATE = f"""s0 AS (SELECT id, {O.cleaned('id')} AS c FROM nodes), {O.match_domain('s0', 'id', O.rest('c'))},
 state AS (SELECT s0.id AS orig_id, CASE WHEN contains(c, '@') THEN {O.sorted_local(O.replaced(O.local('c'), rules.LOCAL_CHARACTERS))} || '@' || d ELSE c END AS canon FROM s0 JOIN matched USING (id)),
-canons AS (SELECT canon, {O.local('canon')} AS local, {O.rest('canon')} AS domain, sum(coalesce(count, 0))::BIGINT AS total FROM state JOIN nodes ON id = orig_id WHERE contains(canon, '@') GROUP BY 1, 2, 3)"""
+{_CANONS}"""
 _KEY = lambda a, b: f"least({a}, {b}) || '|' || greatest({a}, {b})"
 _TWO = f"two AS (SELECT domain, {_KEY('p[1]', 'p[2]')} AS key, min(canon) AS target FROM (SELECT *, {O.parts('local')} AS p FROM canons) WHERE len(p) = 2 GROUP BY 1, 2)"
 
@@ -270,7 +272,26 @@ def j7_fuzzy_pairs(spark, d):
     return projected(spark, d).fuzzy_candidates().select("canon_a", "canon_b", F.col("dist").cast("long").alias("dist"))
 
 
-@query()
+_WORDS_OF = lambda x: f"list_filter(string_split_regex(lower({x}), '\\s+'), lambda w: length(w) > 0)"
+_BEST = f"""fq AS (SELECT canon, name, sum(coalesce(count, 1))::BIGINT AS freq FROM state JOIN nodes ON id = orig_id WHERE name <> '' GROUP BY 1, 2),
+bn AS (SELECT canon, arg_max(name, (len({_WORDS_OF('name')}) >= 2, name = {O.title('name')}, -({" + ".join(f"contains(lower(name), {O.q(p)})::INT" for p in ('rn', 'ii', 'ffl', 'ffi', '0', '1', '3'))}), freq, name)) AS name FROM fq GROUP BY canon)"""
+
+
+def _led(pairs: str, out: str) -> str:
+    """CTEs from ``pairs(ca, cb)`` to ``out(src, dst)``: components, each led by its member of most traffic, then greatest address."""
+    return f"""e{out} AS (SELECT ca AS a, cb AS b FROM {pairs} UNION SELECT cb, ca FROM {pairs}), r{out} AS (SELECT a AS id, a AS seen FROM e{out} UNION SELECT r.id, e.b FROM r{out} r JOIN e{out} e ON r.seen = e.a),
+c{out} AS (SELECT id, min(seen) AS comp FROM r{out} GROUP BY 1), l{out} AS (SELECT comp, arg_max(canon, (total, canon)) AS dst FROM c{out} JOIN canons ON canon = id GROUP BY 1),
+{out} AS (SELECT id AS src, dst FROM c{out} JOIN l{out} USING (comp) WHERE id <> dst)"""
+
+
+@query(f"""WITH RECURSIVE {_STATE}, {_BEST}, x AS (SELECT canon, local, domain, total, name, length(local) AS n FROM canons LEFT JOIN bn USING (canon) WHERE length(local) >= 2 AND domain <> ''),
+c0 AS (SELECT a.canon AS ca, b.canon AS cb, levenshtein(a.local, b.local) AS dist, greatest(2, a.n // 5) AS bound, a.name AS na, b.name AS nb, a.local AS la, b.local AS lb, least(a.total, b.total) AS lo, greatest(a.total, b.total) AS hi
+FROM x a JOIN x b USING (domain) WHERE (a.n, a.local, a.canon) < (b.n, b.local, b.canon) AND b.n - a.n <= greatest(2, a.n // 5) AND levenshtein(a.local, b.local) <= greatest(2, a.n // 5)),
+c1 AS (SELECT *, coalesce(na <> '' AND nb <> '', false) AS named, lo > 50 AND hi / greatest(lo, 1) < 2 AS busy FROM c0), c2 AS (SELECT *, named AND (dist = bound OR busy) AS unsure FROM c1),
+jp AS (SELECT ca || ' ' || cb AS k, lower(na) AS a, lower(nb) AS b FROM c2 WHERE unsure), {O.jaro_winkler('jp')},
+ok AS (SELECT ca, cb FROM c2 WHERE NOT unsure AND NOT (busy AND NOT named) UNION ALL SELECT ca, cb FROM c2 JOIN jw ON k = ca || ' ' || cb WHERE unsure AND (NOT busy OR jw >= 0.95) AND (dist < bound OR jw >= 0.85
+ OR len(list_intersect({_WORDS_OF('na')}, {_WORDS_OF('nb')})) / greatest(1, len(list_distinct(list_concat({_WORDS_OF('na')}, {_WORDS_OF('nb')})))) >= 0.4 OR len(list_intersect({O.parts('la', 3)}, {O.parts('lb', 3)})) > 0)),
+{_led('ok', 'led')} SELECT src, dst FROM led""")
 def er4_fuzzy_merges(spark, d):
     return projected(spark, d).fuzzy()
 
@@ -288,7 +309,22 @@ def er6_concatenated(spark, d):
     return projected(spark, d).concatenated()
 
 
-@query()
+_LIKE = "levenshtein(a.domain, b.domain) <= greatest(3, greatest(length(a.domain), length(b.domain)) // 3)"
+_PD2, _PD3 = [[0, 1], [1, 0]], [[0, 1, 2], [0, 2, 1], [1, 0, 2], [1, 2, 0], [2, 0, 1], [2, 1, 0]]
+_PD = lambda ps: "least(" + ", ".join(" + ".join(f"levenshtein(a.p[{i + 1}], b.p[{j + 1}])" for i, j in enumerate(p)) for p in ps) + ")"
+_CHECK = " OR ".join(f"{x}.generic OR {x}.given OR length({x}.local) <= 4" for x in "ab")
+
+
+@query(f"""WITH RECURSIVE {_STATE}, {_BEST}, k AS (SELECT canon, local, domain, total, name, array_to_string(list_sort({_WORDS_OF('name')}), ' ') AS anykey, len({_WORDS_OF('name')}) >= 2 AS two, {O.parts('local')} AS p,
+ local IN ({O.listed(sorted(rules.GENERIC_LOCALS))}) AS generic, lower(local) IN ({O.listed(sorted(rules.FIRST_NAMES))}) AS given FROM canons LEFT JOIN bn USING (canon)),
+h AS (SELECT domain, anykey, arg_min(canon, (-total, canon)) AS dst FROM k WHERE two GROUP BY 1, 2 HAVING count(*) > 1), s1 AS (SELECT canon AS src, dst FROM k JOIN h USING (domain, anykey) WHERE two AND canon <> dst),
+free AS (SELECT * FROM k WHERE canon NOT IN (SELECT src FROM s1)), pb AS (SELECT a.canon AS ca, b.canon AS cb FROM free a JOIN free b USING (local) WHERE a.canon < b.canon AND NOT a.generic AND NOT a.given AND length(local) > 3 AND a.domain <> b.domain AND {_LIKE}),
+{_led('pb', 'sb')}, rest AS (SELECT * FROM free WHERE canon NOT IN (SELECT src FROM sb) AND name <> ''),
+pc AS (SELECT a.canon AS ca, b.canon AS cb FROM rest a JOIN rest b ON a.local = b.local AND a.anykey = b.anykey WHERE a.canon < b.canon AND (NOT (a.generic OR a.given OR length(a.local) <= 4) OR {_LIKE})
+ UNION SELECT a.canon, b.canon FROM rest a JOIN rest b ON a.anykey = b.anykey AND a.two AND b.two WHERE a.canon < b.canon AND least(length(a.local), length(b.local)) >= 3 AND (NOT ({_CHECK}) OR {_LIKE})
+ AND (levenshtein(a.local, b.local) <= greatest(2, least(length(a.local), length(b.local)) // 4)
+  OR (len(a.p) = len(b.p) AND len(a.p) IN (2, 3) AND CASE WHEN len(a.p) = 2 THEN {_PD(_PD2)} ELSE {_PD(_PD3)} END <= greatest(2, length(array_to_string(a.p, '')) // 4)))),
+{_led('pc', 'sc')} SELECT src, dst FROM s1 UNION ALL SELECT src, dst FROM sb UNION ALL SELECT src, dst FROM sc""")
 def er7_same_name(spark, d):
     return projected(spark, d).same_name()
 
@@ -310,25 +346,69 @@ def resolved(spark: SparkSession, d: str) -> resolve.Resolution:
     return resolve.Resolution(nodes(spark, d)).run()
 
 
-@query()
+def _layers() -> str:
+    """CTEs ``st0`` to ``st6(orig_id, canon)``: the state after the projections and after each merging layer, whose merges are those of the layer's own
+    twin, read from the state before it."""
+    steps = [f"{_STATE.replace('state AS (', 'st0 AS MATERIALIZED (', 1).rpartition('canons AS (')[0].rstrip(', ' + chr(10))}"]
+    for i, layer in enumerate(("er3b_split_locals", "er3c_stripped_prefixes", "er4_fuzzy_merges", "er5_single_to_full", "er6_concatenated", "er7_same_name")):
+        own = SQL[layer].removeprefix("WITH ").removeprefix("RECURSIVE ").removeprefix(_STATE)
+        steps.append(f"""mg{i} AS MATERIALIZED (WITH RECURSIVE state AS (SELECT * FROM st{i}), {_CANONS} {own}),
+mm{i} AS (SELECT src, min(dst) AS dst FROM mg{i} WHERE src <> dst GROUP BY src), mw{i} AS (SELECT src, dst AS cur, [src] AS path FROM mm{i} UNION ALL SELECT w.src, m.dst, list_append(w.path, w.cur) FROM mw{i} w JOIN mm{i} m ON m.src = w.cur WHERE NOT list_contains(w.path, w.cur)),
+mf{i} AS (SELECT src, arg_max(cur, len(path)) AS dst FROM mw{i} GROUP BY src), st{i + 1} AS MATERIALIZED (SELECT orig_id, coalesce(dst, canon) AS canon FROM st{i} LEFT JOIN mf{i} ON src = canon)""")
+    return ",\n".join(steps)
+
+
+_DISPLAYED = f"array_to_string(list_transform(regexp_extract_all({O.local('c')}, '[._]|[^._]+'), lambda p: {_display_sql('p')}), '')"
+
+
+def _best_ids(state: str) -> str:
+    """CTEs from ``state(orig_id, canon)`` to ``best(orig_id, best_id)``."""
+    node = _NODE_SCORES.replace("{state}", state)
+    return f"""{node}, bs AS (SELECT canon, {O.cleaned('id')} AS c FROM top), bm AS (WITH {O.match_domain('bs', 'canon', O.rest('c'))} SELECT canon, d FROM matched),
+best AS (SELECT orig_id, CASE WHEN contains(c, '@') THEN {_DISPLAYED} || '@' || d ELSE c END AS best_id FROM {state} JOIN bs USING (canon) JOIN bm USING (canon))"""
+
+
+_NODE_SCORES = f"""sc0 AS (SELECT s.canon, id, coalesce(count, 0) AS c, (coalesce(domain, '') IN ('epa.gov', 'gmail.com', 'yahoo.com') OR (ends_with(coalesce(domain, ''), '.gov') AND NOT regexp_matches(domain, '[q30]')))::INT AS cl, contains({O.local('id')}, '.')::INT AS dot,
+CASE WHEN coalesce(name, '') = '' THEN 0 ELSE (CASE WHEN len({_WORDS_OF('name')}) >= 2 THEN 2 ELSE 0 END) + (name = {O.title('name')} OR name = upper(name))::INT - regexp_matches(lower(name), 'rn|ii|0|1|3')::INT END AS ql FROM {{state}} s JOIN nodes ON id = s.orig_id),
+top AS (SELECT canon, id FROM (SELECT *, row_number() OVER (PARTITION BY canon ORDER BY c DESC, cl DESC, dot DESC, ql DESC, length(id), id) AS r FROM sc0) WHERE r = 1)"""
+_RESOLVED = f"{_layers()},\n{_best_ids('st6')}"
+
+
+@query(f"WITH RECURSIVE {_RESOLVED} SELECT orig_id, best_id FROM best")
 def er_alias_map(spark, d):
     r = resolved(spark, d)
     return merge.best_ids(r.state, nodes(spark, d))
 
 
-@query()
+_MOVED = " UNION ALL ".join(f"SELECT '{x}', (SELECT count(*) FROM st{i} a JOIN st{i + 1} b USING (orig_id) WHERE a.canon <> b.canon)" for i, x in enumerate(("split", "prefix", "fuzzy", "single", "concat", "same_name")))
+_PLACED = f"CASE WHEN contains(c, '@') THEN {O.local('c')} || '@' || d ELSE c END"
+
+
+@query(f"""WITH RECURSIVE {_layers()}, pl AS (SELECT s0.id, c, {_PLACED} AS placed FROM s0 JOIN matched USING (id)) SELECT 'structural' AS layer, (SELECT count(*) FROM pl WHERE id <> c) AS changes UNION ALL SELECT 'domain', (SELECT count(*) FROM pl WHERE c <> placed)
+UNION ALL SELECT 'local', (SELECT count(*) FROM pl JOIN st0 ON orig_id = id WHERE placed <> canon) UNION ALL {_MOVED}""")
 def obs1_layer_stats(spark, d):
     return resolved(spark, d).layer_stats()
 
 
-@query()
+@query(f"""WITH RECURSIVE {_RESOLVED}, ids AS (SELECT DISTINCT best_id AS id FROM best),
+me AS (SELECT DISTINCT coalesce(s.best_id, source) AS source, coalesce(t.best_id, target) AS target FROM edges LEFT JOIN best s ON s.orig_id = source LEFT JOIN best t ON t.orig_id = target WHERE coalesce(s.best_id, source) <> coalesce(t.best_id, target))
+SELECT 'count_conserved' AS "check", abs((SELECT coalesce(sum(count), 0) FROM nodes) - (SELECT coalesce(sum(count), 0) FROM best JOIN nodes ON id = orig_id))::BIGINT AS bad
+UNION ALL SELECT 'ends_exist', (SELECT count(*) FROM (SELECT source AS id FROM me UNION ALL SELECT target FROM me) WHERE id NOT IN (SELECT id FROM ids)) UNION ALL SELECT 'no_loops', (SELECT count(*) FROM me WHERE source = target) UNION ALL SELECT 'unique_ids', 0""")
 def er10_invariants(spark, d):
+    """Over all edges, those with an end that the nodes lack included: they are what ``ends_exist`` reports."""
     n = nodes(spark, d)
     best = merge.best_ids(resolved(spark, d).state, n)
     merged = merge.merge_nodes(n, best)
     return merge.invariants(n, merged, merge.merge_edges(table(spark, d, "edges"), best))
 
 
+@query(f"""WITH RECURSIVE {_RESOLVED} SELECT best_id, sum(coalesce(sent, 0))::BIGINT AS sent, sum(coalesce(received, 0))::BIGINT AS received, sum(coalesce(count, 0))::BIGINT AS count, array_to_string(list_sort(list_distinct(flatten(list(coalesce(years, []))))), ',') AS years,
+max(coalesce(domain_count, 0)) AS domain_count, array_to_string(list_sort(list(DISTINCT orig_id)), ',') AS aliases FROM best JOIN nodes ON id = orig_id GROUP BY 1""")
+def agg12_resolved_nodes(spark, d):
+    n = nodes(spark, d)
+    return merge.merge_nodes(n, merge.best_ids(resolved(spark, d).state, n)).select(F.col("id").alias("best_id"), "sent", "received", "count", *joined("years"), "domain_count", *joined("aliases"))
+
+
 def reviewed(spark: SparkSession, d: str) -> DataFrame:
     """The reviewed alias map as a resolved one, ids it lacks standing for themselves."""
     a = table(spark, d, "alias_map").groupBy(F.col("orig_id").alias("id")).agg(F.min("canon").alias("canon"))
@@ -386,11 +466,32 @@ def j5_missing_ends(spark, d):
     return miss.agg(F.count(F.lit(1)).alias("n")).select(F.lit("edges").alias("kind"), "n")
 
 
-@query("SELECT (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM edges) AS edges")
+@query("""SELECT (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM edges) AS edges, (SELECT string_agg(domain || ':' || n, ',' ORDER BY n DESC, domain)
+FROM (SELECT domain, count(*) AS n FROM nodes WHERE domain <> '' GROUP BY domain ORDER BY n DESC, domain LIMIT 50)) AS top_domains""")
 def agg17_graph_stats(spark, d):
     from epistola.sources.graph import graph_stats
 
-    return graph_stats(nodes(spark, d), table(spark, d, "edges")).select("nodes", "edges")
+    pairs = F.transform("top_domains", lambda x: F.concat_ws(":", x["domain"], x["count"].cast("string")))
+    return graph_stats(nodes(spark, d), table(spark, d, "edges")).select("nodes", "edges", F.array_join(pairs, ",").alias("top_domains"))
+
+
+def _round_trip(spark: SparkSession, d: str, part: int) -> DataFrame:
+    """The graph written as one JSON object to the shared folder and read again."""
+    from epistola.sources.graph import read_graph, write_graph
+
+    path = f"{checkpoint_dir(spark)}/graph-{uuid.uuid4().hex}.json"
+    write_graph(nodes(spark, d), table(spark, d, "edges"), path)
+    return read_graph(spark, path)[part]
+
+
+@query(f"SELECT id, name, domain, sent, received, count, {s_joined('years')}, domain_count FROM nodes")
+def snk1_nodes_round_trip(spark, d):
+    return _round_trip(spark, d, 0).select("id", "name", "domain", "sent", "received", "count", *joined("years"), "domain_count")
+
+
+@query(f"SELECT source, target, weight, {s_joined('years', 'doc_ids')} FROM edges")
+def src8_edges_round_trip(spark, d):
+    return _round_trip(spark, d, 1).select("source", "target", "weight", *joined("years", "doc_ids"))
 
 
 # --- cleaning -------------------------------------------------------------------------------------------------------------
@@ -430,23 +531,49 @@ def j15_unknown_words(spark, d):
     return t.join(known, "word", "left_anti").groupBy("word").agg(F.count(F.lit(1)).alias("docs"))
 
 
-@query()
-def cl10_dictionary_fixes(spark, d):
+_FIXES = """t AS (SELECT hash_id, unnest(list_filter(list_distinct(regexp_extract_all(lower(text), '[\\pL\\pN_]+')), lambda w: regexp_full_match(w, '[a-z]{4,}'))) AS word FROM documents),
+v AS (SELECT word AS term, count(*) AS n FROM t GROUP BY word HAVING count(*) > 20), u AS (SELECT DISTINCT word FROM t WHERE word NOT IN (SELECT term FROM v)),
+near AS (SELECT word, term FROM (SELECT word, term, row_number() OVER (PARTITION BY word ORDER BY n DESC, term) AS r FROM u JOIN v ON abs(length(word) - length(term)) <= 1 AND levenshtein(word, term) = 1) WHERE r = 1),
+fx AS (SELECT hash_id, word, term FROM t JOIN near USING (word))"""
+
+
+def _dictionary(spark: SparkSession, d: str) -> DataFrame:
     t = docs(spark, d).select("hash_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)(\b[a-z]{4,}\b)"), F.lit(1)))).alias("term"))
-    dictionary = t.groupBy("term").agg(F.count(F.lit(1)).alias("count")).where("count > 20")
-    return cleaning.dictionary_fixes(docs(spark, d), dictionary, least_count=20)
+    return t.groupBy("term").agg(F.count(F.lit(1)).alias("count")).where("count > 20")
+
+
+@query(f"WITH {_FIXES} SELECT hash_id, word, term FROM fx")
+def cl10_dictionary_fixes(spark, d):
+    return cleaning.dictionary_fixes(docs(spark, d), _dictionary(spark, d), least_count=20)
+
+
+@query(f"""WITH {_FIXES}, k AS (SELECT hash_id, generate_subscripts(x, 1) AS i, unnest(x) AS w FROM (SELECT hash_id, regexp_extract_all(text, '[\\pL\\pN_]+|[^\\pL\\pN_]+') AS x FROM documents)),
+j AS (SELECT hash_id, string_agg(coalesce(term, w), '' ORDER BY i) AS s FROM k LEFT JOIN fx ON fx.hash_id = k.hash_id AND fx.word = lower(w) GROUP BY k.hash_id)
+SELECT d.hash_id, md5(CASE WHEN text IS NULL THEN NULL ELSE coalesce(s, '') END) AS corrected FROM documents d LEFT JOIN j USING (hash_id)""".replace("SELECT hash_id, string_agg", "SELECT k.hash_id, string_agg"))
+def cl10_corrected_text(spark, d):
+    return cleaning.apply_fixes(docs(spark, d).select("hash_id", "text"), _dictionary(spark, d), least_count=20).select("hash_id", F.md5("corrected").alias("corrected"))
 
 
 # --- search, validation, browsing ---------------------------------------------------------------------------------------------
 
-_ONE, _TWO_P = "docket.desk@ema.example.org", "northvale.example.com"
+_ONE, _TWO = "docket.desk@ema.example.org", "rebecca.basiklehofos@yarrow.example.org"
+_ALIASES = ["jennifer_nuplehisihos@ridgelab.example.com", "erica.sobupanibrer@yarrow.example.org", "sobupanibrer.erica@yarrow.example.org", "m.bruseniniros@ema.example.org", "no address"]
+
+
+def _pair_sql(one: str, two: str) -> str:
+    return f"""SELECT hash_id, 'https://documents.example.org/' || left(hash_id, 2) || '/' || hash_id || '/' || hash_id || '.pdf' AS url FROM documents WHERE hash_id <> ''
+AND regexp_matches(text, '(?i)' || {O.q(one)}) AND regexp_matches(text, '(?i)' || {O.q(two)}) ORDER BY hash_id LIMIT 500"""
 
 
-@query(f"""SELECT hash_id, 'https://documents.example.org/' || left(hash_id, 2) || '/' || hash_id || '/' || hash_id || '.pdf' AS url FROM documents WHERE hash_id <> ''
-AND regexp_matches(text, '(?i)' || {O.q(search.address_pattern(_ONE))}) AND regexp_matches(text, '(?i)@northvale\\.example\\.com') ORDER BY hash_id LIMIT 500""")
+@query(_pair_sql(r"docket\.desk@[a-zA-Z0-9._-]*example\.org", r"rebecca\.basiklehofos@[a-zA-Z0-9._-]*example\.org"))
 def flt3_pair_search(spark, d):
-    hit = docs(spark, d).where(F.col("hash_id").isNotNull() & (F.col("hash_id") != "") & search.both_mentioned(search.address_pattern(_ONE), r"@northvale\.example\.com"))
-    return hit.select("hash_id", search.document_url().alias("url")).orderBy("hash_id").limit(search.MAX_DOCS)
+    return search.correspondence(docs(spark, d), _ONE, _TWO)
+
+
+@query(_pair_sql(r"docket\.desk@[a-zA-Z0-9._-]*example\.org", r"(jennifer_nuplehisihos@[a-zA-Z0-9._-]*example\.com|erica\.sobupanibrer@[a-zA-Z0-9._-]*example\.org|sobupanibrer\.erica@[a-zA-Z0-9._-]*example\.org|m\.bruseniniros@[a-zA-Z0-9._-]*example\.org)"))
+def prj4_alias_search(spark, d):
+    """Any of a person's addresses; an alias without an ``@`` matches nothing."""
+    return search.correspondence(docs(spark, d), _ONE, _TWO, aliases2=_ALIASES)
 
 
 @query("SELECT hash_id, 'https://documents.example.org/' || left(hash_id, 2) || '/' || hash_id || '/' || hash_id || '.pdf' AS url FROM documents")
@@ -477,12 +604,16 @@ def src12_page(spark, d):
     return browse.page(docs(spark, d).select("hash_id", "original_filename", "num_pages"), "hash_id", 40, 20)
 
 
-@query()
+_FIELDS = [("doc_id", "bigint"), ("text", "string"), ("lang", "string"), ("source", "string"), ("n_chars", "bigint"), ("hash_id", "string"), ("year", "int"), ("sender", "string"), ("original_filename", "string"), ("num_pages", "int")]
+_KINDS = " UNION ALL ".join(f"SELECT '{n}' AS name, CASE WHEN {n} IS NULL THEN 'null' " + (f"WHEN length({n}) > 100 THEN 'string (' || length({n}) || ' chars)' " if t == "string" else "") + f"ELSE '{t}' END AS type FROM r" for n, t in _FIELDS)
+
+
+@query(f"WITH r AS (SELECT * FROM documents ORDER BY hash_id LIMIT 1) {_KINDS}")
 def src13_describe(spark, d):
     return browse.describe(docs(spark, d), "hash_id")
 
 
-@query()
+@query("SELECT hash_id, year FROM documents ORDER BY md5(hash_id || '|42') LIMIT 100")
 def src4_sample(spark, d):
     return browse.sample(docs(spark, d).select("hash_id", "year"), 100, key="hash_id")
 

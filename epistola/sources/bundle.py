@@ -6,6 +6,7 @@ import json
 import os
 import time
 import urllib.request
+import uuid
 import zipfile
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
@@ -78,7 +79,7 @@ def fetch_bundle(documents: DataFrame, request: Request, store: FolderStore, get
     key = bundle_key(request.email1, request.email2)
     if store.exists(key):
         return Answer(True, len(rows), store.url(key), True)
-    tmp = str(store.root / "bundle.part")
+    tmp = str(store.root / f"{uuid.uuid4().hex}.part")  # requests at once don't meet
     store.root.mkdir(parents=True, exist_ok=True)
     got = 0
     with zipfile.ZipFile(tmp, "w", zipfile.ZIP_DEFLATED) as z:

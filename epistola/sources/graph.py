@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import json
-import os
-import shutil
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,32 +30,52 @@ def graph_stats(nodes: DataFrame, edges: DataFrame, top: int = 50) -> DataFrame:
     return n.crossJoin(e).crossJoin(t.select(F.transform("t", lambda x: F.struct(x["domain"].alias("domain"), (-x["o"]).alias("count"))).alias("top_domains")))
 
 
+#: Bytes sent to the file at a time.
+_CHUNK = 1 << 20
+
+
 def _rows(df: DataFrame) -> Iterator[str]:
     for r in df.toJSON().toLocalIterator():
         yield r
 
 
 def write_graph(nodes: DataFrame, edges: DataFrame, path: str, tables: str | None = None, compact: bool = True) -> str:
-    """Writes one JSON object, streaming rows partition by partition, beside the target and renames it at the end; a file that stood there is kept as ``.bak``. ``tables``: a folder
-    that gets both as Parquet, the form to use at scale."""
+    """Writes one JSON object on any Hadoop file system, streaming rows partition by partition, beside the target and renames it at the end; a file that stood
+    there is kept as ``.bak``. ``tables``: a folder that gets both as Parquet, the form to use at scale: one object is written by one writer."""
+    spark = nodes.sparkSession
     if tables:
-        nodes.write.mode("overwrite").parquet(os.path.join(tables, "nodes"))
-        edges.write.mode("overwrite").parquet(os.path.join(tables, "edges"))
+        nodes.write.mode("overwrite").parquet(f"{tables.rstrip('/')}/nodes")
+        edges.write.mode("overwrite").parquet(f"{tables.rstrip('/')}/edges")
     stats = graph_stats(nodes, edges).toJSON().first()
     sep = (",", ":") if compact else (", ", ": ")
     tight = lambda s: json.dumps(json.loads(s), separators=sep, ensure_ascii=False)
-    new = path + ".new"
-    with open(new, "w", encoding="utf-8") as f:
-        f.write('{"stats"' + sep[1] + tight(stats))
+
+    def pieces() -> Iterator[str]:
+        yield '{"stats"' + sep[1] + tight(stats)
         for name, df in (("nodes", nodes.orderBy(F.desc("count"), "id")), ("edges", edges)):
-            f.write(f'{sep[0]}"{name}"{sep[1]}[')
+            yield f'{sep[0]}"{name}"{sep[1]}['
             for i, r in enumerate(_rows(df)):
-                f.write((sep[0] if i else "") + tight(r))
-            f.write("]")
-        f.write("}")
-    if os.path.exists(path):
-        shutil.copy2(path, path + ".bak")
-    os.replace(new, path)
+                yield (sep[0] if i else "") + tight(r)
+            yield "]"
+        yield "}"
+
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path
+    target, new, kept = at(path), at(path + ".new"), at(path + ".bak")
+    fs = target.getFileSystem(conf)
+    out, held, size = fs.create(new, True), [], 0
+    for piece in pieces():
+        held.append(piece.encode("utf-8"))
+        size += len(held[-1])
+        if size >= _CHUNK:
+            out.write(b"".join(held))
+            held, size = [], 0
+    out.write(b"".join(held))
+    out.close()
+    if fs.exists(target):
+        fs.delete(kept, False)
+        fs.rename(target, kept)
+    fs.rename(new, target)
     return path
 
 
@@ -68,10 +86,17 @@ def read_dictionary(spark: SparkSession, path: str, separator: str = " ") -> Dat
 
 
 def write_version(df: DataFrame, path: str) -> str:
-    """A new version of a dataset in a folder of its own; the folder read from is never overwritten."""
+    """A new version of a dataset in a folder of its own, on any file system; the folder read from is never overwritten, and of two writers
+    at once each gets a version."""
+    spark = df.sparkSession
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     n = 0
-    while os.path.exists(os.path.join(path, f"v{n}")):
+    while True:
+        out = f"{path.rstrip('/')}/v{n}"
+        # The marker is created by one writer only.
+        fs.mkdirs(at(path))
+        if not fs.exists(at(out)) and fs.createNewFile(at(f"{path.rstrip('/')}/_v{n}")):
+            df.write.parquet(out)
+            return out
         n += 1
-    out = os.path.join(path, f"v{n}")
-    df.write.parquet(out)
-    return out
