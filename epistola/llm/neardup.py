@@ -21,6 +21,7 @@ where a caller asks for every pair of documents.
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 from math import ceil, log, sqrt
 
@@ -38,7 +39,7 @@ MISS = 1e-6
 #: Bits of a class for the sift.
 BITS = 512
 #: Most classes of a band whose pairs are all looked at; the members of larger ones are joined by fragments of the gram order.
-HOT = 32
+HOT = 64
 #: Fragments of the gram order.
 FRAGMENTS = 16
 _BLOCK = 128
@@ -98,24 +99,10 @@ def bits(low: np.ndarray) -> bytes:
     return np.packbits(low * np.uint32(0x9E3779B1) >> np.uint32(31)).tobytes()
 
 
-_CLASS = pa.schema([("doc", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("n", pa.int32()), ("bits", pa.binary())])
-
-
-def _classes(batches):
-    by = _hashes(BITS)
-    rows: list[tuple] = []
-    for doc, w in _blocks(batches):
-        g = np.unique(grams(w, GRAM))
-        if len(g):
-            rows.append((doc, *_signature(g), len(g), bits(least(g, by))))
-        if len(rows) >= 4096:
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), _CLASS.types)], schema=_CLASS)
-            rows = []
-    if rows:
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), _CLASS.types)], schema=_CLASS)
-
-
-_BAND = pa.schema([("key", pa.int64()), ("s1", pa.int64()), ("hot", pa.bool_())])
+#: What one pass over the texts sends: the bands of classes (a key of 0 or more), and under negative keys, spread by class, one row for each text that says
+#: what its class is, and one with an empty ``extra`` for each class seen to be in a hot band.
+_SENT = pa.schema([("key", pa.int64()), ("s1", pa.int64()), ("extra", pa.binary())])
+_MEMBER = "<qqi"
 #: Classes whose bands are put together before they are sent.
 _CHUNK = 2048
 
@@ -124,47 +111,83 @@ def _starts(k: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1]))) if len(k) else np.zeros(0, np.int64)
 
 
-def _thinned(k: np.ndarray, s: np.ndarray) -> pa.RecordBatch:
-    """The bands of a block of classes. Of one with more than ``HOT`` classes only so many are sent that the receiver sees it is hot; all its classes are
-    marked as members of a hot band here."""
+def _thinned(k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which of a block's bands are sent, which stand for hot ones): of a band with more than ``HOT`` classes so many go that the receiver sees it is hot."""
     o = np.argsort(k, kind="stable")
-    k, s = k[o], s[o]
-    at = _starts(k)
+    at = _starts(k[o])
     size = np.diff(np.append(at, len(k)))
-    place = np.arange(len(k)) - np.repeat(at, size)
-    marked = np.unique(s[np.repeat(size > HOT, size)])
-    keep = place <= HOT
-    cols = [np.concatenate((k[keep], marked)), np.concatenate((s[keep], marked)), np.concatenate((np.zeros(keep.sum(), bool), np.ones(len(marked), bool)))]
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], schema=_BAND)
+    keep, hot = np.empty(len(k), bool), np.empty(len(k), bool)
+    keep[o] = np.arange(len(k)) - np.repeat(at, size) <= HOT
+    hot[o] = np.repeat(size > HOT, size)
+    return keep, hot
 
 
-def _bands(many: int):
+def _sent(many: int):
     def run(batches):
         by = _hashes(many * ROWS)
-        seen: set[int] = set()  # classes this task has already written: copies are dropped before the shuffle
-        out: list[list[np.ndarray]] = [[], []]
-        for _, w in _blocks(batches):
+        seen: set[int] = set()  # classes whose bands this task has already written: copies are dropped before the shuffle
+        members: list[tuple[int, bytes]] = []
+        own: list[np.ndarray] = []
+        classes: list[int] = []
+
+        def flush() -> pa.RecordBatch:
+            k = np.concatenate(own) if own else np.zeros(0, np.int64)
+            s = np.repeat(np.array(classes, np.int64), many)
+            keep, hot = _thinned(k)
+            marked = np.unique(s[hot])
+            m = np.array([x for x, _ in members], np.int64)
+            extra = pa.concat_arrays([pa.nulls(int(keep.sum()), pa.binary()), pa.array([b""] * len(marked), pa.binary()), pa.array([x for _, x in members], pa.binary())])
+            other = np.concatenate((marked, m))
+            cols = [np.concatenate((k[keep], -1 - (np.abs(other) >> 1))), np.concatenate((s[keep], other))]
+            members.clear()
+            own.clear()
+            classes.clear()
+            return pa.RecordBatch.from_arrays([*map(pa.array, cols), extra], schema=_SENT)
+
+        for doc, w in _blocks(batches):
             g = np.unique(grams(w, GRAM))
-            if not len(g) or (s := _signature(g)[0]) in seen:
+            if not len(g):
                 continue
-            seen.add(s)
-            out[0].append(keys(least(g, by)))
-            out[1].append(np.full(many, s))
-            if len(out[0]) >= _CHUNK:
-                yield _thinned(*map(np.concatenate, out))
-                out = [[], []]
-        if out[0]:
-            yield _thinned(*map(np.concatenate, out))
+            s1, s2 = _signature(g)
+            low = least(g, by)
+            members.append((s1, struct.pack(_MEMBER, doc, s2, len(g)) + bits(low[:BITS])))
+            if s1 not in seen:
+                seen.add(s1)
+                own.append(keys(low))
+                classes.append(s1)
+            if len(members) >= _CHUNK:
+                yield flush()
+        if members:
+            yield flush()
 
     return run
 
 
+_MET = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("doc", pa.int64()), ("s2", pa.int64()), ("n", pa.int32()), ("bits", pa.binary())])
+
+
+def _met(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *[pa.nulls(len(a), f.type) for f in list(_MET)[2:]]], schema=_MET)
+
+
+def _told(s1: np.ndarray, extra: list[bytes]) -> Iterator[pa.RecordBatch]:
+    """The rows under negative keys: hot classes as pairs with themselves, and texts with their class."""
+    full = np.array([len(x) > 0 for x in extra], bool)
+    if not full.all():
+        yield _met(s1[~full], s1[~full])
+    if full.any():
+        rows = [x for x in extra if x]
+        doc, s2, n = zip(*(struct.unpack_from(_MEMBER, x) for x in rows))
+        cols = [pa.array(s1[full]), pa.nulls(len(rows), pa.int64()), pa.array(doc, pa.int64()), pa.array(s2, pa.int64()), pa.array(n, pa.int32()), pa.array([x[struct.calcsize(_MEMBER) :] for x in rows], pa.binary())]
+        yield pa.RecordBatch.from_arrays(cols, schema=_MET)
+
+
 def _meetings(threshold: float):
-    """Rows sorted by key and class within a partition. Every run of one key gives all its pairs of classes whose sizes allow the threshold, and one of more
+    """Rows sorted by key within a partition. Every run of one key gives all its pairs of classes whose sizes allow the threshold, and one of more
     than ``HOT`` classes its members, each paired with itself. A run that goes on over a batch's end is carried over; of a hot one only
     as many rows as show that it is hot."""
 
-    def pairs(k: np.ndarray, s: np.ndarray):
+    def pairs(k: np.ndarray, s: np.ndarray) -> pa.RecordBatch:
         at = _starts(k)
         size = np.diff(np.append(at, len(k)))
         members = np.unique(s[np.repeat(size > HOT, size)])
@@ -176,15 +199,21 @@ def _meetings(threshold: float):
             ok = np.minimum(x & SIZE, y & SIZE) >= threshold * np.maximum(x & SIZE, y & SIZE)
             l.append(x[ok])
             r.append(y[ok])
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(l)), pa.array(np.concatenate(r))], names=["a", "b"])
+        return _met(np.concatenate(l), np.concatenate(r))
 
     def run(batches):
         k = s = np.zeros(0, np.int64)
         for b in batches:
-            k, s = (np.concatenate((h, c.to_numpy())) for h, c in zip((k, s), b.columns))
+            key, s1 = b.column(0).to_numpy(), b.column(1).to_numpy()
+            apart = int(np.searchsorted(key, 0))
+            if apart:
+                yield from _told(s1[:apart], b.column(2).slice(0, apart).to_pylist())
+            k, s = np.concatenate((k, key[apart:])), np.concatenate((s, s1[apart:]))
+            o = np.lexsort((s, k))
+            k, s = k[o], s[o]
             new = np.concatenate(([True], (k[1:] != k[:-1]) | (s[1:] != s[:-1])))[: len(k)]
             k, s = k[new], s[new]
-            cut = np.searchsorted(k, k[-1]) if len(k) else 0
+            cut = int(np.searchsorted(k, k[-1])) if len(k) else 0
             if len(k) - cut > HOT:  # the last run is hot: its members so far go out, and the last of them stay to mark what follows
                 yield pairs(k, s)
                 k, s = k[-HOT - 1 :], s[-HOT - 1 :]
@@ -217,8 +246,9 @@ def fragment_pairs(texts: DataFrame, threshold: float) -> DataFrame:
     rows = texts.mapInArrow(_gram_rows, "doc long, n int, g long")
     often = rows.groupBy("g").agg(F.count(F.lit(1)).alias("df"))
     order = Window.partitionBy("doc").orderBy("df", "g")
-    # A gram of one text joins nothing but holds its place in the order.
-    placed = rows.join(often, "g").withColumn("at", F.row_number().over(order)).where((F.col("df") > 1) & (F.col("at") <= F.col("n") - F.ceil(F.col("n") * F.lit(threshold)) + 1))
+    # Grams of one text alone join nothing, but stand first in the order and hold their places.
+    placed = rows.join(often.where("df > 1"), "g").withColumn("at", F.row_number().over(order) + F.col("n") - F.count(F.lit(1)).over(Window.partitionBy("doc")))
+    placed = placed.where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * F.lit(threshold)) + 1)
     # The global order is by df and gram; its fragments are ranges of that order, cut within one df by the gram's own bits.
     fragment = F.pmod(F.floor(F.log2("df")) * 4 + F.shiftrightunsigned("g", 62), F.lit(FRAGMENTS)).cast("int")
     placed = placed.select("doc", "n", "g", "at", fragment.alias("fragment"))
@@ -230,27 +260,6 @@ def fragment_pairs(texts: DataFrame, threshold: float) -> DataFrame:
     return summed.where(enough).select("da", "db")
 
 
-def _passed(meet):
-    """Splits rows sorted by mark: bands go to ``meet``, classes already marked as hot are passed on."""
-
-    def run(batches):
-        marked: list[np.ndarray] = []
-
-        def open_():
-            for b in batches:
-                hot = b.column(2).to_numpy(zero_copy_only=False)
-                marked.append(np.unique(b.column(1).to_numpy()[hot]))
-                yield pa.RecordBatch.from_arrays([b.column(k).filter(pa.array(~hot)) for k in (0, 1)], names=["key", "s1"])
-
-        for out in meet(open_()):
-            yield out
-            for m in marked:
-                yield pa.RecordBatch.from_arrays([pa.array(m), pa.array(m)], names=["a", "b"])
-            marked.clear()
-
-    return run
-
-
 def _sift(least_bits: float):
     def run(batches):
         for b in batches:
@@ -298,7 +307,9 @@ class NearDuplicates:
         spark = documents.sparkSession
         self.scratch = Scratch(spark, "neardup")
         docs = documents.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text")).where("text IS NOT NULL")
-        members = self.scratch.save(docs.mapInArrow(_classes, "doc long, s1 long, s2 long, n int, bits binary"))
+        sent = docs.mapInArrow(_sent(bands(threshold)), "key long, s1 long, extra binary").repartition("key").sortWithinPartitions("key")
+        self.met = self.scratch.save(sent.mapInArrow(_meetings(threshold), "a long, b long, doc long, s2 long, n int, bits binary"))
+        members = self.met.where("doc IS NOT NULL").select("doc", F.col("a").alias("s1"), "s2", "n", "bits")
         # The two sums of a set together identify it; a set whose first sum collides with another's keeps its own class.
         rep = members.groupBy("s1", "s2").agg(F.min("doc").alias("class"), F.first("n").alias("n"), F.first("bits").alias("bits"))
         self.reps = self.scratch.save(rep)
@@ -311,10 +322,7 @@ class NearDuplicates:
         return self.members.join(self.reps.select("s1", "s2", "class"), ["s1", "s2"]).select("doc", "class", "n").distinct()
 
     def _links(self, docs: DataFrame, threshold: float) -> DataFrame:
-        spread = docs.mapInArrow(_bands(bands(threshold)), "key long, s1 long, hot boolean")
-        # What a task marks as hot meets itself under its own key; the receiver passes it on as a pair with itself.
-        rows = spread.select("key", "s1", "hot").repartition("key").sortWithinPartitions("hot", "key", "s1")
-        met = self.scratch.save(rows.mapInArrow(_passed(_meetings(threshold)), "a long, b long").distinct())
+        met = self.met.where("doc IS NULL").select("a", "b").distinct()
         hot = met.where("a = b").select(F.col("a").alias("s1"))
         # Classes whose first sums collide are both looked at.
         da, db = (self.reps.select(F.col("s1").alias(x), F.col("class").alias(f"d{x}"), F.col("bits").alias(f"bits{x}")) for x in "ab")
@@ -323,7 +331,6 @@ class NearDuplicates:
         crowd = self.scratch.save(self.reps.join(hot, "s1", "left_semi").select(F.col("class").alias("doc")))
         pairs = pairs.unionByName(fragment_pairs(docs.join(maybe_broadcast(crowd), "doc", "left_semi").dropDuplicates(["doc"]), threshold))
         pairs = self.scratch.save(pairs.select(F.least("da", "db").alias("da"), F.greatest("da", "db").alias("db")).distinct())
-        self.scratch.drop(met)
         wanted = pairs.select(F.explode(F.array("da", "db")).alias("doc")).distinct()
         wanted = self.scratch.save(wanted)
         texts = docs.join(maybe_broadcast(wanted), "doc", "left_semi")
