@@ -21,12 +21,12 @@ where a caller asks for every pair of documents.
 
 from __future__ import annotations
 
-import struct
 from collections.abc import Iterator
 from math import ceil, log, sqrt
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -87,11 +87,11 @@ def least(g: np.ndarray, by: np.ndarray) -> np.ndarray:
 
 
 def keys(low: np.ndarray) -> np.ndarray:
-    """A key for each band, of 48 bits."""
-    rows = low.reshape(-1, ROWS).astype(np.uint64)
-    key = np.arange(len(rows), dtype=np.uint64)
+    """A key of 48 bits for each band of each class; ``low``: the least values, a row for each class."""
+    rows = low.reshape(len(low), -1, ROWS).astype(np.uint64)
+    key = np.broadcast_to(np.arange(rows.shape[1], dtype=np.uint64), rows.shape[:2])
     for k in range(ROWS):
-        key = mix(mix(key) + rows[:, k])
+        key = mix(mix(key) + rows[:, :, k])
     return (key >> np.uint64(16)).view(np.int64)
 
 
@@ -99,10 +99,11 @@ def bits(low: np.ndarray) -> bytes:
     return np.packbits(low * np.uint32(0x9E3779B1) >> np.uint32(31)).tobytes()
 
 
-#: What one pass over the texts sends: the bands of classes (a key of 0 or more), and under negative keys, spread by class, one row for each text that says
-#: what its class is, and one with an empty ``extra`` for each class seen to be in a hot band.
-_SENT = pa.schema([("key", pa.int64()), ("s1", pa.int64()), ("extra", pa.binary())])
-_MEMBER = "<qqi"
+#: What one pass over the texts sends, as pairs of numbers alone: under keys of 0 or more the bands of classes; under negative ones, whose low bits say which
+#: of its numbers a row holds, ``WIDE`` rows for each text with its class, and a row for each class seen to be in a hot band.
+_SENT = pa.schema([("key", pa.int64()), ("s1", pa.int64())])
+TAGS = 4
+WIDE, _HOT_TAG = 4 + BITS // 64, 2**TAGS - 1
 #: Classes whose bands are put together before they are sent.
 _CHUNK = 2048
 
@@ -122,27 +123,34 @@ def _thinned(k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keep, hot
 
 
+def _tagged(number: np.ndarray, tag) -> np.ndarray:
+    return -1 - ((number << TAGS) + tag)
+
+
 def _sent(many: int):
     def run(batches):
         by = _hashes(many * ROWS)
+        context = TaskContext.get()
+        place = (context.partitionId() if context else 0) << 33  # texts are numbered by task, as the rows of a frame are
         seen: set[int] = set()  # classes whose bands this task has already written: copies are dropped before the shuffle
-        members: list[tuple[int, bytes]] = []
+        members: list[tuple] = []
         own: list[np.ndarray] = []
         classes: list[int] = []
 
         def flush() -> pa.RecordBatch:
-            k = np.concatenate(own) if own else np.zeros(0, np.int64)
+            nonlocal place
+            k = keys(np.stack(own)).ravel() if own else np.zeros(0, np.int64)
             s = np.repeat(np.array(classes, np.int64), many)
             keep, hot = _thinned(k)
             marked = np.unique(s[hot])
-            m = np.array([x for x, _ in members], np.int64)
-            extra = pa.concat_arrays([pa.nulls(int(keep.sum()), pa.binary()), pa.array([b""] * len(marked), pa.binary()), pa.array([x for _, x in members], pa.binary())])
-            other = np.concatenate((marked, m))
-            cols = [np.concatenate((k[keep], -1 - (np.abs(other) >> 1))), np.concatenate((s[keep], other))]
+            told = np.array(members, np.int64)
+            at = _tagged(np.arange(place, place + len(told))[:, None], np.arange(WIDE))
+            place += len(told)
+            cols = [np.concatenate((k[keep], _tagged(np.abs(marked) >> (TAGS + 1), _HOT_TAG), at.ravel())), np.concatenate((s[keep], marked, told.ravel()))]
             members.clear()
             own.clear()
             classes.clear()
-            return pa.RecordBatch.from_arrays([*map(pa.array, cols), extra], schema=_SENT)
+            return pa.RecordBatch.from_arrays([*map(pa.array, cols)], schema=_SENT)
 
         for doc, w in _blocks(batches):
             g = np.unique(grams(w, GRAM))
@@ -150,10 +158,10 @@ def _sent(many: int):
                 continue
             s1, s2 = _signature(g)
             low = least(g, by)
-            members.append((s1, struct.pack(_MEMBER, doc, s2, len(g)) + bits(low[:BITS])))
+            members.append((s1, doc, s2, len(g), *np.frombuffer(bits(low[:BITS]), np.int64).tolist()))
             if s1 not in seen:
                 seen.add(s1)
-                own.append(keys(low))
+                own.append(low)
                 classes.append(s1)
             if len(members) >= _CHUNK:
                 yield flush()
@@ -170,15 +178,16 @@ def _met(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *[pa.nulls(len(a), f.type) for f in list(_MET)[2:]]], schema=_MET)
 
 
-def _told(s1: np.ndarray, extra: list[bytes]) -> Iterator[pa.RecordBatch]:
-    """The rows under negative keys: hot classes as pairs with themselves, and texts with their class."""
-    full = np.array([len(x) > 0 for x in extra], bool)
-    if not full.all():
-        yield _met(s1[~full], s1[~full])
-    if full.any():
-        rows = [x for x in extra if x]
-        doc, s2, n = zip(*(struct.unpack_from(_MEMBER, x) for x in rows))
-        cols = [pa.array(s1[full]), pa.nulls(len(rows), pa.int64()), pa.array(doc, pa.int64()), pa.array(s2, pa.int64()), pa.array(n, pa.int32()), pa.array([x[struct.calcsize(_MEMBER) :] for x in rows], pa.binary())]
+def _told(key: np.ndarray, value: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows under negative keys, in order: hot classes as pairs with themselves, and texts with their class. Whole texts only."""
+    tag = (-1 - key) & _HOT_TAG
+    marked = value[tag == _HOT_TAG]
+    if len(marked):
+        yield _met(marked, marked)
+    rows = value[tag != _HOT_TAG].reshape(-1, WIDE)[:, ::-1]  # keys rise as tags fall
+    if len(rows):
+        packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(BITS // 8), len(rows), [None, pa.py_buffer(np.ascontiguousarray(rows[:, 4:]))])
+        cols = [pa.array(rows[:, 0]), pa.nulls(len(rows), pa.int64()), pa.array(rows[:, 1]), pa.array(rows[:, 2]), pa.array(rows[:, 3].astype(np.int32)), packed.cast(pa.binary())]
         yield pa.RecordBatch.from_arrays(cols, schema=_MET)
 
 
@@ -202,12 +211,16 @@ def _meetings(threshold: float):
         return _met(np.concatenate(l), np.concatenate(r))
 
     def run(batches):
-        k = s = np.zeros(0, np.int64)
+        k = s = tk = tv = np.zeros(0, np.int64)
         for b in batches:
             key, s1 = b.column(0).to_numpy(), b.column(1).to_numpy()
             apart = int(np.searchsorted(key, 0))
-            if apart:
-                yield from _told(s1[:apart], b.column(2).slice(0, apart).to_pylist())
+            if apart or len(tk):
+                tk, tv = np.concatenate((tk, key[:apart])), np.concatenate((tv, s1[:apart]))
+                # A text's rows end with the one of tag 0; what stands behind the last of these waits for the next batch.
+                whole = apart < len(key) and len(tk) or (int(np.flatnonzero((-1 - tk) & _HOT_TAG == 0)[-1]) + 1 if ((-1 - tk) & _HOT_TAG == 0).any() else 0)
+                yield from _told(tk[:whole], tv[:whole])
+                tk, tv = tk[whole:], tv[whole:]
             k, s = np.concatenate((k, key[apart:])), np.concatenate((s, s1[apart:]))
             o = np.lexsort((s, k))
             k, s = k[o], s[o]
@@ -220,6 +233,7 @@ def _meetings(threshold: float):
             else:
                 yield pairs(k[:cut], s[:cut])
                 k, s = k[cut:], s[cut:]
+        yield from _told(tk, tv)
         yield pairs(k, s)
 
     return run
@@ -307,7 +321,7 @@ class NearDuplicates:
         spark = documents.sparkSession
         self.scratch = Scratch(spark, "neardup")
         docs = documents.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text")).where("text IS NOT NULL")
-        sent = docs.mapInArrow(_sent(bands(threshold)), "key long, s1 long, extra binary").repartition("key").sortWithinPartitions("key")
+        sent = docs.mapInArrow(_sent(bands(threshold)), "key long, s1 long").repartition(F.shiftright("key", TAGS)).sortWithinPartitions("key")
         self.met = self.scratch.save(sent.mapInArrow(_meetings(threshold), "a long, b long, doc long, s2 long, n int, bits binary"))
         members = self.met.where("doc IS NOT NULL").select("doc", F.col("a").alias("s1"), "s2", "n", "bits")
         # The two sums of a set together identify it; a set whose first sum collides with another's keeps its own class.
