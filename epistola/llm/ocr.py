@@ -157,24 +157,34 @@ def hinted(text: str, lines: list[str]) -> bool:
 
 def _counter(batches):
     """Partial counts of words, and of their occurrences in texts without a trace of a page: misreadings have hardly any."""
-    seen: Counter = Counter()
+    seen: Counter = Counter()  # by token; the words in a token are found once, when the counts go out
     typed: Counter = Counter()
+    first: tuple[Counter, Counter] = (Counter(), Counter())
     for b in batches:
         for text in b.column(0).to_pylist():
-            counts = seen if paged(text) else typed
-            if "@" in text:
-                text = _MAILBOX.sub(" ", text)
-            counts.update(_WORDS.findall(text))  # those with a capital are sorted out at the end
-            counts.update(map(str.lower, _FIRST.findall(text)))
+            page = paged(text)
+            (seen if page else typed).update(text.split())
+            first[page].update(_FIRST.findall(_MAILBOX.sub(" ", text) if "@" in text else text))
         if len(seen) + len(typed) > 500_000:
-            yield _counted(seen, typed)
-            seen, typed = Counter(), Counter()
-    yield _counted(seen, typed)
-
-
-def _counted(seen: Counter, typed: Counter) -> pa.RecordBatch:
-    words = [w for w in {**seen, **typed} if w[0].islower() or (w[0].isdigit() and any(c.islower() for c in w))]
-    return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([seen[w] + typed[w] for w in words], pa.int64()), pa.array([typed[w] for w in words], pa.int64())], names=["w", "n", "typed"])
+            yield _counted(seen, typed, first)
+            seen, typed, first = Counter(), Counter(), (Counter(), Counter())
+    yield _counted(seen, typed, first)
+
+
+def _counted(seen: Counter, typed: Counter, first: tuple[Counter, Counter]) -> pa.RecordBatch:
+    """Words in lower case, and those that begin a sentence."""
+    all_: Counter = Counter()
+    plain: Counter = Counter()
+    for tokens, begin, out in ((seen, first[1], (all_,)), (typed, first[0], (all_, plain))):
+        for token, n in tokens.items():
+            for w in _WORDS.findall(_MAILBOX.sub(" ", token) if "@" in token else token):
+                for c in out:
+                    c[w] += n
+        for w, n in begin.items():
+            for c in out:
+                c[w.lower()] += n
+    words = [w for w in all_ if w[0].islower() or (w[0].isdigit() and any(c.islower() for c in w))]
+    return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([all_[w] for w in words], pa.int64()), pa.array([plain[w] for w in words], pa.int64())], names=["w", "n", "typed"])
 
 
 def _size(length):
@@ -467,7 +477,12 @@ def _repairer(lexicon: dict[str, int], more: bool, dirty: set[str], lines_model:
 
     glance: set[str] = set()
 
-    def repair(lines: list[str], drop: set[int]) -> Iterator[tuple[int, str, str, bool]]:
+    def repair(text: str, lines: list[str], drop: set[int]) -> Iterator[tuple[int, str, str, bool]]:
+        low_text = text.lower()
+        low_lines, words = low_text.split("\n"), set(low_text.split())
+        # Most lines are clean at a glance; those that hold one of these are looked at word by word.
+        odd_words = {t for t in words - glance if not t.rstrip(".,?").isdigit() and any(map(str.isalnum, t))}
+        few = rarer & words
         for k in drop:
             yield k + 1, "drop", "", True
         rows = text_lines(lines, drop)
@@ -481,18 +496,14 @@ def _repairer(lexicon: dict[str, int], more: bool, dirty: set[str], lines_model:
                     pre = _BEFORE.search(line[: m.start(1)])
                     word = (pre[1].lower() if pre else "") + word
                     yield i + 1, "join", word, known(word)
-            # Most lines are clean at a glance; the others are looked at word by word.
-            low = line.lower()
-            here = set(low.split())
-            if any(not t.rstrip(".,?").isdigit() for t in here - glance):
-                rest = set(_TOKEN.findall(low)) - clean
+            toks = low_lines[i].split()
+            if not odd_words.isdisjoint(toks):
+                rest = set(_TOKEN.findall(line.lower())) - clean
                 if any(not t.isdigit() for t in rest):
                     open_.append((at, line))
                     continue
-            if not rarer.isdisjoint(here):
-                toks = low.split()
-                if any(p in pairs for p in zip(toks, (t.rstrip(".,?:;") for t in toks[1:]))):
-                    open_.append((at, line))
+            if few and not few.isdisjoint(toks) and any(p in pairs for p in zip(toks, (t.rstrip(".,?:;") for t in toks[1:]))):
+                open_.append((at, line))
         for at, line in open_:
             i = rows[at][0]
             before = rows[at - 1][1] if at else "."
@@ -552,7 +563,7 @@ def _repairer(lexicon: dict[str, int], more: bool, dirty: set[str], lines_model:
                 for (j, k), p in zip(whose, lines_model.score(np.array(x, float))):
                     if p >= 0.5:
                         drops[j].add(k)
-            rows = [(doc, *r) for doc, lines, drop in zip(docs, texts, drops) for r in repair(lines, drop)]
+            rows = [(doc, *r) for doc, text, lines, drop in zip(docs, whole, texts, drops) for r in repair(text, lines, drop)]
             cols = list(zip(*rows)) if rows else [[] for _ in names]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=names)
 
