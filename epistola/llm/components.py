@@ -31,7 +31,7 @@ def _with_degrees(edges: DataFrame) -> DataFrame:
 
 
 def _rake(scratch: Scratch, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(edges without leaves, forest rows of the leaves). An isolated edge hangs its larger vertex on its smaller one."""
+    """(edges without leaves, forest rows of the leaves), both views of one stored table. An isolated edge hangs its larger vertex on its smaller one."""
     d = scratch.save(_with_degrees(edges))
     leaf = F.when((F.col("da") == 1) & (F.col("db") == 1), F.greatest("a", "b")).when(F.col("da") == 1, F.col("a")).when(F.col("db") == 1, F.col("b"))
     cut = d.where((F.col("da") == 1) | (F.col("db") == 1)).select(leaf.alias("v"), (F.col("a") + F.col("b") - leaf).alias("p"))
@@ -128,14 +128,12 @@ def connected_groups(links: DataFrame, src: str = "src", dst: str = "dst", node:
     forest: list[DataFrame] = []
     seed = 0
     while not edges.isEmpty():
-        n = edges.count()
         left, cut = _rake(scratch, edges)
         forest.append(cut)
-        left = scratch.save(left)
         if (done := _compress(scratch, left)) is not None:
             forest.append(done[1])
             left = scratch.save(done[0])
-        if left.count() == n:  # minimum degree three: the core
+        elif cut.isEmpty():  # neither leaves nor chains, so minimum degree three: the core
             seed += 1
             core, roots = _contract(scratch, left, seed)
             forest.append(roots)

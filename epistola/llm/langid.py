@@ -200,7 +200,7 @@ def stated(lang: str = "lang"):
 def fit(documents: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_label: int = TRAIN_DOCUMENTS) -> Model | None:
     """A model of every language that a label names at least twice; None if there is none."""
     labelled = documents.select(F.col(key).alias("doc"), F.col(text).alias("text"), stated(lang).alias("l")).where("l IS NOT NULL AND text IS NOT NULL")
-    sizes = {r.l: r.n for r in labelled.groupBy("l").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n")).limit(256).collect()}
+    sizes = {r.l: r.n for r in labelled.groupBy("l").agg(F.count(F.lit(1)).alias("n")).collect()}  # labels of two letters
     langs = sorted(x for x, n in sizes.items() if n >= 2)
     if not langs:
         return None

@@ -71,10 +71,10 @@ def test_recurrent_closing_lines(spark):
 
 
 def test_disclaimers_by_recurrence(spark):
-    notice = "The views in this letter bind nobody, and whoever reads it without being asked to may be sent a bill of {} shillings."
+    notice = "The views in this letter bind nobody, and whoever reads it without being asked to may be sent a bill of {1} shillings."
     signed = "From: p{0}@d.org\nTo: bo@e.org\n\nThe report number {0} is ready now.\n\nMany thanks,\nPat {0}\n\n" + notice
     bare = "From: q@d.org\nTo: bo@e.org\n\nThe pumps were read on Monday.\n\nNothing else is to be said of them today.\n\n" + notice
-    mails = [(k, signed.format(k, k)) for k in range(3)] + [(9, bare.format(12))]
+    mails = [(k, signed.format(k, k)) for k in range(3)] + [(9, bare.format(0, 12))]
     lines = lambda rows: {tuple(r) for r in mailtext.new_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     signed_lines = {(k, 4) for k in range(3)}
     assert lines(mails) == signed_lines | {(9, 4), (9, 6)}
