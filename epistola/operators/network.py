@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from epistola.functions import address as A
+from epistola.session import Scratch
 
 
 def _present(c: str) -> Column:
@@ -94,15 +95,23 @@ def top_domains(nodes: DataFrame, limit: int = 50) -> DataFrame:
     return nodes.where("domain <> ''").groupBy("domain").agg(F.count(F.lit(1)).alias("count")).orderBy(F.desc("count"), "domain").limit(limit)
 
 
+def parsed_once(documents: DataFrame) -> tuple[DataFrame, Scratch]:
+    """The messages of mails as a stored table, for plans that read them several times; parsing is most of their cost."""
+    from epistola.operators.headers import parse_messages
+
+    scratch = Scratch(documents.sparkSession, "network")
+    return scratch.save(parse_messages(documents)), scratch
+
+
 def build_network(documents: DataFrame, max_docs: int | None = None, min_count: int = 1, min_weight: int = 1) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) of a document table. ``max_docs`` caps the mails by least ``hash_id``."""
-    from epistola.operators.headers import header_filter, parse_messages
+    """(nodes, edges) of a document table. ``max_docs`` caps the mails by least ``hash_id``. The texts are read and parsed once."""
+    from epistola.operators.headers import header_filter
 
     docs = documents.where(header_filter())
     if max_docs:
         docs = docs.orderBy("hash_id").limit(max_docs)
-    messages = parse_messages(docs)
-    stats = node_stats(messages)
+    messages, scratch = parsed_once(docs)
+    stats = scratch.save(node_stats(messages))
     mapping = variant_map(stats)
     nodes = export_nodes(consolidate_nodes(stats, mapping), display_names(messages), mapping, min_count)
     edges = export_edges(remap_edges(edge_stats(messages), mapping), nodes, min_weight)

@@ -102,7 +102,7 @@ def agg5_consolidated_nodes(spark, d):
 
 @query(f"WITH {O.messages()}, {O.stats()}, {O.mapping()}, {_CONS_EDGES} SELECT source, target, weight, {s_joined('years', 'doc_ids')} FROM ce")
 def agg6_consolidated_edges(spark, d):
-    m = mails(spark, d)
+    m, _ = network.parsed_once(docs(spark, d).where(headers.header_filter()))
     return network.remap_edges(network.edge_stats(m), network.variant_map(network.node_stats(m))).select("source", "target", "weight", *joined("years", "doc_ids"))
 
 

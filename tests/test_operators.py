@@ -70,6 +70,24 @@ def test_chains(spark):
     assert {r.src: r.dst for r in components.follow_chains(m).collect()} == {"a": "c", "b": "c", "x": "x", "y": "y", "t": "x"}
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_chains_against_walking(spark, seed):
+    r = random.Random(seed)
+    step = {f"c{i}": f"c{i + 1}" for i in range(40)} | {f"r{i}": f"r{(i + 1) % 7}" for i in range(7)} | {f"t{i}": f"t{i + 1}" if i < 9 else "r3" for i in range(10)}
+    step |= {f"n{i}": f"n{r.randrange(60)}" for i in range(50)}
+    step = {a: b for a, b in step.items() if a != b}
+
+    def walk(x):
+        seen = set()
+        while x in step and x not in seen:
+            seen.add(x)
+            x = step[x]
+        return x
+
+    got = components.follow_chains(spark.createDataFrame(list(step.items()), "src string, dst string"))
+    assert {x.src: x.dst for x in got.collect()} == {x: walk(x) for x in step}
+
+
 def graph(spark, *rows):
     return spark.createDataFrame([(i, n, i.split("@")[-1], c, 0, c, [2001], 1) for i, n, c in rows], "id string, name string, domain string, sent long, received long, count long, years array<int>, domain_count long")
 
@@ -149,6 +167,19 @@ def test_unmatched(spark):
     assert [r.email for r in search.unmatched(n, d).collect()] == ["bo@d.org", "gone name@d.org"]
 
 
+def test_ids_that_no_token_holds(spark):
+    n = graph(spark, ("ab", "A", 1), ("a b@d", "B", 2), ("\u00e9t\u00e9 x@d.org", "C", 3), ("long odd name@d.org", "D", 4), ("?", "E", 5), ("", "F", 6))
+    d = docs(spark, "the AB is here", "A B@D and long odd names@d.org", "\u00c9T\u00c9 X@D.ORG", "long odd name", None)
+    assert [r.email for r in search.unmatched(n, d).collect()] == ["?", "long odd name@d.org"]
+    assert search.unmatched(n, d.limit(0)).count() == 6 and search.unmatched(n.limit(0), d).count() == 0
+
+
+def test_corrected_text(spark):
+    d = spark.createDataFrame([("plant", 5000)], "term string, count long")
+    got = cleaning.apply_fixes(docs(spark, "The Plannt, plantt-house and plannts\nplannt", None, "nothing"), d).orderBy("hash_id").collect()
+    assert [r.corrected for r in got] == ["The plant, plant-house and plannts\nplant", None, "nothing"]
+
+
 def test_browse(spark):
     d = docs(spark, "x" * 150, None)
     assert {r.name: r.type for r in browse.describe(d, "hash_id").collect()} == {"hash_id": "string", "year": "int", "text": "string (150 chars)"}
