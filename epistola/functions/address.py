@@ -224,3 +224,15 @@ def with_domain(a: C, f) -> Column:
 
 def with_local(a: C, f) -> Column:
     return F.when(has_at(a), F.concat(f(local_of(a)), F.lit("@"), rest_of(a))).otherwise(_col(a))
+
+
+def name_near(text: Column, address: Column) -> Column:
+    """The name that stands before an address in a text, in quotation marks or behind a header's colon, repaired; null if there is none or it is garbage."""
+    mark = F.concat(F.lit("\\s*<?\\Q"), F.split_part(address, F.lit("@"), F.lit(1)), F.lit("\\E@"))
+    found = [F.trim(F.call_function("regexp_extract", text, F.concat(F.lit(p), mark), F.lit(1))) for p in NAME_NEAR]
+    good = lambda n: (F.length(n) > 0) & (F.length(n) < 50) & ~n.rlike(r"[@/\\\\]")
+    return F.when(good(found[0]), repaired_name(found[0])).when(good(found[1]), repaired_name(found[1]))
+
+
+#: What stands before an address with a name: fixed values.
+NAME_NEAR = ("(?i)[\"']([^\"']+)[\"']?", r"(?i)(?:From|To|Cc):\s*([^<\n]+?)")

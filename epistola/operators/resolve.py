@@ -158,7 +158,7 @@ class Resolution:
         b = b.withColumn("t", F.expr(bound)).where("m - n <= t").select("*", F.explode(F.expr("sequence(0, t)")).alias("i"))
         b = b.withColumn("s", F.expr(start)).withColumn("z", F.expr(size))
         b = b.withColumn("lo", F.expr("greatest(0, s - i, s + (m - n) - (t - i))")).withColumn("hi", F.expr("least(m - z, s + i, s + (m - n) + (t - i))")).where("lo <= hi")
-        b = b.select("canon", "domain", "local", "n", "i", "z", F.explode(F.expr("sequence(lo, hi)")).alias("p")).withColumn("piece", F.expr("substring(local, p + 1, z)")).select(key, F.col("canon").alias("canon_b")).distinct()
+        b = b.select("canon", "domain", "local", "n", "i", "z", F.explode(F.expr("sequence(lo, hi)")).alias("p")).withColumn("piece", F.expr("substring(local, p + 1, z)")).select(key, F.col("canon").alias("canon_b"))
         pairs = a.join(b, "key").where("canon_a <> canon_b").select("canon_a", "canon_b").distinct()
         for side in "ab":
             pairs = pairs.join(c.select(*[F.col(x).alias(f"{x}_{side}") for x in ("canon", "domain", "local", "total", "name", "n")]), f"canon_{side}")
@@ -219,18 +219,39 @@ class Resolution:
         s1b = self.scratch.save(self._led(two(b, ["block"]).where((F.col("domain_a") != F.col("domain_b")) & like).select("canon_a", "canon_b")))
         free = free.join(s1b.select(F.col("src").alias("canon")), "canon", "left_anti").where("name IS NOT NULL AND name <> ''")
         any_key = F.array_join(F.array_sort(F.filter(F.split(F.lower("name"), r"\s+"), lambda x: F.length(x) > 0)), " ")
-        d = free.withColumn("any_key", any_key).withColumn("block", F.col("local"))
-        close = F.col("generic_a") | F.col("given_a") | (F.length("local_a") <= 4)
-        s2 = two(d, ["block", "any_key"]).where(~close | like).select("canon_a", "canon_b")
-        e = two(free, ["key"]).where("least(length(local_a), length(local_b)) >= 3")
+        d = free.withColumn("any_key", any_key).withColumn("block", F.col("local")).withColumn("close", F.col("generic") | F.col("given") | (F.length("local") <= 4))
+        # Where the domain does not matter, equal local parts and names are linked through their least address: the same closure without all pairs.
+        s2 = self._star(d.where("NOT close"), ["block", "any_key"]).unionByName(two(d.where("close"), ["block", "any_key"]).where(like).select("canon_a", "canon_b"))
+        s3 = self._alike(d.where("key IS NOT NULL AND length(local) >= 3"), like)
+        return s1.unionByName(s1b).unionByName(self._led(s2.unionByName(s3)))
+
+    def _star(self, rows: DataFrame, by: list[str]) -> DataFrame:
+        """Pairs of every address of a group with the group's least one."""
+        least = rows.groupBy(*by).agg(F.min("canon").alias("canon_a"), F.count(F.lit(1)).alias("many")).where("many > 1").select(*by, "canon_a")
+        return rows.join(least, by).where("canon <> canon_a").select("canon_a", F.col("canon").alias("canon_b"))
+
+    def _alike(self, rows: DataFrame, like: Column) -> DataFrame:
+        """Pairs of one name whose local parts are alike as a whole or part by part; generic, given and short ones need like domains as well.
+
+        The others are compared as distinct local parts: of each name and local part the least address stands for all, which equal local parts link to it anyway. Which of two
+        parts' sizes bounds their distance depends on the order of the addresses, so both orders that some two addresses have are tried.
+        """
         full = F.levenshtein("local_a", "local_b") <= F.greatest(F.lit(2), F.expr("least(length(local_a), length(local_b)) div 4"))
-        e = e.withColumn("full", full).withColumn("pa", parts(F.col("local_a"))).withColumn("pb", parts(F.col("local_b")))
         size = F.aggregate("pa", F.lit(0), lambda s, x: s + F.length(x))
-        partly = e.where(~F.col("full") & (F.size("pa") == F.size("pb")) & (F.size("pa") >= 2)).withColumn("pd", parts_distance_udf("pa", "pb")).where(F.col("pd") <= F.greatest(F.lit(2), F.floor(size / 4))).drop("pd")
-        near = e.where("full").unionByName(partly)
-        check = F.col("generic_a") | F.col("generic_b") | F.col("given_a") | F.col("given_b") | (F.length("local_a") <= 4) | (F.length("local_b") <= 4)
-        s3 = near.where(~check | like).select("canon_a", "canon_b")
-        return s1.unionByName(s1b).unionByName(self._led(s2.unionByName(s3)))
+
+        def near(pairs: DataFrame) -> DataFrame:
+            e = pairs.withColumn("full", full).withColumn("pa", parts(F.col("local_a"))).withColumn("pb", parts(F.col("local_b")))
+            partly = e.where(~F.col("full") & (F.size("pa") == F.size("pb")) & (F.size("pa") >= 2)).withColumn("pd", parts_distance_udf("pa", "pb")).where(F.col("pd") <= F.greatest(F.lit(2), F.floor(size / 4)))
+            return e.where("full").select("canon_a", "canon_b").unionByName(partly.select("canon_a", "canon_b"))
+
+        plain = rows.where("NOT close").groupBy("key", "local").agg(F.min("canon").alias("canon"), F.max("canon").alias("last"))
+        l, r = (plain.select("key", *[F.col(x).alias(f"{x}_{s}") for x in ("local", "canon", "last")]) for s in "ab")
+        apart = near(l.join(r, "key").where("local_a <> local_b AND canon_a < last_b").select("canon_a", "canon_b", "local_a", "local_b"))
+        some = ["key", *[f"{x}_a" for x in ("canon", "domain", "local")], *[f"{x}_b" for x in ("canon", "domain", "local")]]
+        side = lambda d, s: d.select("key", *[F.col(x).alias(f"{x}_{s}") for x in ("canon", "domain", "local")])
+        short, long = rows.where("close"), rows.where("NOT close")
+        mixed = side(short, "a").join(side(rows, "b"), "key").select(*some).unionByName(side(long, "a").join(side(short, "b"), "key").select(*some))
+        return self._star(rows.where("NOT close"), ["key", "local"]).unionByName(apart).unionByName(near(mixed.where("canon_a < canon_b").where(like)))
 
     def run(self, fuzzy: bool = True) -> Resolution:
         self.structural()

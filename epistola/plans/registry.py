@@ -748,3 +748,14 @@ SQL["flt6_export_nodes"] = f"""WITH {O.messages()}, {O.stats()}, {O.mapping()},
 made AS (SELECT id, {_NAME_PARTS} AS p, {O.build_domain(O.domain('id'))} = 'epa.gov' AND len({_NAME_PARTS}) = 2 AND len(list_filter({_NAME_PARTS}, lambda p: length(p) > 1 AND regexp_matches(regexp_replace(p, '[-'']', '', 'g'), '^\\p{{L}}+$'))) = 2 AS turn FROM cn)
 SELECT cn.id, coalesce(best.name, {O.title("array_to_string(CASE WHEN turn THEN list_reverse(p) ELSE p END, ' ')")}) AS name, {O.domain('cn.id')} AS domain, sent, received, sent + received AS count, len(domains) AS domain_count, {s_joined('years', 'aliases')}
 FROM cn JOIN made ON made.id = cn.id LEFT JOIN best ON best.id = cn.id WHERE sent + received >= 2"""
+
+
+_NEAR = lambda p: f"trim(regexp_extract(text, {O.q(p)} || '\\s*<?\\Q' || {O.local('a')} || '\\E@', 1))"
+_GOOD = lambda x: f"length({x}) BETWEEN 1 AND 49 AND NOT regexp_matches({x}, '[@/\\\\]')"
+
+
+@query(f"""WITH m AS (SELECT DISTINCT hash_id, unnest(from_list) AS a FROM messages), f AS (SELECT hash_id, a, {_NEAR(A.NAME_NEAR[0])} AS x, {_NEAR(A.NAME_NEAR[1])} AS y FROM m JOIN documents USING (hash_id)),
+g AS (SELECT hash_id || '|' || a AS id, CASE WHEN {_GOOD('x')} THEN x WHEN {_GOOD('y')} THEN y END AS name FROM f) SELECT id, value FROM ({_F8.replace('FROM nodes)', 'FROM g)')})""")
+def f14_name_near(spark, d):
+    m = table(spark, d, "messages").select("hash_id", F.explode("from_list").alias("a")).distinct().join(docs(spark, d).select("hash_id", "text"), "hash_id")
+    return m.select(F.concat_ws("|", "hash_id", "a").alias("id"), A.name_near(F.col("text"), F.col("a")).alias("value"))
