@@ -1,9 +1,9 @@
 """Problem 3: consolidating pairwise matches into groups by tree contraction.
 
-The graph is reduced before it is solved. Each round *rakes* the vertices of degree one into their neighbour and
+The graph is reduced before it is solved. Each round counts degrees once, *rakes* the vertices of degree one that hang on no chain into their neighbour and
 *compresses* every maximal chain of degree-two vertices into one edge; the two ends of a chain are found by list ranking
-(pointer doubling over directed arcs), so a chain of length L takes log2(L) joins and not L rounds. What is left has
-minimum degree three. That core is solved by hooking every vertex to its neighbour of least random rank, pointer jumping
+(pointer doubling over directed arcs), so a chain of length L takes log2(L) joins and not L rounds. A leaf at a chain's end hangs on the chain's other end
+in the next round. What is left has minimum degree three. That core is solved by hooking every vertex to its neighbour of least random rank, pointer jumping
 and contraction. The removed vertices form a forest over the roots; its labels are restored by pointer jumping.
 
 All joins merge: sides shrink together from round to round, and a broadcast per join and round would fill the driver.
@@ -30,12 +30,10 @@ def _with_degrees(edges: DataFrame) -> DataFrame:
     return edges.join(deg.select(F.col("v").alias("a"), F.col("deg").alias("da")).hint("merge"), "a").join(deg.select(F.col("v").alias("b"), F.col("deg").alias("db")).hint("merge"), "b")
 
 
-def _rake(scratch: Scratch, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(edges without leaves, forest rows of the leaves), both views of one stored table. An isolated edge hangs its larger vertex on its smaller one."""
-    d = scratch.save(_with_degrees(edges))
-    leaf = F.when((F.col("da") == 1) & (F.col("db") == 1), F.greatest("a", "b")).when(F.col("da") == 1, F.col("a")).when(F.col("db") == 1, F.col("b"))
-    cut = d.where((F.col("da") == 1) | (F.col("db") == 1)).select(leaf.alias("v"), (F.col("a") + F.col("b") - leaf).alias("p"))
-    return d.where((F.col("da") > 1) & (F.col("db") > 1)).select("a", "b"), cut
+def _rake(d: DataFrame) -> DataFrame:
+    """Forest rows of the leaves that hang on no chain. An isolated edge hangs its larger vertex on its smaller one."""
+    leaf = F.when((F.col("da") == 1) & (F.col("db") == 1), F.greatest("a", "b")).when((F.col("da") == 1) & (F.col("db") > 2), F.col("a")).when((F.col("db") == 1) & (F.col("da") > 2), F.col("b"))
+    return d.withColumn("v", leaf).where("v IS NOT NULL").select("v", (F.col("a") + F.col("b") - F.col("v")).alias("p"))
 
 
 def _rank_chains(scratch: Scratch, arcs: DataFrame) -> DataFrame:
@@ -66,11 +64,8 @@ def _rank_chains(scratch: Scratch, arcs: DataFrame) -> DataFrame:
         cur, held = new.select("v", "f", "t", "tf", "hops", "m"), new
 
 
-def _compress(scratch: Scratch, edges: DataFrame) -> tuple[DataFrame, DataFrame] | None:
-    """(edges between chain ends, forest rows of the chain vertices); None if no vertex has degree two."""
-    d = scratch.save(_with_degrees(edges))
-    if d.where((F.col("da") == 2) | (F.col("db") == 2)).isEmpty():
-        return None
+def _compress(scratch: Scratch, d: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(edges between chain ends, forest rows of the chain vertices)."""
     both = d.select(F.col("a").alias("v"), F.col("b").alias("w"), F.col("da").alias("deg")).unionByName(d.select(F.col("b").alias("v"), F.col("a").alias("w"), F.col("db").alias("deg")))
     pairs = both.where("deg = 2").groupBy("v").agg(F.min("w").alias("x"), F.max("w").alias("y"))
     one = pairs.select("v", F.col("x").alias("f"), F.col("y").alias("t"))
@@ -80,10 +75,9 @@ def _compress(scratch: Scratch, edges: DataFrame) -> tuple[DataFrame, DataFrame]
     ends = ranked.groupBy("v").agg(F.min("t").alias("e1"), F.max("t").alias("e2"), F.min("hops").alias("near"), F.min("m").alias("m"))
     ends = scratch.save(ends)
     forest = ends.select("v", F.coalesce("e1", "m").alias("p")).where("v <> p")
+    # A chain that ends where it began adds nothing. Cycles have no end and are finished here.
     bridges = ends.where("e1 < e2 AND near = 1").select(F.col("e1").alias("a"), F.col("e2").alias("b"))
-    # An end may be a fresh leaf: its bridge is raked in the next round. Cycles have no end and are finished here.
-    kept = d.where((F.col("da") != 2) & (F.col("db") != 2)).select("a", "b")
-    return kept.unionByName(bridges).distinct(), forest
+    return bridges, forest
 
 
 def _contract(scratch: Scratch, edges: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
@@ -128,12 +122,16 @@ def connected_groups(links: DataFrame, src: str = "src", dst: str = "dst", node:
     forest: list[DataFrame] = []
     seed = 0
     while not edges.isEmpty():
-        left, cut = _rake(scratch, edges)
-        forest.append(cut)
-        if (done := _compress(scratch, left)) is not None:
-            forest.append(done[1])
-            left = scratch.save(done[0])
-        elif cut.isEmpty():  # neither leaves nor chains, so minimum degree three: the core
+        d = scratch.save(_with_degrees(edges))
+        leaves, twos = d.agg(F.count_if((F.col("da") == 1) | (F.col("db") == 1)), F.count_if((F.col("da") == 2) | (F.col("db") == 2))).first()
+        left = d.where("da > 2 AND db > 2").select("a", "b")
+        if leaves:
+            forest.append(_rake(d))
+        if twos:
+            bridges, chains = _compress(scratch, d)
+            forest.append(chains)
+            left = scratch.save(left.unionByName(bridges).distinct())
+        elif not leaves:  # minimum degree three: the core
             seed += 1
             core, roots = _contract(scratch, left, seed)
             forest.append(roots)
