@@ -1,20 +1,22 @@
-"""Command line: build-network, dedup, clean, unmatched, fetch."""
+"""Command line: build-network, dedup, clean, unmatched, fetch, serve."""
 
 from __future__ import annotations
 
 import argparse
 
+from epistola.functions import rules
 from epistola.operators import cleaning, merge, network, search
 from epistola.operators.resolve import Resolution
 from epistola.session import build_session
+from epistola.service import Service
 from epistola.sources import bundle, graph
 
 
-def dedup(nodes, edges, fuzzy: bool = True):
+def dedup(nodes, edges, fuzzy: bool = True, tables: dict | None = None):
     """(nodes, edges, alias map, layer statistics) of a resolved graph."""
-    r = Resolution(nodes).run(fuzzy)
-    best = merge.best_ids(r.state, nodes)
-    return merge.merge_nodes(nodes, best), merge.merge_edges(edges, best), best, r.layer_stats()
+    r = Resolution(nodes, **(tables or {})).run(fuzzy)
+    best = merge.best_ids(r.state, nodes, r.address_repairs, r.domain_repairs)
+    return merge.merge_nodes(nodes, best, r.domain_repairs), merge.merge_edges(edges, best), best, r.layer_stats()
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -32,6 +34,7 @@ def main(argv: list[str] | None = None) -> None:
     d.add_argument("--dry-run", action="store_true")
     d.add_argument("--report", action="store_true")
     d.add_argument("--no-fuzzy", action="store_true")
+    d.add_argument("--rules", metavar="FILE", help="repairs, role words and first names of the deployment, as JSON")
     c = sub.add_parser("clean")
     c.add_argument("documents")
     c.add_argument("--apply", metavar="FOLDER", help="write a cleaned version into a new folder below this one")
@@ -43,6 +46,10 @@ def main(argv: list[str] | None = None) -> None:
     f.add_argument("request")
     f.add_argument("documents")
     f.add_argument("--store", required=True)
+    w = sub.add_parser("serve")
+    w.add_argument("documents")
+    w.add_argument("--store", required=True)
+    w.add_argument("--port", type=int, default=8000)
     a = p.parse_args(argv)
     spark = build_session()
     if a.cmd == "build-network":
@@ -50,7 +57,7 @@ def main(argv: list[str] | None = None) -> None:
         print(graph.write_graph(nodes, edges, a.output))
     elif a.cmd == "dedup":
         nodes, edges = graph.read_graph(spark, a.input)
-        merged, medges, best, stats = dedup(nodes, edges, not a.no_fuzzy)
+        merged, medges, best, stats = dedup(nodes, edges, not a.no_fuzzy, rules.load(a.rules) if a.rules else None)
         stats.show(50, False)
         if a.report:
             merge.merge_report(best).show(100, False)
@@ -70,6 +77,9 @@ def main(argv: list[str] | None = None) -> None:
         nodes, _ = graph.read_graph(spark, a.graph)
         for r in search.unmatched(nodes, spark.read.parquet(a.documents)).toJSON().toLocalIterator():
             print(r)
+    elif a.cmd == "serve":
+        docs = spark.read.parquet(a.documents)
+        Service(spark, {"documents": (docs, "hash_id")}, docs, bundle.FolderStore(a.store)).serve(port=a.port).serve_forever()
     else:
         print(bundle.fetch_bundle(spark.read.parquet(a.documents), bundle.Request.read(a.request), bundle.FolderStore(a.store)).json())
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from pathlib import Path
+
 # Misread forms of the agency's mail domain that the network build maps to it.
 AGENCY = "epa.gov"
 AGENCY_VARIANTS_BUILD = """
@@ -67,3 +70,16 @@ FIRST_NAMES = frozenset(
 )
 #: Domains that write the last name first.
 LAST_NAME_FIRST = frozenset(["epa.gov"])
+
+
+def load(path: str) -> dict:
+    """A deployment's tables from a JSON file: ``address_repairs`` and ``domain_repairs`` (objects from bad to good, added to those that stand here),
+    ``generic`` and ``first_names`` (lists, in place of those). The result goes to the resolution as keyword arguments; other keys are an error."""
+    given = json.loads(Path(path).read_text(encoding="utf-8"))
+    if extra := set(given) - {"address_repairs", "domain_repairs", "generic", "first_names"}:
+        raise ValueError(f"unknown tables: {sorted(extra)}")
+    out: dict = {"address_repairs": dict(given.get("address_repairs", {})), "domain_repairs": DOMAIN_REPAIRS | given.get("domain_repairs", {})}
+    for name in ("generic", "first_names"):
+        if name in given:
+            out[name] = frozenset(map(str.lower, given[name]))
+    return out

@@ -20,12 +20,13 @@ def node_score() -> Column:
     return F.struct(F.coalesce("count", F.lit(0)).alias("count"), clean.cast("int").alias("clean"), A.local_of("id").contains(".").cast("int").alias("dot"), quality.alias("quality"), (-F.length("id")).alias("short"))
 
 
-def best_ids(alias_map: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``orig_id, best_id``: each group's best node, its address cleaned for display. Groups that clean to one address become one."""
+def best_ids(alias_map: DataFrame, nodes: DataFrame, address_repairs: dict[str, str] | None = None, domain_repairs: dict[str, str] | None = None) -> DataFrame:
+    """``orig_id, best_id``: each group's best node, its address cleaned for display. Groups that clean to one address become one. The tables are those of
+    the resolution."""
     scored = alias_map.join(nodes.withColumnRenamed("id", "orig_id").withColumn("id", F.col("orig_id")), "orig_id").withColumn("score", node_score())
     top = scored.groupBy("canon").agg(F.max("score").alias("score"))
     best = scored.join(top, ["canon", "score"]).groupBy("canon").agg(F.min("orig_id").alias("best"))
-    shown = A.with_local(A.with_domain(A.structural("best"), A.match_domain), A.display_local)
+    shown = A.with_local(A.with_domain(A.structural("best", address_repairs or {}), lambda d: A.match_domain(d, domain_repairs)), A.display_local)
     return alias_map.join(best.select("canon", shown.alias("best_id")), "canon").select("orig_id", "best_id")
 
 
@@ -58,13 +59,13 @@ def fixed_order(name: Column, i: Column, domain: Column) -> Column:
     return F.when(turned, F.concat(F.get(w, F.lit(1)), F.lit(" "), F.get(w, F.lit(0)))).otherwise(name)
 
 
-def merge_nodes(nodes: DataFrame, best: DataFrame) -> DataFrame:
+def merge_nodes(nodes: DataFrame, best: DataFrame, domain_repairs: dict[str, str] | None = None) -> DataFrame:
     """Nodes merged by best id: sums, united years, greatest ``domain_count``, sorted aliases."""
     m = best.join(nodes.withColumnRenamed("id", "orig_id"), "orig_id")
     years = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce("years", F.expr("cast(array() as array<int>)"))))))
     zero = lambda c: F.sum(F.coalesce(c, F.lit(0))).alias(c)
     g = m.groupBy("best_id").agg(zero("sent"), zero("received"), zero("count"), years.alias("years"), F.max(F.coalesce("domain_count", F.lit(0))).alias("domain_count"), F.array_sort(F.collect_set("orig_id")).alias("aliases"))
-    named = g.join(display_name(m), "best_id", "left").withColumn("domain", A.match_domain(A.rest_of("best_id")))
+    named = g.join(display_name(m), "best_id", "left").withColumn("domain", A.match_domain(A.rest_of("best_id"), domain_repairs))
     name = F.coalesce("name", name_from_id(F.col("best_id")))
     name = F.coalesce(split_initial(name), name)
     return named.select(F.col("best_id").alias("id"), fixed_order(name, F.col("best_id"), F.col("domain")).alias("name"), "domain", "sent", "received", "count", "years", "domain_count", "aliases")

@@ -36,6 +36,16 @@ def test_build_dedup_and_unmatched(spark, corpus, tmp_path, capsys):
     assert capsys.readouterr().out.strip() == ""
 
 
+def test_rules_of_a_deployment(spark, corpus, tmp_path):
+    cli.main(["build-network", corpus, "--output", str(tmp_path / "g.json")])
+    (tmp_path / "rules.json").write_text(json.dumps({"domain_repairs": {"e.org": "d.org"}, "address_repairs": {"anastone@d.org": "ana.stone@d.org"}, "first_names": ["Bo"], "generic": []}))
+    cli.main(["dedup", str(tmp_path / "g.json"), "-o", str(tmp_path / "m.json"), "--rules", str(tmp_path / "rules.json")])
+    assert {n["domain"] for n in json.loads((tmp_path / "m.json").read_text())["nodes"]} == {"d.org"}
+    (tmp_path / "bad.json").write_text('{"prices": {}}')
+    with pytest.raises(ValueError):
+        cli.rules.load(str(tmp_path / "bad.json"))
+
+
 def test_clean_writes_a_new_version(spark, corpus, tmp_path, capsys):
     cli.main(["clean", corpus])
     cli.main(["clean", corpus, "--apply", str(tmp_path / "versions"), "--sample", "2"])

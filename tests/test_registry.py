@@ -6,7 +6,7 @@ import pytest
 import __spark_entry__
 from epistola.plans import registry
 
-CHECKED = ["agg2_edge_stats", "agg1_node_stats", "agg5_consolidated_nodes", "f16_match_domain", "er3b_split_locals", "er3c_stripped_prefixes", "j7_fuzzy_pairs", "gr1_components", "er0_follow_chains", "agg13_merged_edges", "j6_unmatched", "stream_edge_stats"]
+CHECKED = ["agg2_edge_stats", "agg1_node_stats", "agg5_consolidated_nodes", "f16_match_domain", "er3b_split_locals", "er3c_stripped_prefixes", "j7_fuzzy_pairs", "gr1_components", "er0_follow_chains", "agg13_merged_edges", "j6_unmatched", "stream_edge_stats", "f23_jaro_winkler", "er4_fuzzy_merges", "er7_same_name", "er_alias_map", "cl10_corrected_text", "prj4_alias_search", "f14_name_near", "src13_describe", "src8_edges_round_trip"]
 
 
 @pytest.mark.parametrize("name", CHECKED)
