@@ -4,42 +4,54 @@ Similarity is the Jaccard measure of the sets of ``GRAM`` consecutive words. Doc
 join runs between classes, so copies cost nothing. Two classes of a sufficient similarity come up in one of two ways:
 
 1. *Bands.* Every class is hashed many times over; the least values of its grams under ``ROWS`` hashes make a band. Two classes agree in a
-   band with a chance of their similarity to the power of ``ROWS``, whatever else the corpus holds and wherever their texts differ. There are
-   so many bands that a pair at the threshold agrees in none with a chance of ``MISS`` at most.
-2. *Fragments.* A band that more than ``HOT`` classes agree in, such as that of a stock paragraph, says little, and its pairs would grow with the square
-   of the corpus. Its members are joined exactly instead, by vertical partitioning: their grams are put in one global order, the rarest first, and
+   band with a chance of their similarity to the power of ``ROWS``, whatever else the corpus holds and wherever their texts differ. Texts of one trade
+   share so many grams that chance meetings grow with the square of the corpus; so a class brings ``WORD`` bits of other least values to each of its
+   bands, and a meeting whose bits agree too little ends where it is seen, in memory. The bands fall into ``GROUPS``, each with bits of its own, and are
+   so many that a pair at the threshold gets through none of them with a chance of ``MISS`` at most (``plan``).
+2. *Fragments.* A band that more than ``HOT`` classes and more than one in ``SHARE`` agree in, such as that of a stock paragraph, says little, and its pairs
+   would grow with the square of the corpus. Its members are joined exactly instead, by vertical partitioning: their grams are put in one global order, the rarest first, and
    the order is cut into ``FRAGMENTS``; within each fragment the overlaps of the classes' leading parts are counted on their own and summed per pair.
    A pair at the threshold shares a gram within those leading parts, and its sum and the places of its hits bound what the rest can still add, so
    no pair is lost; and grams of a stock paragraph, which are the commonest, stand behind the leading parts of all that hold more than it.
 
-What comes up is sifted by size, which is exact, and by one bit for each of ``BITS`` least values, which loses a pair at the threshold with
-a chance of ``MISS`` at most (Hoeffding). The surviving pairs are verified exactly: the grams of both classes are compared over the whole texts.
+What comes up is sifted by size, which is exact, and by all ``BITS`` bits of both classes, which loses a pair at the threshold with
+a chance of ``MISS`` at most (binomial). The surviving pairs are verified exactly: the grams of both classes are compared over the whole texts.
 
-No step collects a group, and what a task sends of one band is bounded. The only quadratic part is the pairs within a class, and these are made only
+No step collects a group; what a task sends of one band is bounded, and what it holds at once is one of ``BUCKETS`` equal parts of a pass's bands. The only quadratic part is the pairs within a class, and these are made only
 where a caller asks for every pair of documents.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import ceil, log, sqrt
+from contextlib import contextmanager
+from functools import reduce
+from math import ceil, exp, lgamma, log
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from epistola.functions.wordhash import grams, hash_words, mix
 from epistola.session import Scratch, maybe_broadcast
 
-GRAM, ROWS = 3, 4
+GRAM, ROWS = 3, 3
 #: Greatest chance that the bands, or the sift, lose a pair at the threshold.
 MISS = 1e-6
-#: Bits of a class for the sift.
-BITS = 512
-#: Most classes of a band whose pairs are all looked at; the members of larger ones are joined by fragments of the gram order.
-HOT = 64
+#: Groups of bands, and the bits that each has to itself.
+GROUPS, WORD = 8, 128
+#: Passes over the texts. Each sends the bands of its share of the groups, and what it shuffled is gone before the next, so that no more than that share of
+#: the bands is on disk.
+ROUNDS = 2
+#: Bits of a class for the sift: those of all groups.
+BITS = GROUPS * WORD
+#: Least chance that a group's bits let a pair at the threshold through.
+LET = 0.93
+#: Most classes of a band whose pairs are all looked at, and the share of all classes (one in so many) from which more are hot; the members of hot bands
+#: are joined by fragments of the gram order.
+HOT, SHARE = 64, 64
 #: Fragments of the gram order.
 FRAGMENTS = 16
 _BLOCK = 128
@@ -54,24 +66,45 @@ def _blocks(batches: Iterator[pa.RecordBatch]):
                 yield doc, h[ptr[i] : ptr[i + 1]]
 
 
-#: The low bits of a class's first sum hold the size of its set, up to this many, so that pairs can be sifted without a join.
-SIZE = 4095
+def _signature(g: np.ndarray) -> tuple[int, int]:
+    """Two sums over a gram set, as the identity of the set."""
+    return int(g.sum().view(np.int64)), int(mix(g ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum().view(np.int64))
 
 
-def _signature(g: np.ndarray) -> tuple[int, int]:
-    """Two sums over a gram set, as the identity of the set; the first holds its size as well."""
-    first = (g.sum() & ~np.uint64(SIZE)) | np.uint64(min(len(g), SIZE))
-    return int(first.view(np.int64)), int(mix(g ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum().view(np.int64))
+def _code(s1: np.ndarray) -> np.ndarray:
+    """What stands for a class in its bands: the high half of its first sum. 0 stands for none."""
+    return np.maximum((s1.view(np.uint64) >> np.uint64(32)).astype(np.uint32), 1)
+
+
+def _at_least(many: int, chance: float, k: int) -> float:
+    """The chance of k or more successes in so many trials."""
+    if chance >= 1:
+        return 1.0
+    return sum(exp(lgamma(many + 1) - lgamma(i + 1) - lgamma(many - i + 1) + i * log(chance) + (many - i) * log(1 - chance)) for i in range(k, many + 1))
 
 
-def bands(threshold: float) -> int:
-    """So many bands that a pair at the threshold agrees in none with a chance of ``MISS`` at most."""
-    return 1 if threshold >= 1 else ceil(log(MISS) / log(1 - threshold**ROWS))
+def plan(threshold: float) -> tuple[int, int]:
+    """(bands, agreeing bits of a group that a meeting needs).
 
+    A group's bits let a pair at the threshold through with a chance p, and each of its b bands brings it up with a chance t ** ``ROWS``. No hash serves two
+    bands, two groups or a band and its bits, so the pair fails in a group with a chance of (1 - p) + p (1 - t ** ``ROWS``) ** b, and in all ``GROUPS`` with
+    the power of that."""
+    need = max(k for k in range(WORD + 1) if _at_least(WORD, (1 + threshold) / 2, k) >= LET)
+    p = min(1.0, _at_least(WORD, (1 + threshold) / 2, need))
+    return GROUPS * (1 if threshold >= 1 else ceil(log((MISS ** (1 / GROUPS) - (1 - p)) / p) / log(1 - threshold**ROWS))), need
 
-def agreeing(threshold: float) -> float:
+
+def agreeing(threshold: float) -> int:
     """The bits in which a pair at the threshold agrees, but for a chance of ``MISS``."""
-    return BITS * ((1 + threshold) / 2 - sqrt(-log(MISS) / (2 * BITS)))
+    if threshold >= 1:
+        return BITS
+    fewer, k = 0.0, 0
+    differ = (1 - threshold) / 2
+    while True:
+        fewer += exp(lgamma(BITS + 1) - lgamma(k + 1) - lgamma(BITS - k + 1) + k * log(1 - differ) + (BITS - k) * log(differ))
+        if fewer > MISS:
+            return k
+        k += 1
 
 
 def _hashes(many: int) -> np.ndarray:
@@ -86,87 +119,132 @@ def least(g: np.ndarray, by: np.ndarray) -> np.ndarray:
     return out
 
 
+#: Equal parts of all bands, by the high bits of their keys, and the low bits of a key that are sent.
+BUCKETS, LOW = 8192, 16
+
+
 def keys(low: np.ndarray) -> np.ndarray:
-    """A key of 48 bits for each band of each class; ``low``: the least values, a row for each class."""
+    """A key for each band of each class, its bucket above its ``LOW`` bits; ``low``: the least values, a row for each class."""
     rows = low.reshape(len(low), -1, ROWS).astype(np.uint64)
     key = np.broadcast_to(np.arange(rows.shape[1], dtype=np.uint64), rows.shape[:2])
     for k in range(ROWS):
         key = mix(mix(key) + rows[:, :, k])
-    return (key >> np.uint64(16)).view(np.int64)
+    return (key >> np.uint64(64 - LOW - BUCKETS.bit_length() + 1)).astype(np.uint32)
 
 
-def bits(low: np.ndarray) -> bytes:
-    return np.packbits(low * np.uint32(0x9E3779B1) >> np.uint32(31)).tobytes()
+def bits(low: np.ndarray) -> np.ndarray:
+    """One bit of each least value, as numbers: a row for each class."""
+    return np.packbits((low * np.uint32(0x9E3779B1) >> np.uint32(31)).astype(np.uint8), axis=1).view(np.uint64)
 
 
-#: What one pass over the texts sends, as pairs of numbers alone: under keys of 0 or more the bands of classes; under negative ones, whose low bits say which
-#: of its numbers a row holds, ``WIDE`` rows for each text with its class, and a row for each class seen to be in a hot band.
-_SENT = pa.schema([("key", pa.int64()), ("s1", pa.int64())])
-TAGS = 4
-WIDE, _HOT_TAG = 4 + BITS // 64, 2**TAGS - 1
-#: Classes whose bands are put together before they are sent.
-_CHUNK = 2048
+#: What one pass over the texts sends: under numbers of 0 or more the bands of one bucket, packed, under negative ones some texts with their class. The
+#: passes after the first send only the texts of hot bands, without a size.
+_SENT = pa.schema([("bucket", pa.int32()), ("packed", pa.binary())])
+_BAND = np.dtype([("low", "<u2"), ("code", "<u4"), ("word", "<u8", WORD // 64)])
+_TEXT = np.dtype([("s1", "<i8"), ("doc", "<i8"), ("s2", "<i8"), ("n", "<i4"), ("hot", "<i4"), ("bits", "<u8", BITS // 64)])
+#: Texts whose bands are put together before they are sent, texts of a row, and how many times ``HOT`` classes of one band are sent at most.
+_CHUNK, _TOLD, _MOST = 8192, 64, 16
 
 
 def _starts(k: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1]))) if len(k) else np.zeros(0, np.int64)
 
 
-def _thinned(k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(which of a block's bands are sent, which stand for hot ones): of a band with more than ``HOT`` classes so many go that the receiver sees it is hot."""
-    o = np.argsort(k, kind="stable")
-    at = _starts(k[o])
-    size = np.diff(np.append(at, len(k)))
-    keep, hot = np.empty(len(k), bool), np.empty(len(k), bool)
-    keep[o] = np.arange(len(k)) - np.repeat(at, size) <= HOT
-    hot[o] = np.repeat(size > HOT, size)
-    return keep, hot
+def _rows(numbers: np.ndarray, at: np.ndarray, packed: np.ndarray) -> pa.RecordBatch:
+    """A row for each number with the part of ``packed`` from its place on."""
+    ends = (np.append(at, len(packed)) * packed.itemsize).astype(np.int32)
+    column = pa.Array.from_buffers(pa.binary(), len(numbers), [None, pa.py_buffer(ends), pa.py_buffer(packed.tobytes())])
+    return pa.RecordBatch.from_arrays([pa.array(numbers.astype(np.int32)), column], schema=_SENT)
 
 
-def _tagged(number: np.ndarray, tag) -> np.ndarray:
-    return -1 - ((number << TAGS) + tag)
+def _unpack(column: pa.Array, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """(how many records each row holds, the records of all)."""
+    column = column.cast(pa.binary())
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    data = column.buffers()[2]
+    return np.diff(ends) // kind.itemsize, np.frombuffer(data, np.uint8)[ends[0] : ends[-1]].view(kind) if data else np.zeros(0, kind)
 
 
-def _sent(many: int):
+def _sent(many: int, most: int, chunk: int, turn: int):
     def run(batches):
-        by = _hashes(many * ROWS)
+        by = _hashes(many * ROWS + BITS)
+        band = np.arange(many)[np.arange(many) % GROUPS % ROUNDS == turn]
+        groups = np.arange(turn, GROUPS, ROUNDS) if turn else np.arange(GROUPS)  # the first pass sends the bits of all
+        place = np.searchsorted(groups, band % GROUPS)
+        by = np.concatenate((by[: many * ROWS].reshape(many, ROWS)[band].ravel(), by[many * ROWS :].reshape(GROUPS, WORD)[groups].ravel()))
         context = TaskContext.get()
-        place = (context.partitionId() if context else 0) << 33  # texts are numbered by task, as the rows of a frame are
+        number = context.partitionId() if context else 0
         seen: set[int] = set()  # classes whose bands this task has already written: copies are dropped before the shuffle
         members: list[tuple] = []
-        own: list[np.ndarray] = []
-        classes: list[int] = []
-
-        def flush() -> pa.RecordBatch:
-            nonlocal place
-            k = keys(np.stack(own)).ravel() if own else np.zeros(0, np.int64)
-            s = np.repeat(np.array(classes, np.int64), many)
-            keep, hot = _thinned(k)
-            marked = np.unique(s[hot])
-            told = np.array(members, np.int64)
-            at = _tagged(np.arange(place, place + len(told))[:, None], np.arange(WIDE))
-            place += len(told)
-            cols = [np.concatenate((k[keep], _tagged(np.abs(marked) >> (TAGS + 1), _HOT_TAG), at.ravel())), np.concatenate((s[keep], marked, told.ravel()))]
-            members.clear()
-            own.clear()
-            classes.clear()
-            return pa.RecordBatch.from_arrays([*map(pa.array, cols)], schema=_SENT)
-
+        sketch: list[np.ndarray] = []
+        own: list[int] = []  # which members' bands are sent
+        banded: list[np.ndarray] = []
+
+        def flush():
+            nonlocal number
+            told = np.zeros(len(members), _TEXT)
+            for name, values in zip(("s1", "doc", "s2", "n"), zip(*members)):
+                told[name] = values
+            words = np.concatenate(sketch)
+            if not turn:
+                told["bits"] = words
+            if own:
+                k = np.concatenate(banded).ravel()
+                o = np.argsort(k, kind="stable")
+                k = k[o]
+                at = _starts(k)
+                size = np.diff(np.append(at, len(k)))
+                which, hot = np.array(own)[o // len(band)], np.repeat(size > most, size)
+                # Of a band with too many classes only a mark is sent, and all of them are told to be in a hot one.
+                told["hot"] = np.isin(told["s1"], told["s1"][which[hot]])
+                first = np.zeros(len(k), bool)
+                first[at] = True
+                keep = ~hot | first
+                out = np.zeros(int(keep.sum()), _BAND)
+                out["low"] = k[keep] & np.uint32(2**LOW - 1)
+                out["code"] = np.where(hot[keep], 0, _code(told["s1"])[which[keep]])
+                out["word"] = words.reshape(len(words), len(groups), -1)[which[keep], place[o[keep] % len(band)]]
+                bucket = k[keep] >> np.uint32(LOW)
+                at = _starts(bucket)
+                yield _rows(bucket[at], at, out)
+            if turn:
+                told = told[told["hot"] > 0]
+                told["n"] = 0
+            at = np.arange(0, len(told), _TOLD)
+            yield _rows(-1 - (number * 1009 + np.arange(len(at))) % 2**30, at, told)
+            number += len(at)
+            for x in (members, sketch, own, banded):
+                x.clear()
+
+        def work(part: list[tuple]) -> None:
+            low = np.stack([least(g, by) for _, g in part])
+            new = []
+            for i, (doc, g) in enumerate(part):
+                s1, s2 = _signature(g)
+                if s1 not in seen:
+                    seen.add(s1)
+                    own.append(len(members))
+                    new.append(i)
+                members.append((s1, doc, s2, len(g)))
+            sketch.append(bits(low[:, len(band) * ROWS :]))
+            if new:
+                banded.append(keys(low[new, : len(band) * ROWS]))
+
+        part: list[tuple] = []
         for doc, w in _blocks(batches):
             g = np.unique(grams(w, GRAM))
             if not len(g):
                 continue
-            s1, s2 = _signature(g)
-            low = least(g, by)
-            members.append((s1, doc, s2, len(g), *np.frombuffer(bits(low[:BITS]), np.int64).tolist()))
-            if s1 not in seen:
-                seen.add(s1)
-                own.append(low)
-                classes.append(s1)
-            if len(members) >= _CHUNK:
-                yield flush()
+            part.append((doc, g))
+            if len(part) >= min(_BLOCK, chunk):
+                work(part)
+                part = []
+                if len(members) >= chunk:
+                    yield from flush()
+        if part:
+            work(part)
         if members:
-            yield flush()
+            yield from flush()
 
     return run
 
@@ -175,66 +253,80 @@ _MET = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("doc", pa.int64()), ("s
 
 
 def _met(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *[pa.nulls(len(a), f.type) for f in list(_MET)[2:]]], schema=_MET)
-
-
-def _told(key: np.ndarray, value: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Rows under negative keys, in order: hot classes as pairs with themselves, and texts with their class. Whole texts only."""
-    tag = (-1 - key) & _HOT_TAG
-    marked = value[tag == _HOT_TAG]
-    if len(marked):
-        yield _met(marked, marked)
-    rows = value[tag != _HOT_TAG].reshape(-1, WIDE)[:, ::-1]  # keys rise as tags fall
-    if len(rows):
-        packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(BITS // 8), len(rows), [None, pa.py_buffer(np.ascontiguousarray(rows[:, 4:]))])
-        cols = [pa.array(rows[:, 0]), pa.nulls(len(rows), pa.int64()), pa.array(rows[:, 1]), pa.array(rows[:, 2]), pa.array(rows[:, 3].astype(np.int32)), packed.cast(pa.binary())]
-        yield pa.RecordBatch.from_arrays(cols, schema=_MET)
-
-
-def _meetings(threshold: float):
-    """Rows sorted by key within a partition. Every run of one key gives all its pairs of classes whose sizes allow the threshold, and one of more
-    than ``HOT`` classes its members, each paired with itself. A run that goes on over a batch's end is carried over; of a hot one only
-    as many rows as show that it is hot."""
-
-    def pairs(k: np.ndarray, s: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a.astype(np.int64)), pa.array(b.astype(np.int64)), *[pa.nulls(len(a), f.type) for f in list(_MET)[2:]]], schema=_MET)
+
+
+def _told(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Texts with their class, and the codes of those in a hot band as pairs with themselves."""
+    hot = np.unique(_code(rows["s1"][rows["hot"] > 0]))
+    yield _met(hot, hot)
+    rows = rows[rows["n"] > 0]
+    packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(BITS // 8), len(rows), [None, pa.py_buffer(np.ascontiguousarray(rows["bits"]))])
+    s1, doc, s2, n = (pa.array(np.ascontiguousarray(rows[k])) for k in ("s1", "doc", "s2", "n"))
+    cols = [s1, pa.nulls(len(rows), pa.int64()), doc, s2, n, packed.cast(pa.binary())]
+    yield pa.RecordBatch.from_arrays(cols, schema=_MET)
+
+
+#: Rows of whole buckets that are looked at together.
+_AT_ONCE = 2**20
+
+
+def _meetings(many: int, need: int, hot: int):
+    """Rows sorted by bucket within a partition. Every band gives the pairs of its classes that enough bits of its group agree in, and a hot one its members,
+    each paired with itself. ``a, b`` are codes."""
+
+    def pairs(bucket: np.ndarray, rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if not len(rows):
+            return
+        u = (bucket.astype(np.uint64) << np.uint64(LOW) | rows["low"]) << np.uint64(32) | rows["code"]
+        o = np.argsort(u, kind="stable")
+        u = u[o]
+        at = _starts(u)  # copies of a class that other tasks sent
+        u, word = u[at], rows["word"][o[at]]
+        k, c = u >> np.uint64(32), (u & np.uint64(2**32 - 1)).astype(np.uint32)
+        classes = len(u) * BUCKETS * ROUNDS // (many * len(_starts(bucket)))
         at = _starts(k)
         size = np.diff(np.append(at, len(k)))
-        members = np.unique(s[np.repeat(size > HOT, size)])
-        l, r = [members], [members]
-        for m in np.unique(size[(size > 1) & (size <= HOT)]):
-            block = s[at[size == m][:, None] + np.arange(m)]
-            i, j = np.triu_indices(m, 1)
-            x, y = block[:, i].ravel(), block[:, j].ravel()
-            ok = np.minimum(x & SIZE, y & SIZE) >= threshold * np.maximum(x & SIZE, y & SIZE)
-            l.append(x[ok])
-            r.append(y[ok])
-        return _met(np.concatenate(l), np.concatenate(r))
+        crowded = np.repeat((size > max(hot, classes // SHARE)) | (c[at] == 0), size)
+        members = np.unique(c[crowded & (c > 0)])
+        yield _met(members, members)
+        k, c, word = k[~crowded], c[~crowded], word[~crowded]
+        i, d = np.flatnonzero(k[1:] == k[:-1]), 1
+        l, r, found = [], [], 0
+        while len(i):  # every row against the d-th after it, as long as both are of one band
+            ok = WORD - np.bitwise_count(word[i] ^ word[i + d]).sum(axis=1, dtype=np.int32) >= need
+            l.append(c[i[ok]])
+            r.append(c[i[ok] + d])
+            found += len(l[-1])
+            if found > _AT_ONCE:
+                yield _met(np.concatenate(l), np.concatenate(r))
+                l, r, found = [], [], 0
+            d += 1
+            i = i[i + d < len(k)]
+            i = i[k[i + d] == k[i]]
+        if l:
+            l, r = np.concatenate(l).astype(np.uint64), np.concatenate(r).astype(np.uint64)
+            once = np.unique(np.minimum(l, r) << np.uint64(32) | np.maximum(l, r))
+            yield _met(once >> np.uint64(32), once & np.uint64(2**32 - 1))
 
     def run(batches):
-        k = s = tk = tv = np.zeros(0, np.int64)
+        held: list[tuple] = []
         for b in batches:
-            key, s1 = b.column(0).to_numpy(), b.column(1).to_numpy()
-            apart = int(np.searchsorted(key, 0))
-            if apart or len(tk):
-                tk, tv = np.concatenate((tk, key[:apart])), np.concatenate((tv, s1[:apart]))
-                # A text's rows end with the one of tag 0; what stands behind the last of these waits for the next batch.
-                whole = apart < len(key) and len(tk) or (int(np.flatnonzero((-1 - tk) & _HOT_TAG == 0)[-1]) + 1 if ((-1 - tk) & _HOT_TAG == 0).any() else 0)
-                yield from _told(tk[:whole], tv[:whole])
-                tk, tv = tk[whole:], tv[whole:]
-            k, s = np.concatenate((k, key[apart:])), np.concatenate((s, s1[apart:]))
-            o = np.lexsort((s, k))
-            k, s = k[o], s[o]
-            new = np.concatenate(([True], (k[1:] != k[:-1]) | (s[1:] != s[:-1])))[: len(k)]
-            k, s = k[new], s[new]
-            cut = int(np.searchsorted(k, k[-1])) if len(k) else 0
-            if len(k) - cut > HOT:  # the last run is hot: its members so far go out, and the last of them stay to mark what follows
-                yield pairs(k, s)
-                k, s = k[-HOT - 1 :], s[-HOT - 1 :]
-            else:
-                yield pairs(k[:cut], s[:cut])
-                k, s = k[cut:], s[cut:]
-        yield from _told(tk, tv)
-        yield pairs(k, s)
+            number = b.column(0).to_numpy()
+            apart = int(np.searchsorted(number, 0))
+            if apart:
+                yield from _told(_unpack(b.column(1).slice(0, apart), _TEXT)[1])
+            if apart == len(number):
+                continue
+            size, rows = _unpack(b.column(1).slice(apart), _BAND)
+            held.append((np.repeat(number[apart:], size), rows))
+            if sum(len(x) for x, _ in held) >= _AT_ONCE:
+                bucket, rows = (np.concatenate(x) for x in zip(*held))
+                cut = int(np.searchsorted(bucket, bucket[-1]))  # the last bucket may go on
+                yield from pairs(bucket[:cut], rows[:cut])
+                held = [(bucket[cut:], rows[cut:])]
+        if held:
+            yield from pairs(*(np.concatenate(x) for x in zip(*held)))
 
     return run
 
@@ -274,7 +366,7 @@ def fragment_pairs(texts: DataFrame, threshold: float) -> DataFrame:
     return summed.where(enough).select("da", "db")
 
 
-def _sift(least_bits: float):
+def _sift(least_bits: int):
     def run(batches):
         for b in batches:
             x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint64).reshape(-1, BITS // 64) for k in (2, 3))
@@ -309,6 +401,18 @@ def _overlap(batches):
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.float64())], names=["a", "b", "similarity"])
 
 
+@contextmanager
+def _swept(spark: SparkSession):
+    """What is saved within leaves no shuffle files behind; else they stay until the driver happens to collect its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 class NearDuplicates:
     """Classes of equal gram sets, and the verified links between them.
 
@@ -321,15 +425,19 @@ class NearDuplicates:
         spark = documents.sparkSession
         self.scratch = Scratch(spark, "neardup")
         docs = documents.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text")).where("text IS NOT NULL")
-        sent = docs.mapInArrow(_sent(bands(threshold)), "key long, s1 long").repartition(F.shiftright("key", TAGS)).sortWithinPartitions("key")
-        self.met = self.scratch.save(sent.mapInArrow(_meetings(threshold), "a long, b long, doc long, s2 long, n int, bits binary"))
-        members = self.met.where("doc IS NOT NULL").select("doc", F.col("a").alias("s1"), "s2", "n", "bits")
-        # The two sums of a set together identify it; a set whose first sum collides with another's keeps its own class.
-        rep = members.groupBy("s1", "s2").agg(F.min("doc").alias("class"), F.first("n").alias("n"), F.first("bits").alias("bits"))
-        self.reps = self.scratch.save(rep)
-        self.members = members
-        links = self._links(docs, threshold)
-        self.links = self.scratch.save(links)
+        many, need = plan(threshold)
+        with _swept(spark):
+            rounds = []
+            for turn in range(ROUNDS):
+                sent = docs.mapInArrow(_sent(many, _MOST * HOT, _CHUNK, turn), "bucket int, packed binary").repartition("bucket").sortWithinPartitions("bucket")
+                rounds.append(self.scratch.save(sent.mapInArrow(_meetings(many, need, HOT), "a long, b long, doc long, s2 long, n int, bits binary")))
+            self.met = reduce(DataFrame.unionByName, rounds)
+            members = rounds[0].where("doc IS NOT NULL").select("doc", F.col("a").alias("s1"), "s2", "n", "bits")
+            # The two sums of a set together identify it; a set whose first sum collides with another's keeps its own class.
+            rep = members.groupBy("s1", "s2").agg(F.min("doc").alias("class"), F.first("n").alias("n"), F.first("bits").alias("bits"))
+            self.reps = self.scratch.save(rep)
+            self.members = members
+            self.links = self._links(docs, threshold)
 
     @property
     def classes(self) -> DataFrame:
@@ -337,12 +445,14 @@ class NearDuplicates:
 
     def _links(self, docs: DataFrame, threshold: float) -> DataFrame:
         met = self.met.where("doc IS NULL").select("a", "b").distinct()
-        hot = met.where("a = b").select(F.col("a").alias("s1"))
-        # Classes whose first sums collide are both looked at.
-        da, db = (self.reps.select(F.col("s1").alias(x), F.col("class").alias(f"d{x}"), F.col("bits").alias(f"bits{x}")) for x in "ab")
-        near = met.where("a <> b").join(da, "a").join(db, "b").where("da <> db").select("da", "db", "bitsa", "bitsb")
+        hot = met.where("a = b").select("a")
+        # Classes whose codes collide are both looked at.
+        code = F.greatest(F.shiftrightunsigned("s1", 32), F.lit(1))
+        da, db = (self.reps.select(code.alias(x), F.col("class").alias(f"d{x}"), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits{x}")) for x in "ab")
+        fits = (F.col("da") != F.col("db")) & (F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb"))
+        near = met.where("a <> b").join(da, "a").join(db, "b").where(fits).select("da", "db", "bitsa", "bitsb")
         pairs = near.mapInArrow(_sift(agreeing(threshold)), "da long, db long")
-        crowd = self.scratch.save(self.reps.join(hot, "s1", "left_semi").select(F.col("class").alias("doc")))
+        crowd = self.scratch.save(self.reps.withColumn("a", code).join(hot, "a", "left_semi").select(F.col("class").alias("doc")))
         pairs = pairs.unionByName(fragment_pairs(docs.join(maybe_broadcast(crowd), "doc", "left_semi").dropDuplicates(["doc"]), threshold))
         pairs = self.scratch.save(pairs.select(F.least("da", "db").alias("da"), F.greatest("da", "db").alias("db")).distinct())
         wanted = pairs.select(F.explode(F.array("da", "db")).alias("doc")).distinct()
@@ -352,7 +462,9 @@ class NearDuplicates:
         sets = self.scratch.save(sets)
         both = pairs.join(sets.select(F.col("doc").alias("da"), F.col("grams").alias("ga")), "da").join(sets.select(F.col("doc").alias("db"), F.col("grams").alias("gb")), "db")
         scored = both.select("da", "db", "ga", "gb").mapInArrow(_overlap, "a long, b long, similarity double")
-        return scored.where(F.col("similarity") >= threshold).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity").distinct()
+        links = self.scratch.save(scored.where(F.col("similarity") >= threshold).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity").distinct())
+        self.scratch.drop(crowd, pairs, wanted, sets)
+        return links
 
 
 def _doc_sets(batches):

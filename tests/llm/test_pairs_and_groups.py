@@ -287,6 +287,23 @@ def test_a_stock_paragraph_costs_in_proportion(spark):
     assert looked[1] < 8 * max(looked[0], 1000)  # four times the texts; their pairs are sixteen times as many
 
 
+def test_unrelated_texts_of_one_trade_are_not_kept_as_pairs(spark):
+    """Texts put together from the same phrases agree in bands by chance, the more of them the larger the corpus; such meetings must end in memory."""
+    rng = random.Random(5)
+    phrases = [" ".join(f"p{k}x{i}" for i in range(8)) for k in range(100)]
+    texts = [" ".join(rng.sample(phrases, 25)) for _ in range(400)]
+    for text in texts[:20]:
+        words = text.split()
+        for k in range(0, len(words), 12):
+            words[k] = f"e{rng.randrange(10**6)}"
+        texts.append(" ".join(words))
+    rows = list(enumerate(texts))
+    near = neardup.NearDuplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    want = brute_pairs(dict(rows))
+    assert {(x.a, x.b) for x in near.links.collect()} == want and len(want) >= 20
+    assert near.met.where("doc IS NULL AND a <> b").select("a", "b").distinct().count() < 800
+
+
 # --- 7: leaks ------------------------------------------------------------------------------------------------------------------
 
 
