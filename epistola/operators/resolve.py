@@ -15,7 +15,7 @@ from epistola.functions import address as A
 from epistola.functions import rules
 from epistola.functions.similarity import jaro_winkler_udf, parts_distance_udf
 from epistola.operators.components import components, follow_chains
-from epistola.session import Scratch
+from epistola.session import Scratch, multiplied
 
 # Thresholds of the fuzzy layers.
 NAME_SIMILARITY, TOKEN_SHARE, BUSY, BUSY_RATIO, SAME_NAME, TIMES = 0.85, 0.4, 50, 2.0, 0.95, 5.0
@@ -134,7 +134,8 @@ class Resolution:
         p = c.select("canon", "domain", F.filter(F.split("local", r"[._\-]"), lambda x: F.length(x) > 0).alias("p")).where(F.size("p") >= 2)
         one = p.select("canon", "domain", "p", F.posexplode("p").alias("i", "part")).where(F.length("part") > 3)
         cuts = F.transform(F.sequence(F.lit(3), F.length("part") - 1), lambda k: F.array(F.struct(F.lit(0).alias("side"), F.substring("part", F.length("part") - k + 1, k).alias("known")), F.struct(F.lit(1).alias("side"), F.substring(F.col("part"), F.lit(1), k).alias("known"))))
-        rows = one.select("canon", "domain", "p", "i", F.explode(F.flatten(cuts)).alias("c")).select("canon", "domain", "p", "i", "c.side", "c.known").join(known, ["domain", "known"])
+        rows = one.select("canon", "domain", "p", "i", F.explode(F.flatten(cuts)).alias("c")).select("canon", "domain", "p", "i", "c.side", "c.known")
+        rows = multiplied(rows).join(known, ["domain", "known"])
         left = rows.withColumn("q", F.filter(F.transform("p", lambda x, j: F.when(j == F.col("i"), F.col("known")).otherwise(x)), lambda x: F.length(x) > 1)).where(F.size("q") == 2)
         hit = left.withColumn("key", pair_key(F.get("q", F.lit(0)), F.get("q", F.lit(1)))).join(two, ["domain", "key"]).where("target <> canon")
         return hit.groupBy("canon").agg(F.min_by("target", F.struct("i", "side", -F.length("known"), "known")).alias("dst")).select(F.col("canon").alias("src"), "dst")

@@ -137,6 +137,24 @@ def test_fuzzy_pairs_match_brute_force(spark, small):
     assert {(x.canon_a, x.canon_b) for x in r.fuzzy_candidates().collect()} == want
 
 
+def broadcasts(df):
+    """The parts of the plan, made before anything runs, that would go through the driver to all tasks."""
+    found, todo = [], [df._jdf.queryExecution().sparkPlan()]
+    while todo:
+        p = todo.pop()
+        kids = [p.children().apply(i) for i in range(p.children().size())]
+        if p.nodeName() == "BroadcastHashJoin":
+            found.append(str(kids[p.buildSide().toString() == "BuildRight"].toString()))
+        todo += kids
+    return found
+
+
+def test_stripped_prefixes_broadcast_no_cuts(spark, small):
+    """The cuts of a part are many times the table they come from; the planner's estimate of them is that table's."""
+    r = resolve.Resolution(spark.read.parquet(f"{small}/nodes.parquet"))
+    assert not [x for x in broadcasts(r.stripped_prefixes()) if "Generate" in x]
+
+
 def test_cleaning(spark):
     r = cleaning.clean(docs(spark, "Th e plan\f was pre-\n vented.Tbe  end, quickly", None, "")).orderBy("hash_id").collect()
     assert r[0].cleaned == "the plan was prevented. The end, quickly"
