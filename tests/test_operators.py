@@ -155,6 +155,12 @@ def test_stripped_prefixes_broadcast_no_cuts(spark, small):
     assert not [x for x in broadcasts(r.stripped_prefixes()) if "Generate" in x]
 
 
+def test_fuzzy_pairs_broadcast_no_pieces(spark, small):
+    """Pieces, and still more the substrings they meet, are many times the table they come from."""
+    r = resolve.Resolution(spark.read.parquet(f"{small}/nodes.parquet"))
+    assert not [x for x in broadcasts(r.fuzzy_candidates()) if "Generate" in x]
+
+
 def test_cleaning(spark):
     r = cleaning.clean(docs(spark, "Th e plan\f was pre-\n vented.Tbe  end, quickly", None, "")).orderBy("hash_id").collect()
     assert r[0].cleaned == "the plan was prevented. The end, quickly"
