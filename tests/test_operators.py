@@ -161,6 +161,12 @@ def test_fuzzy_pairs_broadcast_no_pieces(spark, small):
     assert not [x for x in broadcasts(r.fuzzy_candidates()) if "Generate" in x]
 
 
+def test_layers_broadcast_no_table_of_all_nodes(spark, small):
+    r = resolve.Resolution(spark.read.parquet(f"{small}/nodes.parquet"))
+    for layer in (r.split_locals, r.single_to_full, r.concatenated):
+        assert not broadcasts(layer())
+
+
 def test_cleaning(spark):
     r = cleaning.clean(docs(spark, "Th e plan\f was pre-\n vented.Tbe  end, quickly", None, "")).orderBy("hash_id").collect()
     assert r[0].cleaned == "the plan was prevented. The end, quickly"
